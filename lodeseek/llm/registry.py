@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeseek.llm import quality
+from lodeseek.llm import decontaminate, license_scan, quality, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_license_scan": license_scan.query,
+        "op2_decontaminate": decontaminate.query,
+        "op6_token_counts": token_counts.query,
+        "op8_url_filter": url_filter.query,
         "op10_quality_classifier": quality.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_license_scan": license_scan.oracle(), "op2_decontaminate": decontaminate.oracle()}
