@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeseek.llm import decontaminate, license_scan, ngram_join, quality, token_counts, url_filter
+from lodeseek.llm import decontaminate, license_scan, ngram_join, quality, suffix_dedup, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,9 +18,10 @@ def queries() -> dict[str, Query]:
         "op6_token_counts": token_counts.query,
         "op7_ngram_join": ngram_join.query,
         "op8_url_filter": url_filter.query,
+        "op9_suffix_dedup": suffix_dedup.query,
         "op10_quality_classifier": quality.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.oracle(), "op2_decontaminate": decontaminate.oracle(), "op7_ngram_join": ngram_join.oracle()}
+    return {"op1_license_scan": license_scan.oracle(), "op2_decontaminate": decontaminate.oracle(), "op7_ngram_join": ngram_join.oracle(), "op9_suffix_dedup": suffix_dedup.oracle()}
