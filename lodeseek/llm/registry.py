@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeseek.llm import decontaminate, license_scan, ngram_join, quality, suffix_dedup, token_counts, url_filter
+from lodeseek.llm import decontaminate, license_scan, ngram_join, pii, quality, suffix_dedup, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_license_scan": license_scan.query,
         "op2_decontaminate": decontaminate.query,
+        "op4_pii": pii.query,
         "op6_token_counts": token_counts.query,
         "op7_ngram_join": ngram_join.query,
         "op8_url_filter": url_filter.query,
