@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeseek.llm import decontaminate, license_scan, ngram_join, pii, quality, suffix_dedup, token_counts, url_filter
+from lodeseek.llm import decontaminate, license_scan, ngram_join, packing, pii, quality, suffix_dedup, token_counts, topk, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,7 +15,9 @@ def queries() -> dict[str, Query]:
     return {
         "op1_license_scan": license_scan.query,
         "op2_decontaminate": decontaminate.query,
+        "op3_best_fit_packing": packing.query,
         "op4_pii": pii.query,
+        "op5_exact_topk": topk.query,
         "op6_token_counts": token_counts.query,
         "op7_ngram_join": ngram_join.query,
         "op8_url_filter": url_filter.query,
@@ -25,4 +27,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.oracle(), "op2_decontaminate": decontaminate.oracle(), "op7_ngram_join": ngram_join.oracle(), "op9_suffix_dedup": suffix_dedup.oracle()}
+    return {"op1_license_scan": license_scan.oracle(), "op2_decontaminate": decontaminate.oracle(), "op5_exact_topk": topk.oracle(), "op7_ngram_join": ngram_join.oracle(), "op9_suffix_dedup": suffix_dedup.oracle()}
