@@ -1,17 +1,611 @@
-"""Queries of the engine by name, each with the SQL that DuckDB runs for comparison."""
+"""Queries of the engine by name, each with the SQL that DuckDB runs for comparison.
+
+The tables are stand-ins for datasets, topics and judgements: the queries test operators, not a published experiment.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from lodeseek.functions import text as T
+from lodeseek.operators import catalog, evaluate, profile, search
+from lodeseek.plans import providers
+from lodeseek.sources import trec
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- inputs ---------------------------------------------------------------------------------------------------------
+
+
+def documents(s, d):
+    return table(s, d, "documents").select(F.col("doc_id").cast("string").alias("dataset_id"), "text")
+
+
+def topics(s, d):
+    return table(s, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text")
+
+
+def run(s, d):
+    return search.bm25(documents(s, d), topics(s, d))
+
+
+def judgements(s, d):
+    """Labels as judgements of the documents that BM25 finds: rel = quality + toxic."""
+    found = run(s, d).select("query_id", "dataset_id")
+    labels = table(s, d, "labels").groupBy("doc_id").agg(F.max(F.col("quality") + F.col("toxic")).alias("rel"))
+    return found.join(labels, found["dataset_id"] == labels["doc_id"].cast("string")).select("query_id", "dataset_id", "rel")
+
+
+_TOK = "regexp_extract_all(lower(text), '[A-Za-z0-9]+')"
+_BM25 = f"""
+d AS (SELECT doc_id::VARCHAR AS dataset_id, {_TOK} AS w FROM documents),
+n AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d WHERE len(w) > 0),
+tf AS (SELECT dataset_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT dataset_id, len(w) AS dl, unnest(w) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id::VARCHAR AS query_id, unnest({_TOK}) AS term FROM benchmark) GROUP BY ALL),
+sc AS (SELECT query_id, dataset_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) * qtf), 9) AS score
+ FROM q JOIN df USING (term) JOIN tf USING (term), n GROUP BY ALL),
+run AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dataset_id) AS rank FROM sc) WHERE rank <= 10)"""
+_QRELS = """
+lab AS (SELECT doc_id::VARCHAR AS dataset_id, max(quality + toxic) AS rel FROM labels GROUP BY 1),
+qrels AS (SELECT query_id, dataset_id, rel FROM run JOIN lab USING (dataset_id))"""
+_METRICS = """
+j AS (SELECT run.query_id, run.dataset_id, rank AS i, coalesce(rel, 0) AS rel FROM run LEFT JOIN qrels USING (query_id, dataset_id)),
+h AS (SELECT *, sum((rel > 0)::INT) OVER (PARTITION BY query_id ORDER BY i) AS hits FROM j),
+g AS (SELECT query_id, sum(CASE WHEN rel > 0 THEN hits / i END) AS ap, sum(CASE WHEN i <= 10 THEN (2 ** rel - 1) / log2(i + 1) END) AS dcg, sum(CASE WHEN i <= 10 THEN (rel > 0)::INT END) AS top FROM h GROUP BY 1),
+ideal AS (SELECT query_id, sum(CASE WHEN i <= 10 THEN (2 ** rel - 1) / log2(i + 1) END) AS idcg, sum((rel > 0)::INT) AS relevant
+ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, dataset_id) AS i FROM qrels) GROUP BY 1),
+m AS (SELECT query_id, coalesce(ap / nullif(relevant, 0), 0) AS map, coalesce(dcg / nullif(idcg, 0), 0) AS ndcg, coalesce(top, 0) / 10.0 AS p, coalesce(top / nullif(relevant, 0), 0) AS r FROM ideal LEFT JOIN g USING (query_id))"""
+
+
+@query("term_stats", f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
+def _(s, d):
+    return search.term_stats(table(s, d, "documents"))
+
+
+@query("bm25_topk", f"WITH {_BM25} SELECT query_id, dataset_id, rank, round(score, 6) AS score FROM run")
+def _(s, d):
+    return run(s, d).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "bm25_okapi",
+    """WITH d AS (SELECT doc_id::VARCHAR AS dataset_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents),
+n AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),
+tf AS (SELECT dataset_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT dataset_id, len(w) AS dl, unnest(w) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf, n GROUP BY term, n),
+idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM df) ELSE raw END AS idf FROM df),
+q AS (SELECT item_id::VARCHAR AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS term FROM benchmark),
+sc AS (SELECT query_id, dataset_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS s FROM q JOIN idf USING (term) JOIN tf USING (term), n GROUP BY ALL),
+e AS (SELECT b.item_id::VARCHAR AS query_id, d.dataset_id, round(coalesce(s, 0), 9) AS score FROM benchmark b CROSS JOIN d LEFT JOIN sc ON sc.query_id = b.item_id::VARCHAR AND sc.dataset_id = d.dataset_id)
+SELECT query_id, dataset_id, rank - 1 AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dataset_id) AS rank FROM e) WHERE rank <= 10""",
+)
+def _(s, d):
+    return search.bm25_okapi(documents(s, d), topics(s, d)).withColumn("score", F.round("score", 6))
+
+
+# ---- vectors --------------------------------------------------------------------------------------------------------
+
+
+def vectors(s, d):
+    return table(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("dataset_id"), "embedding", "label")
+
+
+def vector_queries(s, d, n=20):
+    return table(s, d, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").cast("string").alias("query_id"), "embedding")
+
+
+_KNN = """
+e AS (SELECT vec_id::VARCHAR AS id, vec_id, embedding::DOUBLE[] AS v, label FROM embeddings),
+l2 AS (SELECT q.id AS query_id, c.id AS dataset_id, c.label, round(list_sum(list_transform(range(1, len(c.v) + 1), lambda i: (c.v[i] - q.v[i]) * (c.v[i] - q.v[i]))), 9) AS distance FROM e q, e c WHERE q.vec_id < 20),
+knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, dataset_id) AS rank FROM l2) WHERE rank <= 20)"""
+
+
+@query("knn_l2", f"WITH {_KNN} SELECT query_id, dataset_id, rank, round(distance, 6) AS distance, round(1 / (1 + distance), 6) AS vector_score FROM knn WHERE rank <= 5")
+def _(s, d):
+    return search.knn_l2(vectors(s, d).drop("label"), vector_queries(s, d), 5).withColumns({"distance": F.round("distance", 6), "vector_score": F.round("vector_score", 6)})
+
+
+@query(
+    "knn_ip",
+    """WITH e AS (SELECT vec_id::VARCHAR AS id, vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT q.id AS query_id, c.id AS dataset_id, round(list_dot_product(c.v, q.v), 9) AS score FROM e q, e c WHERE q.vec_id < 20)
+SELECT query_id, dataset_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dataset_id) AS rank FROM s) WHERE rank <= 10""",
+)
+def _(s, d):
+    return search.knn_ip(vectors(s, d).drop("label"), vector_queries(s, d)).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "maxsim",
+    """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings),
+t AS (SELECT (q.vec_id // 4)::VARCHAR AS query_id, q.vec_id, c.label::VARCHAR AS dataset_id, max(list_dot_product(c.v, q.v)) AS m FROM e q, e c WHERE q.vec_id < 20 GROUP BY ALL),
+s AS (SELECT query_id, dataset_id, round(sum(m), 9) AS score FROM t GROUP BY ALL)
+SELECT query_id, dataset_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dataset_id) AS rank FROM s) WHERE rank <= 10""",
+)
+def _(s, d):
+    e = table(s, d, "embeddings")
+    q = e.where("vec_id < 20").select(F.floor(F.col("vec_id") / 4).cast("string").alias("query_id"), F.col("vec_id").alias("token_no"), "embedding")
+    return search.max_sim(e.select(F.col("label").cast("string").alias("dataset_id"), "embedding"), q).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "sparse_dot",
+    f"""WITH w AS (SELECT doc_id::VARCHAR AS dataset_id, term, ln(1 + count(*)) AS weight FROM (SELECT doc_id, unnest({_TOK}) AS term FROM documents) GROUP BY ALL),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY round(weight, 9) DESC, term) AS n FROM w) WHERE n <= 256),
+q AS (SELECT item_id::VARCHAR AS query_id, term, ln(1 + count(*)) AS qw FROM (SELECT item_id, unnest({_TOK}) AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT query_id, dataset_id, round(sum(weight * qw), 9) AS score FROM t JOIN q USING (term) GROUP BY ALL)
+SELECT query_id, dataset_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dataset_id) AS rank FROM s) WHERE rank <= 10""",
+)
+def _(s, d):
+    weights = lambda df, key: search.term_counts(df, key).select(key, "term", F.col("tf").cast("double").alias("logit"))
+    docs = search.sparse_pool(weights(documents(s, d), "dataset_id"))
+    return search.sparse_dot(docs, weights(topics(s, d), "query_id").select("query_id", "term", F.log1p("logit").alias("weight"))).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "mean_pool",
+    """WITH c AS (SELECT label::VARCHAR AS dataset_id, unnest(range(len(embedding))) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings WHERE vec_id % 3 <> 0),
+m AS (SELECT dataset_id, i, avg(x) AS x FROM c GROUP BY ALL), n AS (SELECT dataset_id, sqrt(sum(x * x)) AS n FROM m GROUP BY 1)
+SELECT dataset_id, i::INT AS i, round(x / n, 6) AS x FROM m JOIN n USING (dataset_id)""",
+)
+def _(s, d):
+    e = table(s, d, "embeddings").select(F.col("label").cast("string").alias("dataset_id"), (F.col("vec_id") % 3 != 0).cast("int").alias("mask"), "embedding")
+    return search.mean_pool(e).select("dataset_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.round("x", 6))
+
+
+def hits(s, d):
+    """k-nearest hits as hits of sub-queries: five in a query; labels are datasets."""
+    e = vectors(s, d)
+    k = search.knn_l2(e.drop("label"), vector_queries(s, d), 20).join(e.select("dataset_id", "label"), "dataset_id")
+    n = F.col("query_id").cast("long")
+    return k.select(F.floor(n / 5).cast("string").alias("query_id"), (n % 5).cast("int").alias("subquery_no"), F.col("rank").alias("hit_no"), F.col("label").cast("string").alias("dataset_id"), "distance", F.col("dataset_id").alias("doc_id"))
+
+
+_HITS = f"{_KNN}, hits AS (SELECT (query_id::BIGINT // 5)::VARCHAR AS query_id, (query_id::BIGINT % 5)::INT AS subquery_no, rank AS hit_no, label::VARCHAR AS dataset_id, distance, dataset_id AS doc_id FROM knn)"
+_DEDUP = f"""{_HITS},
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id, dataset_id ORDER BY distance, subquery_no, hit_no) AS n, min(subquery_no * 1000 + hit_no) OVER (PARTITION BY query_id, dataset_id) AS seen FROM hits),
+best AS (SELECT query_id, dataset_id, distance, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, seen) AS rank FROM f WHERE n = 1)"""
+
+
+@query("dedup_min_distance", f"WITH {_DEDUP} SELECT query_id, dataset_id, round(distance, 6) AS distance, doc_id, rank FROM best")
+def _(s, d):
+    return search.nearest_per_dataset(hits(s, d)).withColumn("distance", F.round("distance", 6))
+
+
+@query(
+    "freq_fusion",
+    f"""WITH {_HITS}, c AS (SELECT query_id, dataset_id AS database_id, (doc_id::BIGINT % 7)::VARCHAR AS table_id, count(*) AS n, min(subquery_no * 1000 + hit_no) AS seen FROM hits GROUP BY ALL)
+SELECT query_id, database_id, table_id, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, seen) AS rank FROM c) WHERE rank <= 10""",
+)
+def _(s, d):
+    h = hits(s, d).select("query_id", (F.col("subquery_no") * 1000 + F.col("hit_no")).alias("hit_seq"), F.col("dataset_id").alias("database_id"), (F.col("doc_id").cast("long") % 7).cast("string").alias("table_id"))
+    return search.most_frequent(h, 10)
+
+
+@query(
+    "rerank_fallback",
+    f"""WITH {_DEDUP}, c AS (SELECT query_id, dataset_id, 1 / (1 + distance) AS vs, rank AS seq, count(*) OVER (PARTITION BY query_id) AS n FROM best),
+a AS (SELECT query_id, dataset_id, (n - seq)::INT AS pos, CASE WHEN seq % 2 = 0 THEN seq / 10.0 END AS score FROM c WHERE seq % 3 > 0 AND query_id <> '1'),
+b AS (SELECT c.*, pos, score, count(pos) OVER (PARTITION BY c.query_id) > 0 AS answered FROM c LEFT JOIN a USING (query_id, dataset_id)),
+f AS (SELECT *, CASE WHEN pos IS NOT NULL THEN coalesce(score, greatest(0, 1 - pos / n)) WHEN answered THEN vs * 0.5 ELSE vs END AS final_score, CASE WHEN pos IS NOT NULL THEN 'answer' WHEN answered THEN 'not_returned' ELSE 'vector_score' END AS reason FROM b)
+SELECT query_id, dataset_id, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, pos NULLS LAST, vs DESC, seq) AS rank, round(final_score, 6) AS final_score, reason FROM f""",
+)
+def _(s, d):
+    c = search.nearest_per_dataset(hits(s, d)).select("query_id", "dataset_id", search.vector_score(F.col("distance")).alias("vector_score"), F.col("rank").alias("seq"))
+    n = F.count("*").over(W.partitionBy("query_id"))
+    a = c.withColumn("pos", (n - F.col("seq")).cast("int")).where("seq % 3 > 0 AND query_id <> '1'").select("query_id", "dataset_id", "pos", F.when(F.col("seq") % 2 == 0, F.col("seq") / 10.0).alias("score"))
+    return search.rerank(c, a).withColumn("final_score", F.round("final_score", 6))
+
+
+# ---- evaluation -----------------------------------------------------------------------------------------------------
+
+
+@query("rank_metrics", f"WITH {_BM25}, {_QRELS}, {_METRICS} SELECT query_id, round(map, 6) AS map, round(ndcg, 6) AS ndcg, round(p, 6) AS p, round(r, 6) AS r FROM m")
+def _(s, d):
+    return evaluate.query_metrics(run(s, d), judgements(s, d)).select("query_id", *(F.round(m, 6).alias(m) for m in evaluate.METRICS))
+
+
+def _runs(s, d):
+    """Metric vectors of three runs: as ranked, reversed, and every other row."""
+    base, qrels = run(s, d), judgements(s, d)
+    shapes = {"base": base, "reversed": base.withColumn("rank", 11 - F.col("rank")).withColumn("score", -F.col("score")), "sparse": base.where("rank % 2 = 1")}
+    out = None
+    for name, r in shapes.items():
+        m = evaluate.query_metrics(r, qrels).withColumn("run_name", F.lit(name))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+def _runs_sql():
+    parts = []
+    for name, source in (("base", "SELECT * FROM run"), ("reversed", "SELECT query_id, dataset_id, 11 - rank AS rank FROM run"), ("sparse", "SELECT query_id, dataset_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM run WHERE rank % 2 = 1")):
+        own = _METRICS.replace("FROM run LEFT JOIN", f"FROM r_{name} run LEFT JOIN").replace("rank AS i", f"row_number() OVER (PARTITION BY run.query_id ORDER BY rank) AS i")
+        for x in ("j", "h", "g", "ideal", "m"):
+            own = own.replace(f"\n{x} AS", f"\n{x}_{name} AS").replace(f"FROM {x})", f"FROM {x}_{name})").replace(f"FROM {x} GROUP", f"FROM {x}_{name} GROUP").replace(f"FROM {x} LEFT", f"FROM {x}_{name} LEFT").replace(f"JOIN {x} USING", f"JOIN {x}_{name} USING")
+        parts.append(f"r_{name} AS ({source}), {own}")
+    return f"{_BM25}, {_QRELS}, {', '.join(parts)}, runs AS (" + " UNION ALL ".join(f"SELECT '{n}' AS run_name, * FROM m_{n}" for n in ("base", "reversed", "sparse")) + ")"
+
+
+@query(
+    "run_summary",
+    f"""WITH {_runs_sql()}, a AS (SELECT run_name, count(*) AS queries, round(avg(map), 6) AS map, round(avg(ndcg), 6) AS ndcg, round(avg(p), 6) AS p, round(avg(r), 6) AS r FROM runs GROUP BY 1)
+SELECT *, row_number() OVER (ORDER BY ndcg DESC, map DESC, run_name) AS place FROM a""",
+)
+def _(s, d):
+    return evaluate.run_summary(_runs(s, d))
+
+
+def _values(s, d):
+    m = _runs(s, d).withColumn("idx", (F.dense_rank().over(W.orderBy("query_id")) - 1).cast("int"))
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in evaluate.METRICS)))
+    return m.select("run_name", "idx", pairs.alias("p")).select("run_name", "idx", F.col("p.metric").alias("metric"), F.round("p.value", 9).alias("value"))
+
+
+def _arithmetic_indices(values, samples=200):
+    """Indices (sample, pos, idx) by a fixed rule, so that SQL has the same."""
+    n = values.agg((F.max("idx") + 1).alias("n"))
+    grid = n.select("n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample")).select("n", "sample", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos"))
+    return grid.select("sample", "pos", ((F.col("sample") * 7919 + F.col("pos") * F.col("pos") * 31 + F.col("sample") * F.col("pos") * 17) % F.col("n")).cast("int").alias("idx"))
+
+
+_BOOT = f"""{_runs_sql()}, ix AS (SELECT *, dense_rank() OVER (ORDER BY query_id) - 1 AS idx FROM runs),
+vals AS (SELECT run_name, idx, 'map' AS metric, round(map, 9) AS value FROM ix UNION ALL SELECT run_name, idx, 'ndcg', round(ndcg, 9) FROM ix UNION ALL SELECT run_name, idx, 'p', round(p, 9) FROM ix UNION ALL SELECT run_name, idx, 'r', round(r, 9) FROM ix),
+k AS (SELECT max(idx) + 1 AS n FROM vals), gr AS (SELECT s.sample, p.pos, (s.sample * 7919 + p.pos * p.pos * 31 + s.sample * p.pos * 17) % n AS idx FROM k, (SELECT unnest(range(200)) AS sample) s, (SELECT unnest(range(100000)) AS pos) p WHERE p.pos < n),
+means AS (SELECT run_name, metric, sample, round(avg(value), 9) AS mean FROM vals JOIN gr USING (idx) GROUP BY ALL)"""
+
+
+@query(
+    "bootstrap_summary",
+    f"""WITH {_BOOT}, o AS (SELECT run_name, metric, avg(value) AS mean, coalesce(stddev_samp(value), 0) AS std FROM vals GROUP BY ALL), c AS (SELECT run_name, metric, quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi FROM means GROUP BY ALL)
+SELECT run_name, metric, round(mean, 6) AS mean, round(std, 6) AS std, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high FROM o JOIN c USING (run_name, metric)""",
+)
+def _(s, d):
+    v = _values(s, d)
+    means = evaluate.bootstrap_means(v, _arithmetic_indices(v)).withColumn("mean", F.round("mean", 9))
+    return evaluate.summarise(v, means).select("run_name", "metric", *(F.round(c, 6).alias(c) for c in ("mean", "std", "ci_low", "ci_high")))
+
+
+_PAIRS = f"""{_BOOT}, o AS (SELECT run_name, metric, avg(value) AS mean FROM vals GROUP BY ALL),
+dl AS (SELECT a.metric, a.run_name AS run_a, b.run_name AS run_b, a.mean - b.mean AS delta FROM o a JOIN o b ON a.metric = b.metric AND a.run_name < b.run_name),
+df_ AS (SELECT a.metric, a.run_name AS run_a, b.run_name AS run_b, round(a.mean - b.mean, 9) AS d FROM means a JOIN means b ON a.metric = b.metric AND a.sample = b.sample AND a.run_name < b.run_name),
+ts AS (SELECT metric, run_a, run_b, quantile_cont(d, 0.025) AS ci_low, quantile_cont(d, 0.975) AS ci_high, least(1, 2 * least(avg((d <= 0)::INT), avg((d >= 0)::INT))) AS p_value FROM df_ GROUP BY ALL)"""
+
+
+@query("pairwise_bootstrap", f"WITH {_PAIRS} SELECT metric, run_a, run_b, round(delta, 6) AS delta, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(p_value, 6) AS p_value FROM dl JOIN ts USING (metric, run_a, run_b)")
+def _(s, d):
+    return _compared(s, d).select("metric", "run_a", "run_b", *(F.round(c, 6).alias(c) for c in ("delta", "ci_low", "ci_high", "p_value")))
+
+
+def _compared(s, d):
+    v = _values(s, d)
+    return evaluate.compare(v, evaluate.bootstrap_means(v, _arithmetic_indices(v)).withColumn("mean", F.round("mean", 9)))
+
+
+@query(
+    "bh_adjust",
+    f"""WITH {_PAIRS}, rk AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY p_value, run_a, run_b) AS rank, count(*) OVER (PARTITION BY metric) AS n FROM ts),
+ad AS (SELECT *, least(1, min(p_value * n / rank) OVER (PARTITION BY metric ORDER BY rank DESC ROWS UNBOUNDED PRECEDING)) AS p_adjusted FROM rk)
+SELECT metric, run_a, run_b, round(p_value, 6) AS p_value, round(p_adjusted, 6) AS p_adjusted, p_adjusted < 0.05 AS significant FROM ad""",
+)
+def _(s, d):
+    return evaluate.adjust_bh(_compared(s, d), "run_a", "run_b").select("metric", "run_a", "run_b", F.round("p_value", 6).alias("p_value"), F.round("p_adjusted", 6).alias("p_adjusted"), "significant")
+
+
+@query("bootstrap_random")
+def _(s, d):
+    v = _values(s, d)
+    n = v.agg(F.max("idx") + 1).first()[0] or 0
+    return evaluate.summarise(v, evaluate.bootstrap_means(v, evaluate.bootstrap_indices(s, n, 500)))
+
+
+@query(
+    "reciprocal_rank",
+    f"WITH {_BM25}, {_QRELS} SELECT q.query_id, round(coalesce(1.0 / min(CASE WHEN rel > 0 THEN rank END), 0), 6) AS rr FROM (SELECT DISTINCT query_id FROM qrels) q LEFT JOIN run ON run.query_id = q.query_id LEFT JOIN qrels x ON x.query_id = run.query_id AND x.dataset_id = run.dataset_id GROUP BY q.query_id",
+)
+def _(s, d):
+    return evaluate.reciprocal_rank(run(s, d), judgements(s, d)).withColumn("rr", F.round("rr", 6))
+
+
+@query("linear_gain_metrics")
+def _(s, d):
+    return evaluate.linear_gain_metrics(run(s, d), judgements(s, d))
+
+
+@query(
+    "run_diagnostics",
+    f"WITH {_BM25}, h AS (SELECT query_id, count(*) AS h FROM run WHERE rank > 3 GROUP BY 1), r AS (SELECT query_id, count(*) AS r FROM run WHERE rank <= 3 GROUP BY 1) SELECT count(*) AS queries, coalesce(sum(h), 0)::BIGINT AS hits, coalesce(sum(r), 0)::BIGINT AS ranked, count(*) FILTER (h > 0) AS with_hits, count(*) FILTER (r > 0) AS with_ranked FROM benchmark b LEFT JOIN h ON h.query_id = b.item_id::VARCHAR LEFT JOIN r ON r.query_id = b.item_id::VARCHAR",
+)
+def _(s, d):
+    ranked = run(s, d)
+    return evaluate.diagnostics(ranked.where("rank <= 3"), topics(s, d), ranked.where("rank > 3"))
+
+
+def _label_qrels(s, d):
+    return table(s, d, "labels").select((F.col("doc_id") % 13).cast("string").alias("query_id"), F.col("doc_id").cast("string").alias("dataset_id"), F.concat(F.lit("L"), F.col("quality") + F.col("toxic")).alias("label"))
+
+
+_LQ = "lq AS (SELECT (doc_id % 13)::VARCHAR AS query_id, doc_id::VARCHAR AS dataset_id, 'L' || (quality + toxic) AS label FROM labels)"
+
+
+@query("qrels_subset", f"WITH {_LQ} SELECT * FROM lq WHERE query_id::INT < 7 AND dataset_id IN (SELECT doc_id::VARCHAR FROM documents WHERE lang = 'en')")
+def _(s, d):
+    selected = s.range(7).select(F.col("id").cast("string").alias("query_id"))
+    return evaluate.subset_qrels(_label_qrels(s, d), selected, table(s, d, "documents").where("lang = 'en'").select(F.col("doc_id").cast("string").alias("dataset_id")))
+
+
+@query("qrels_exclude", f"WITH {_LQ}, x AS (SELECT doc_id::VARCHAR AS dataset_id FROM documents WHERE n_chars < 800), g AS (SELECT lq.*, x.dataset_id IS NOT NULL AS gone FROM lq LEFT JOIN x USING (dataset_id)) SELECT query_id, count(*) FILTER (NOT gone) AS kept, count(*) FILTER (gone) AS removed FROM g GROUP BY 1")
+def _(s, d):
+    kept, gone = evaluate.exclude_qrels(_label_qrels(s, d), table(s, d, "documents").where("n_chars < 800").select(F.col("doc_id").cast("string").alias("dataset_id")))
+    both = kept.withColumn("gone", F.lit(False)).union(gone.withColumn("gone", F.lit(True)))
+    return both.groupBy("query_id").agg(F.count_if(~F.col("gone")).alias("kept"), F.count_if("gone").alias("removed"))
+
+
+@query("label_hist", f"WITH {_LQ} SELECT query_id, label, count(*) AS n FROM lq GROUP BY ALL")
+def _(s, d):
+    return evaluate.label_histogram(_label_qrels(s, d))
+
+
+def _part_judgements(s, d):
+    """Suppliers judge the parts they ship; big quantities are relevant; parts of even size are tabular."""
+    li = table(s, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("query_id"), F.col("l_partkey").cast("string").alias("dataset_id"), F.when(F.col("l_quantity") > 40, 2).when(F.col("l_quantity") > 25, 1).otherwise(0).alias("level"))
+    tabular = table(s, d, "part").where("p_size % 2 = 0").select(F.col("p_partkey").cast("string").alias("dataset_id"))
+    return li, tabular
+
+
+_PJ = """li AS (SELECT l_suppkey::VARCHAR AS query_id, l_partkey::VARCHAR AS dataset_id, CASE WHEN l_quantity > 40 THEN 2 WHEN l_quantity > 25 THEN 1 ELSE 0 END AS level FROM lineitem),
+tab AS (SELECT p_partkey::VARCHAR AS dataset_id FROM part WHERE p_size % 2 = 0),
+f AS (SELECT li.*, tab.dataset_id IS NOT NULL AS tab FROM li LEFT JOIN tab USING (dataset_id)),
+a AS (SELECT query_id, count(DISTINCT dataset_id) AS judged_total, count(DISTINCT dataset_id) FILTER (tab) AS judged_tabular, count(DISTINCT dataset_id) FILTER (level >= 1) AS rel_l1plus_total, count(DISTINCT dataset_id) FILTER (level >= 1 AND tab) AS rel_l1plus_tabular FROM f GROUP BY 1),
+qm AS (SELECT s_suppkey::VARCHAR AS query_id, s_name AS query_text, coalesce(judged_total, 0) AS judged_total, coalesce(judged_tabular, 0) AS judged_tabular, coalesce(rel_l1plus_total, 0) AS rel_l1plus_total, coalesce(rel_l1plus_tabular, 0) AS rel_l1plus_tabular,
+ coalesce(judged_tabular / nullif(judged_total, 0), 0) AS judged_tabular_ratio, coalesce(rel_l1plus_tabular / nullif(rel_l1plus_total, 0), 0) AS rel_tabular_ratio FROM supplier LEFT JOIN a ON query_id = s_suppkey::VARCHAR),
+o AS (SELECT *, row_number() OVER (ORDER BY rel_l1plus_tabular DESC, judged_tabular DESC, judged_tabular_ratio DESC, query_id) AS step FROM qm)"""
+
+
+def _supplier_metrics(s, d):
+    li, tabular = _part_judgements(s, d)
+    return evaluate.query_order(evaluate.judgement_metrics(table(s, d, "supplier").select(F.col("s_suppkey").cast("string").alias("query_id"), F.col("s_name").alias("query_text")), li, tabular))
+
+
+@query("query_metrics", f"WITH {_PJ} SELECT * FROM o")
+def _(s, d):
+    return _supplier_metrics(s, d)
+
+
+@query(
+    "selection_trace",
+    f"""WITH {_PJ}, x AS (SELECT dataset_id, min(step) AS j, min(step) FILTER (level >= 1) AS r FROM f JOIN o USING (query_id) WHERE tab GROUP BY 1),
+st AS (SELECT step, query_id, (SELECT count(*) FROM x WHERE j = step) AS marginal_judged, (SELECT count(*) FROM x WHERE r = step) AS marginal_rel FROM o),
+c AS (SELECT *, sum(marginal_judged) OVER (ORDER BY step)::BIGINT AS cumulative_judged, sum(marginal_rel) OVER (ORDER BY step)::BIGINT AS cumulative_rel FROM st)
+SELECT step, query_id, marginal_judged, cumulative_judged, marginal_rel, cumulative_rel FROM c WHERE cumulative_judged - marginal_judged < 300""",
+)
+def _(s, d):
+    li, tabular = _part_judgements(s, d)
+    judged = li.join(tabular, "dataset_id", "left_semi").groupBy("query_id", "dataset_id").agg((F.max("level") >= 1).alias("relevant"))
+    return evaluate.selection_trace(_supplier_metrics(s, d), judged, 300)
+
+
+# ---- profiles -------------------------------------------------------------------------------------------------------
+
+
+def _profile_sql(tab: str, columns: dict[str, str]) -> str:
+    parts = []
+    for c, n in columns.items():
+        parts.append(f"SELECT '{c}' AS \"column\", count(*) AS rows_total, count({c}) AS non_null, count(*) - count({c}) AS nulls, 100.0 * (count(*) - count({c})) / count(*) AS missing_pct, count({n}) AS numeric_count, round(sum({n}), 2) AS sum, round(min({n}), 6) AS min, round(max({n}), 6) AS max, round(avg({n}), 6) AS mean, round(stddev_pop({n}), 4) AS std FROM {tab}")
+    return " UNION ALL ".join(parts)
+
+
+@query("profile_global", _profile_sql("lineitem", {c: f"{c}::DOUBLE" for c in ("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")} | {"l_returnflag": "try_cast(NULL AS DOUBLE)", "l_shipdate": "try_cast(NULL AS DOUBLE)"}))
+def _(s, d):
+    stats = profile.global_stats(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate"))
+    return stats.drop("sumsq").withColumns({"sum": F.round("sum", 2), "min": F.round("min", 6), "max": F.round("max", 6), "mean": F.round("mean", 6), "std": F.round("std", 4)})
+
+
+def _melt_sql(tab: str, columns: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c}::VARCHAR AS value FROM {tab} WHERE {c} IS NOT NULL" for c in columns)
+
+
+_ORDER_COLS = ["o_orderstatus", "o_orderpriority", "o_custkey"]
+
+
+@query("profile_distinct", f"SELECT \"column\", count(DISTINCT value) AS n_distinct FROM ({_melt_sql('orders', _ORDER_COLS)}) GROUP BY 1")
+def _(s, d):
+    return profile.distinct_counts(table(s, d, "orders"), _ORDER_COLS)
+
+
+@query("profile_top3", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY \"column\" ORDER BY n DESC, value) AS rank FROM (SELECT \"column\", value, count(*) AS n FROM ({_melt_sql('orders', _ORDER_COLS)}) GROUP BY ALL)) WHERE rank <= 3")
+def _(s, d):
+    return profile.top_values(table(s, d, "orders"), _ORDER_COLS)
+
+
+@query("profile_top3_varied", f"WITH c AS (SELECT \"column\", value, count(*) AS n FROM ({_melt_sql('nation', ['n_name', 'n_regionkey'])} UNION ALL SELECT 'odd', (n_nationkey % 7)::VARCHAR FROM nation) GROUP BY ALL), k AS (SELECT \"column\" FROM c GROUP BY 1 HAVING min(n) <> max(n)) SELECT * FROM (SELECT c.*, row_number() OVER (PARTITION BY \"column\" ORDER BY n DESC, value) AS rank FROM c JOIN k USING (\"column\")) WHERE rank <= 3")
+def _(s, d):
+    return profile.top_values(table(s, d, "nation").withColumn("odd", F.col("n_nationkey") % 7), ["n_name", "n_regionkey", "odd"], only_if_counts_differ=True)
+
+
+@query("profile_dates", "SELECT 'o_orderdate' AS \"column\", min(o_orderdate) AS first, max(o_orderdate) AS last FROM orders")
+def _(s, d):
+    return profile.date_ranges(table(s, d, "orders"), ["o_orderdate"])
+
+
+@query("coverage_envelope", "SELECT c_mktsegment AS segment, least(0, min(c_acctbal)) AS low, greatest(0, max(c_acctbal)) AS high FROM customer GROUP BY 1")
+def _(s, d):
+    return profile.coverage(table(s, d, "customer").withColumnRenamed("c_mktsegment", "segment"), "segment", "c_acctbal", "c_acctbal")
+
+
+@query("column_types")
+def _(s, d):
+    return profile.column_type(table(s, d, "events"), ["event_id", "event_type", "value", "ts"])
+
+
+@query("sample_rows")
+def _(s, d):
+    return profile.sample_rows(table(s, d, "lineitem").withColumn("k", F.concat_ws("-", "l_orderkey", "l_linenumber")), "k", 100).drop("k")
+
+
+@query("profile_text")
+def _(s, d):
+    t = table(s, d, "part")
+    return profile.profile_text(profile.global_stats(t), profile.top_values(t, ["p_brand", "p_type"]))
+
+
+# ---- catalogs and text ----------------------------------------------------------------------------------------------
+
+
+def _catalog(s, d):
+    """Pages as a catalog: a dataset per host; the path's end varies by page."""
+    p = table(s, d, "pages").select("page_id", "url", F.regexp_extract("url", "//([^/]*)", 1).alias("id"))
+    kinds = F.array(*map(F.lit, ("", "a.text.csv", "b.XLSX", "c.csv.bak", "d.pdf")))
+    names = F.get(kinds, (F.col("page_id") % 5).cast("int"))
+    declared = F.get(F.array(*map(F.lit, ("", " JSON  lines", "CSV (Comma-Separated  Values)", "x l s"))), (F.col("page_id") % 4).cast("int"))
+    return p.select("id", "page_id", F.struct(F.col("url").alias("data_url"), declared.alias("data_format"), names.alias("data_filename")).alias("r"))
+
+
+_CAT = """cat AS (SELECT regexp_extract(url, '//([^/]*)', 1) AS id, page_id, url, ['', 'a.text.csv', 'b.XLSX', 'c.csv.bak', 'd.pdf'][page_id % 5 + 1] AS fn, page_id % 4 AS k FROM pages),
+fmt AS (SELECT *, coalesce(CASE k WHEN 2 THEN 'csv' WHEN 3 THEN 'excel' END, CASE WHEN fn IN ('a.text.csv', 'c.csv.bak') THEN 'csv' WHEN fn = 'b.XLSX' THEN 'excel' END) AS format FROM cat)"""
+
+
+@query("resource_format", f"WITH {_CAT} SELECT page_id, format FROM fmt")
+def _(s, d):
+    c = _catalog(s, d)
+    return c.select("page_id", T.resource_format(F.col("r.data_format"), F.col("r.data_filename"), F.col("r.data_url")).alias("format"))
+
+
+def _nested(s, d):
+    return _catalog(s, d).groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("page_id", "r"))), lambda x: x["r"]).alias("data"))
+
+
+@query("filter_formats", f"WITH {_CAT} SELECT id, count(*) AS n FROM fmt WHERE format IN ('excel') GROUP BY 1")
+def _(s, d):
+    return catalog.filter_formats(_nested(s, d), T.include_formats("xls, XLSX")).select("id", F.size("data").cast("long").alias("n"))
+
+
+@query("pick_resource", f"WITH {_CAT} SELECT id, arg_min(url, (CASE format WHEN 'csv' THEN 1 WHEN 'excel' THEN 4 ELSE 99 END) * 10000000 + page_id) AS url FROM fmt GROUP BY 1")
+def _(s, d):
+    return catalog.pick_resources(_nested(s, d)).select("id", F.col("data")[0]["data_url"].alias("url"))
+
+
+@query("subset_formats", f"WITH {_CAT} SELECT coalesce(format, 'none') AS format, count(*) AS n FROM fmt GROUP BY 1")
+def _(s, d):
+    c = _catalog(s, d)
+    f = T.resource_format(F.col("r.data_format"), F.col("r.data_filename"), F.col("r.data_url"))
+    return catalog.subset_report(c.select(F.coalesce(f, F.lit("none")).alias("format"), F.col("id").alias("domain")))[0]
+
+
+@query("subset_domains", "SELECT regexp_extract(url, '//([^/]*)', 1) AS domain, count(*) AS n FROM pages GROUP BY 1 ORDER BY n DESC, domain LIMIT 20")
+def _(s, d):
+    return catalog.subset_report(_catalog(s, d).select(F.lit("x").alias("format"), F.col("id").alias("domain")))[1]
+
+
+@query("safe_names", r"""SELECT page_id, regexp_replace(regexp_replace(trim(url), '[\\/:*?"<>|\s]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS name FROM pages""")
+def _(s, d):
+    return table(s, d, "pages").select("page_id", T.safe_name(F.col("url")).alias("name"))
+
+
+@query("truncate_text", "SELECT doc_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || ' ...[truncated]' ELSE text END AS text FROM documents")
+def _(s, d):
+    return table(s, d, "documents").select("doc_id", T.truncate(F.col("text"), 100).alias("text"))
+
+
+@query("list_parse", "WITH x AS (SELECT conv_id, turn, unnest(list_transform(range(1, 6), lambda i: regexp_extract_all(text, '[A-Za-z]+')[i])) AS w, unnest(range(1, 6)) AS i FROM conversations), f AS (SELECT conv_id, turn, w, min(i) AS i FROM x WHERE w IS NOT NULL GROUP BY ALL) SELECT conv_id, turn, string_agg(w, ',' ORDER BY i) AS items FROM f GROUP BY ALL")
+def _(s, d):
+    c = table(s, d, "conversations")
+    words = F.slice(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1)), 1, 5)
+    marks = F.array(*map(F.lit, ('1) "', "2. '", "- ", "* ", "5: ")))
+    listed = F.array_join(F.transform(words, lambda w, i: F.concat(F.get(marks, i), w, F.when(i == 0, '"').when(i == 1, "'").otherwise(""))), "\n")
+    return c.where(F.size(words) > 0).select("conv_id", "turn", F.array_join(T.numbered_list(listed), ",").alias("items"))
+
+
+@query("json_fields", "SELECT event_id, json_extract_string(props, '$.' || k) AS value, k AS key FROM events, (SELECT unnest(json_keys(props)) AS k, event_id AS e FROM events) WHERE e = event_id")
+def _(s, d):
+    return table(s, d, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
+
+
+@query("table_serialise", "SELECT 'Columns: n_nationkey | n_name' || chr(10) || string_agg(n_nationkey || ' | ' || n_name, chr(10) ORDER BY n_nationkey) AS text FROM nation")
+def _(s, d):
+    rows = table(s, d, "nation").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("r"))
+    return rows.select(T.table_text(["n_nationkey", "n_name"], F.transform("r", lambda x: F.array(x["n_nationkey"].cast("string"), x["n_name"]))).alias("text"))
+
+
+@query("trec_lines", f"WITH {_BM25}, e AS (SELECT run.* FROM run JOIN (SELECT doc_id::VARCHAR AS dataset_id FROM documents WHERE lang = 'en') USING (dataset_id)), c AS (SELECT query_id, dataset_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM e) SELECT query_id, rank, query_id || ' Q0 ' || dataset_id || ' ' || rank || ' ' || printf('%.6f', score) || ' bm25' AS line FROM c WHERE rank <= 5")
+def _(s, d):
+    return trec.run_lines(run(s, d), "bm25", table(s, d, "documents").where("lang = 'en'").select(F.col("doc_id").cast("string").alias("dataset_id")), k=5)
+
+
+@query("latest_manifest", "SELECT user_id, event_type, arg_max(event_id, event_id) AS event_id FROM events GROUP BY ALL")
+def _(s, d):
+    return catalog.latest(table(s, d, "events"), "user_id", "event_type", seq="event_id").select("user_id", "event_type", "event_id")
+
+
+@query("pending_tasks", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def _(s, d):
+    done = table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderstatus").alias("status"))
+    return catalog.pending(table(s, d, "customer").select("c_custkey"), done, "c_custkey", done="F")
+
+
+@query(
+    "upsert_records",
+    "WITH e AS (SELECT * FROM customer WHERE c_custkey % 3 > 0), n AS (SELECT c_custkey, c_name || '!' AS c_name FROM customer WHERE c_custkey % 5 > 0) SELECT coalesce(e.c_custkey, n.c_custkey) AS c_custkey, coalesce(n.c_name, e.c_name) AS c_name, e.c_mktsegment, CASE WHEN e.c_custkey IS NULL THEN 'new' WHEN n.c_custkey IS NULL THEN 'vanished' ELSE 'updated' END AS change FROM e FULL JOIN n ON e.c_custkey = n.c_custkey",
+)
+def _(s, d):
+    c = table(s, d, "customer")
+    return catalog.upsert(c.where("c_custkey % 3 > 0").select("c_custkey", "c_name", "c_mktsegment"), c.where("c_custkey % 5 > 0").withColumn("c_name", F.concat("c_name", F.lit("!"))), "c_custkey", ("c_name",))
+
+
+@query("format_share", f"WITH {_CAT}, {_LQ} SELECT query_id, 100.0 * avg((coalesce(format, '') = 'csv')::INT) AS share FROM lq LEFT JOIN fmt ON page_id::VARCHAR = dataset_id GROUP BY 1")
+def _(s, d):
+    c = _catalog(s, d)
+    f = c.select(F.col("page_id").cast("string").alias("dataset_id"), T.resource_format(F.col("r.data_format"), F.col("r.data_filename"), F.col("r.data_url")).alias("format"))
+    return catalog.share_by_query(_label_qrels(s, d), f)
+
+
+@query("latency_stats", "SELECT event_type, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max FROM events GROUP BY 1")
+def _(s, d):
+    return catalog.latency(table(s, d, "events"), "event_type", "value").withColumn("mean", F.round("mean", 6))
+
+
+@query("state_report", "WITH r AS (SELECT CASE WHEN doc_id % 11 = 0 THEN false WHEN n_chars > 500 THEN true END AS processable, doc_id % 7 = 0 AS err, n_chars > 500 AS prof FROM documents) SELECT count(*) AS total, count(*) FILTER (processable) AS processable, count(*) FILTER (NOT processable) AS excluded, count(*) FILTER (processable IS NULL) AS pending, count(*) FILTER (prof) AS profiled, 0 AS described, count(*) FILTER (err) AS errors FROM r")
+def _(s, d):
+    r = table(s, d, "documents").select(
+        F.when(F.col("doc_id") % 11 == 0, F.lit(False)).alias("processable"), F.when(F.col("doc_id") % 7 == 0, "error").alias("status"), F.when(F.col("n_chars") > 500, F.col("text")).alias("data_profile"),
+        F.lit(None).cast("string").alias("semantic_profile"), F.lit(None).cast("string").alias("exclusion_reason"), F.lit("").alias("error_message"),
+    )
+    return catalog.state_report(catalog.normalise_states(r))
+
+
+@query("dry_run_search")
+def _(s, d):
+    """The online plan with the offline provider: sub-queries, hits, least distance, vector fallback."""
+    from lodeseek.plans.lifecycle import search_online
+
+    corpus = table(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("doc_id"), F.col("label").cast("string").alias("dataset_id"), "embedding")
+    return search_online(topics(s, d), corpus, providers.Offline(), dimensions=64)
