@@ -42,53 +42,70 @@ class Counter:
         with open(path, "rb") as file:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
         self.encoding = tiktoken.Encoding("prefixes", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
+        self.encode_piece = self.encoding._core_bpe.encode_single_piece
         self.split = regex.compile(PATTERN).findall
         self.blank = regex.compile(r"\s{2,}").finditer
         self.longest = max(map(len, self.ranks))
-        self.fits: dict[tuple[bytes, bytes], bool] = {}
+        self.fits: dict[bytes, dict[bytes, bool]] = {}
+        self.n_fits = 0
+        self.state: dict[bytes, tuple[bytes, int]] = {}  # the last token and the count of a prefix
         self.memo: dict[str, bytes | None] = {}
 
     def _compatible(self, a: bytes, b: bytes) -> bool:
-        known = self.fits.get((a, b))
-        if known is None:
-            if len(self.fits) > 4 * MEMO:
-                self.fits.clear()
-            known = self.fits[a, b] = self.encoding._encode_single_piece(a + b) == [self.ranks[a], self.ranks[b]]
+        """Whether the encoding of a + b is [a, b]; kept by a, then b."""
+        if self.n_fits > 4 * MEMO:
+            self.fits.clear()
+            self.n_fits = 0
+        self.n_fits += 1
+        known = self.encode_piece(a + b) == [self.ranks[a], self.ranks[b]]
+        self.fits.setdefault(a, {})[b] = known
         return known
 
     def _dp(self, data: bytes) -> list[int]:
-        """Counts of the prefixes 0..len(data) of one piece, by bytes."""
-        ranks, longest = self.ranks, self.longest
-        last: list[bytes] = [b""] * (len(data) + 1)
-        count = [0] * (len(data) + 1)
+        """Counts of the prefixes 0..len(data) of one piece, by bytes; prefixes are shared between pieces."""
+        ranks, fits, longest, state, none = self.ranks, self.fits, self.longest, self.state, {}
+        if len(state) > 3 * MEMO:
+            state.clear()
+        last: list[bytes] = [b""]
+        count = [0]
         for j in range(1, len(data) + 1):
-            for i in range(max(0, j - longest), j):
-                token = data[i:j]
-                if token in ranks and (i == 0 or self._compatible(last[i], token)):
-                    last[j], count[j] = token, count[i] + 1
-                    break
+            whole = data[:j]
+            known = state.get(whole)
+            if known is None:
+                if whole in ranks:
+                    known = whole, 1
+                else:
+                    for i in range(1 if j <= longest else j - longest, j):
+                        token = data[i:j]
+                        if token in ranks:
+                            before = last[i]
+                            good = fits.get(before, none).get(token)
+                            if good is None:
+                                good = self._compatible(before, token)
+                            if good:
+                                known = token, count[i] + 1
+                                break
+                if j <= 24:
+                    state[whole] = known
+            last.append(known[0])
+            count.append(known[1])
         return count
 
     def _piece(self, piece: str) -> bytes | None:
         """Differences of the counts of a piece's prefixes, by characters, as int8; None where they need more."""
-        data = piece.encode("utf-8", "surrogatepass")
-        count = self._dp(data)
-        if len(data) != len(piece):
-            ends = np.flatnonzero(np.append(np.frombuffer(data, np.uint8)[1:] & 0xC0 != 0x80, True)) + 1
-            count = [0, *(count[e] for e in ends)]
+        count = self._by_chars(piece)
         if piece in ("'re", "'ve", "'ll"):  # the prefix of two characters isn't one piece
             count[2] = 2
-        steps = np.diff(count)
-        return steps.astype(np.int8).tobytes() if len(steps) and np.abs(steps).max() < 128 else None
+        try:
+            return bytes([(b - a) & 255 if -128 <= b - a < 128 else 256 for a, b in zip(count, count[1:])])
+        except ValueError:
+            return None
 
     def _wide(self, text: str) -> np.ndarray:
         """Differences for any text, slowly."""
         out = []
         for piece in self.split(text):
-            data = piece.encode("utf-8", "surrogatepass")
-            count = self._dp(data)
-            ends = np.flatnonzero(np.append(np.frombuffer(data, np.uint8)[1:] & 0xC0 != 0x80, True)) + 1
-            count = [0, *(count[e] for e in ends)]
+            count = self._by_chars(piece)
             if piece in ("'re", "'ve", "'ll"):
                 count[2] = 2
             out.append(np.diff(count))
@@ -120,12 +137,12 @@ class Counter:
         return steps if counts is None else np.diff(counts)
 
     def _by_chars(self, piece: str) -> list[int]:
-        data = piece.encode()
+        """Counts of the prefixes 0..len(piece) of one piece, by characters."""
+        data = piece.encode("utf-8", "surrogatepass")
         count = self._dp(data)
         if len(data) == len(piece):
             return count
-        ends = np.flatnonzero(np.append(np.frombuffer(data, np.uint8)[1:] & 0xC0 != 0x80, True)) + 1
-        return [0, *(count[e] for e in ends)]
+        return [0, *(count[j] for j in range(1, len(data) + 1) if j == len(data) or data[j] & 0xC0 != 0x80)]
 
 
 _counters: dict[str, Counter] = {}
