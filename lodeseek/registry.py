@@ -217,8 +217,8 @@ def _(s, d):
     f"""WITH {_DEDUP}, c AS (SELECT query_id, dataset_id, 1 / (1 + distance) AS vs, rank AS seq, count(*) OVER (PARTITION BY query_id) AS n FROM best),
 a AS (SELECT query_id, dataset_id, (n - seq)::INT AS pos, CASE WHEN seq % 2 = 0 THEN seq / 10.0 END AS score FROM c WHERE seq % 3 > 0 AND query_id <> '1'),
 b AS (SELECT c.*, pos, score, count(pos) OVER (PARTITION BY c.query_id) > 0 AS answered FROM c LEFT JOIN a USING (query_id, dataset_id)),
-f AS (SELECT *, CASE WHEN pos IS NOT NULL THEN coalesce(score, greatest(0, 1 - pos / n)) WHEN answered THEN vs * 0.5 ELSE vs END AS final_score, CASE WHEN pos IS NOT NULL THEN 'answer' WHEN answered THEN 'not_returned' ELSE 'vector_score' END AS reason FROM b)
-SELECT query_id, dataset_id, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, pos NULLS LAST, vs DESC, seq) AS rank, round(final_score, 6) AS final_score, reason FROM f""",
+fin AS (SELECT *, CASE WHEN pos IS NOT NULL THEN coalesce(score, greatest(0, 1 - pos / n)) WHEN answered THEN vs * 0.5 ELSE vs END AS final_score, CASE WHEN pos IS NOT NULL THEN 'answer' WHEN answered THEN 'not_returned' ELSE 'vector_score' END AS reason FROM b)
+SELECT query_id, dataset_id, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, pos NULLS LAST, vs DESC, seq) AS rank, round(final_score, 6) AS final_score, reason FROM fin""",
 )
 def _(s, d):
     c = search.nearest_per_dataset(hits(s, d)).select("query_id", "dataset_id", search.vector_score(F.col("distance")).alias("vector_score"), F.col("rank").alias("seq"))

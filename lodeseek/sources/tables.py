@@ -58,7 +58,7 @@ def csv_frame(data: bytes) -> pd.DataFrame:
             continue
         for sep in SEPARATORS:
             try:
-                dialect = sep or csv.Sniffer().sniff(text[:65536], ",;\t|").delimiter
+                dialect = sep or csv.Sniffer().sniff(text.lstrip().split("\n", 1)[0], ",;\t|").delimiter
                 rows = [r for r in csv.reader(io.StringIO(text), delimiter=dialect) if r]
             except csv.Error:
                 continue
