@@ -51,7 +51,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: fl
     vocabulary = small(asked.select("term").distinct())
     hits = words.select("dataset_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(vocabulary, "term", "left_semi")
     tf = hits.groupBy("dataset_id", "term", "dl").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    df = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))  # needs tf, so both uses of it have one exchange
     weighted = asked.join(df, "term").crossJoin(F.broadcast(total)).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     term_score = F.col("idf") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1e-9)))) * F.col("qtf")
     scored = weighted.join(tf, "term").groupBy("query_id", "dataset_id").agg(F.round(F.sum(term_score), 9).alias("score")).where("score > 0")
