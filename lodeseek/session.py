@@ -33,6 +33,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    env.setdefault("MALLOC_MMAP_THRESHOLD_", str(32 << 20))  # fixed, so that freed memory above the next limit goes back
+    env.setdefault("MALLOC_TRIM_THRESHOLD_", str(64 << 20))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return spark
