@@ -11,8 +11,10 @@ its count. With a = ceil(t |x|), a document indexes
   the larger document, so classes stay small and the number of pairs linear.
 
 Partners meet by index key; length and position filters and a rule that drops a key whose predecessor is common too
-(then the pair was found there) leave candidates, made distinct. They are verified by intersecting whole sets: the
-sets of a neighbourhood travel once to one place. Documents with equal sets are one entity all along.
+(then the pair was found there) leave candidates, and a bitmap filter drops most false ones: a set's bitmap has the
+parity of its tokens by hash, so two bitmaps differ in at most as many bits as the sets do in tokens, which bounds the
+overlap from above; it has 2 to 4 bits a token, and a longer one folds onto a shorter. Candidates are made distinct and verified by intersecting whole sets: the sets of a neighbourhood
+travel once to one place. Bitmaps are held by every worker up to MAX_BITMAP_BYTES of them, and joined to the pairs beyond. Documents with equal sets are one entity all along.
 
 Result: (doc_a, doc_b, jaccard), doc_a < doc_b. Of documents with equal sets the least doc_id stands for all in pairs
 with others, and each other one is paired with it at 1.0; so the join's result is given in linear size.
@@ -40,6 +42,7 @@ THRESHOLD = 0.65
 BUCKET_BITS = 23
 PARTS = 64
 MAX_BROADCAST_ENTITIES = 4_000_000
+MAX_BITMAP_BYTES = 64 << 20
 LOW = C.U((1 << 44) - 1)
 
 
@@ -82,31 +85,26 @@ def _code(count: np.ndarray) -> np.ndarray:
 
 
 def survey(docs: DataFrame, n: int, bits: int) -> DataFrame:
-    """One pass: (doc_id, entity) of every document that has words, and each task's bucket counts in parts."""
+    """One pass: (doc_id, entity, bitmap) of every document that has words, and each task's bucket counts in parts."""
     cells = (1 << bits) // PARTS
 
     def work(batches):
-        total, waiting, held = np.zeros(1 << bits, np.uint32), [], 0
+        total = np.zeros(1 << bits, np.uint32)
         for batch, texts in C.sliced(batches):
             row, token = _tokens(texts, n)
             keys = _distinct((row << C.U(44)) | token)
             row, token = keys >> C.U(44), keys & LOW
             entity, begin = _entities(row, token, len(texts))
             some = np.diff(begin) > 0
-            yield C.table(doc_id=pa.array(C.ids(batch)[some]), entity=entity[some], part=pa.nulls(int(some.sum()), pa.int32()), counts=pa.nulls(int(some.sum()), pa.binary()))
-            waiting.append((token >> C.U(44 - bits)).astype(np.uint32))
-            held += len(token)
-            if held > 4_000_000:
-                total += np.bincount(np.concatenate(waiting), minlength=len(total)).astype(np.uint32)
-                waiting, held = [], 0
-        if waiting:
-            total += np.bincount(np.concatenate(waiting), minlength=len(total)).astype(np.uint32)
+            n_some = int(some.sum())
+            yield C.table(doc_id=pa.array(C.ids(batch)[some]), entity=entity[some], bitmap=bitmaps_of(row, token, np.diff(begin)).filter(pa.array(some)), part=pa.nulls(n_some, pa.int32()), counts=pa.nulls(n_some, pa.binary()))
+            np.add.at(total, (token >> C.U(44 - bits)).astype(np.intp), np.uint32(1))
         if total.any():
             for p in range(PARTS):
                 data = zlib.compress(np.minimum(total[p * cells : (p + 1) * cells], 65535).astype(np.uint16).tobytes(), 1)
-                yield C.table(doc_id=pa.nulls(1, pa.int64()), entity=pa.nulls(1, pa.int64()), part=pa.array([p], pa.int32()), counts=pa.array([data], pa.binary()))
+                yield C.table(doc_id=pa.nulls(1, pa.int64()), entity=pa.nulls(1, pa.int64()), bitmap=pa.nulls(1, pa.binary()), part=pa.array([p], pa.int32()), counts=pa.array([data], pa.binary()))
 
-    return materialise(C.each(docs, work, "doc_id long, entity long, part int, counts binary"), "ngram-survey")
+    return materialise(C.each(docs, work, "doc_id long, entity long, bitmap binary, part int, counts binary"), "ngram-survey")
 
 
 def order(counts: DataFrame, bits: int) -> Order:
@@ -156,7 +154,7 @@ def _combinations(token: np.ndarray, size: int, t: float, levels: Levels, first:
         if not len(tok):
             continue
         pos = np.arange(first, end)
-        salt = C.U(at + 1) * C.U(0x9E3779B97F4A7C15)
+        salt = C.U((at + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
         if k == 1:
             a = b = np.arange(len(tok))
         else:
@@ -208,7 +206,7 @@ def signatures(docs: DataFrame, order_: Order, n: int, t: float) -> DataFrame:
             r = row[at]
             yield C.table(key=C.mix(token[at]).view(np.int64), entity=entity[r], place=size[r] << 32 | pos[at] << 1 | (pos[at] < small[r]), before=before[at].astype(np.uint32).view(np.int32))
             rare_count = np.bincount(row[rare], minlength=len(texts))
-            for r in np.flatnonzero((rare_count < p1) & (size > 1)):
+            for r in np.flatnonzero(rare_count < p1):
                 for key, able, prev in _combinations(token[begin[r] : begin[r + 1]], int(size[r]), t, levels, int(rare_count[r])):
                     yield C.table(key=key.view(np.int64), entity=np.full(len(key), entity[r]), place=(int(size[r]) << 32) | able.astype(np.int64), before=prev.astype(np.uint32).view(np.int32))
 
@@ -233,14 +231,64 @@ def _grouped(batches, *names):
         yield [np.concatenate(x) for x in zip(*held)]
 
 
-def candidates(signed: DataFrame, t: float) -> DataFrame:
-    """Distinct (a, b) of entities, a < b, that pass the filters at some key."""
+def bitmaps_of(row: np.ndarray, token: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The parity bitmap of each row's tokens, a power of two of at least 64 and 2 bits a token."""
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * size, 1))).astype(np.int64))
+    begin = np.concatenate([[0], np.cumsum(bits)])
+    row = row.astype(np.int64)
+    place = begin[row] + (C.mix(token).astype(np.int64) & (bits[row] - 1))
+    parity = (np.bincount(place, minlength=begin[-1]) & 1).astype(np.uint8)
+    return C.pack(np.packbits(parity, bitorder="little"), begin // 8, 1)
+
+
+class Bitmaps:
+    """Bitmaps one after another: words[at[i]:at[i + 1]]."""
+
+    def __init__(self, column: pa.Array):
+        buf, offsets = C.raw(column.cast(pa.large_binary()))
+        self.words, self.at = np.ascontiguousarray(buf).view(np.uint64), offsets // 8
+
+    def take(self, rows: np.ndarray, n: int) -> np.ndarray:
+        """[rows x n words], longer ones folded."""
+        length = self.at[rows + 1] - self.at[rows]
+        out = np.zeros((len(rows), n), np.uint64)
+        for k in range(int(length.max()) // n):
+            some = np.flatnonzero(length >= (k + 1) * n)
+            out[some] ^= self.words[(self.at[rows[some]] + k * n)[:, None] + np.arange(n)]
+        return out
+
+
+def may_hold(a: Bitmaps, x: np.ndarray, b: Bitmaps, y: np.ndarray, sizes: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Whether bitmaps x of a and y of b leave room for an overlap of ``need``; sizes: of both sets together."""
+    words = np.minimum(a.at[x + 1] - a.at[x], b.at[y + 1] - b.at[y])
+    differ = np.zeros(len(x), np.int64)
+    for n in np.unique(words):
+        some = np.flatnonzero(words == n)
+        step = max(1, (1 << 20) // int(n))
+        for k in range(0, len(some), step):
+            part = some[k : k + step]
+            differ[part] = np.bitwise_count(a.take(x[part], int(n)) ^ b.take(y[part], int(n))).sum(1, dtype=np.int64)
+    return (sizes - differ) // 2 >= need
+
+
+def candidates(signed: DataFrame, t: float, bitmaps: DataFrame, max_bytes: int = MAX_BITMAP_BYTES) -> DataFrame:
+    """Distinct (a, b) of entities, a < b, that pass the filters at some key; bitmaps: one of each entity."""
+    at_hand = (bitmaps.agg(F.sum(F.octet_length("bitmap") + 8)).first()[0] or 0) <= max_bytes
+    if at_hand:
+        got = bitmaps.select("entity", "bitmap").orderBy("entity").toArrow().combine_chunks()
+        known = got.column("entity").to_numpy()
+        bits = Bitmaps(got.column("bitmap").combine_chunks() if got.num_rows else pa.array([], pa.binary()))
+        del got
 
     def work(batches):
         for key, entity, place, before in _grouped(batches, "key", "entity", "place", "before"):
             first = np.r_[True, (key[1:] != key[:-1]) | (entity[1:] != entity[:-1])]
             key, entity, place, before = key[first], entity[first], place[first], before[first]
             size, pos, able = place >> 32, (place & 0xFFFFFFFF) >> 1, (place & 1).astype(bool)
+            together = np.flatnonzero(np.r_[key[1:] == key[:-1], False] | np.r_[False, key[1:] == key[:-1]])
+            number = np.zeros(len(key), np.int64)
+            if at_hand:
+                number[together] = np.searchsorted(known, entity[together])
             live, d, out, held = np.arange(len(key) - 1), 1, [], 0
             while len(live):
                 live = live[live + d < len(key)]
@@ -251,8 +299,12 @@ def candidates(signed: DataFrame, t: float) -> DataFrame:
                 need = _ceil(t / (1 + t) * (size[x] + size[y]))
                 most = 1 + np.minimum(pos[x], pos[y]) + np.minimum(size[x] - pos[x], size[y] - pos[y]) - 1
                 ok = able[y] & (size[y] >= t * size[x] - 1e-9) & (most >= need) & ((before[x] != before[y]) | (before[x] == 0))
-                a, b = entity[x[ok]], entity[y[ok]]
-                out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+                x, y, need = x[ok], y[ok], need[ok]
+                if at_hand and len(x):
+                    ok = may_hold(bits, number[x], bits, number[y], size[x] + size[y], need)
+                    x, y = x[ok], y[ok]
+                a, b = entity[x], entity[y]
+                out.append(np.stack([np.minimum(a, b), np.maximum(a, b), size[x] + size[y]]))
                 held += out[-1].shape[1]
                 d += 1
                 if held > 200_000:
@@ -261,15 +313,26 @@ def candidates(signed: DataFrame, t: float) -> DataFrame:
             if held:
                 yield _pairs(out)
 
-    return signed.repartition("key").sortWithinPartitions("key", "entity").mapInArrow(work, "a long, b long").distinct()
+    pairs = signed.repartition("key").sortWithinPartitions("key", "entity").mapInArrow(work, "a long, b long, sizes long").distinct()
+    if at_hand:
+        return pairs.select("a", "b")
+
+    def prune(batches):
+        for batch in batches:
+            sizes, every = batch.column(2).to_numpy(zero_copy_only=False), np.arange(batch.num_rows)
+            keep = may_hold(Bitmaps(batch.column(3)), every, Bitmaps(batch.column(4)), every, sizes, _ceil(t / (1 + t) * sizes))
+            yield C.table(a=batch.column(0), b=batch.column(1)).filter(pa.array(keep))
+
+    first, second = bitmaps.select(F.col("entity").alias("a"), F.col("bitmap").alias("x")), bitmaps.select(F.col("entity").alias("b"), F.col("bitmap").alias("y"))
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "sizes", "x", "y").mapInArrow(prune, "a long, b long")
 
 
 def _pairs(parts: list[np.ndarray]) -> pa.RecordBatch:
-    a, b = np.concatenate(parts, axis=1)
+    a, b, sizes = np.concatenate(parts, axis=1)
     by = np.lexsort((b, a))
-    a, b = a[by], b[by]
-    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-    return C.table(a=a[new], b=b[new])
+    a, b, sizes = a[by], b[by], sizes[by]
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
+    return C.table(a=a[new], b=b[new], sizes=sizes[new])
 
 
 def verify(docs: DataFrame, pairs: DataFrame, n: int, t: float, max_broadcast: int) -> DataFrame:
@@ -340,14 +403,16 @@ def verify(docs: DataFrame, pairs: DataFrame, n: int, t: float, max_broadcast: i
     return both.repartition("site").sortWithinPartitions("site", "kind").mapInArrow(check, "doc_a long, doc_b long, jaccard double")
 
 
-def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bits: int = BUCKET_BITS, max_broadcast_entities: int = MAX_BROADCAST_ENTITIES) -> DataFrame:
+def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bits: int = BUCKET_BITS, max_broadcast_entities: int = MAX_BROADCAST_ENTITIES, max_bitmap_bytes: int = MAX_BITMAP_BYTES) -> DataFrame:
     """(doc_a, doc_b, jaccard) as the module says."""
     docs = C.known(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = survey(docs, n, bits)
     order_ = order(seen.where("part IS NOT NULL"), bits)
-    pairs = materialise(candidates(signatures(docs, order_, n, threshold), threshold), "ngram-pairs")
+    members = seen.where("part IS NULL")
+    bitmaps = materialise(members.groupBy("entity").agg(F.first("bitmap").alias("bitmap")), "ngram-bitmaps")
+    pairs = materialise(candidates(signatures(docs, order_, n, threshold), threshold, bitmaps, max_bitmap_bytes), "ngram-pairs")
     near = verify(docs, pairs, n, threshold, max_broadcast_entities)
-    members = seen.where("part IS NULL").select("doc_id", "entity").distinct()
+    members = members.select("doc_id", "entity").distinct()
     least = members.groupBy("entity").agg(F.min("doc_id").alias("doc_a"), F.count("*").alias("__n")).where("__n > 1")
     equal = members.join(least, "entity").where("doc_id > doc_a").select("doc_a", F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
     return near.union(equal)

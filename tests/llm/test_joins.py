@@ -144,7 +144,7 @@ def closure(pairs, rows, n):
     return out
 
 
-@pytest.mark.parametrize(("n", "t", "limits"), [(2, 0.65, {}), (1, 0.5, {}), (2, 0.4, {"max_bitmaps": 3, "max_broadcast_entities": 3}), (3, 0.8, {"bits": 8})])
+@pytest.mark.parametrize(("n", "t", "limits"), [(2, 0.65, {}), (1, 0.5, {}), (2, 0.4, {"max_bitmap_bytes": 3, "max_broadcast_entities": 3}), (3, 0.8, {"bits": 8})])
 def test_ngram_join_brute_force(make, n, t, limits):
     rows = corpus()
     result = ngram_join.join(make(rows), n, t, **({"bits": 12} | limits)).collect()
