@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lodeseek.functions import text as T
 from lodeseek.operators import catalog, evaluate, profile, search
 from lodeseek.plans import providers
+from lodeseek.session import materialise
 from lodeseek.sources import trec
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,9 +59,9 @@ def run(s, d):
     return search.bm25(documents(s, d), topics(s, d))
 
 
-def judgements(s, d):
+def judgements(s, d, found=None):
     """Labels as judgements of the documents that BM25 finds: rel = quality + toxic."""
-    found = run(s, d).select("query_id", "dataset_id")
+    found = (run(s, d) if found is None else found).select("query_id", "dataset_id")
     labels = table(s, d, "labels").groupBy("doc_id").agg(F.max(F.col("quality") + F.col("toxic")).alias("rel"))
     return found.join(labels, found["dataset_id"] == labels["doc_id"].cast("string")).select("query_id", "dataset_id", "rel")
 
@@ -237,7 +238,8 @@ def _(s, d):
 
 def _runs(s, d):
     """Metric vectors of three runs: as ranked, reversed, and every other row."""
-    base, qrels = run(s, d), judgements(s, d)
+    base = materialise(run(s, d), "run")
+    qrels = judgements(s, d, base)
     shapes = {"base": base, "reversed": base.withColumn("rank", 11 - F.col("rank")).withColumn("score", -F.col("score")), "sparse": base.where("rank % 2 = 1")}
     out = None
     for name, r in shapes.items():
@@ -268,7 +270,7 @@ def _(s, d):
 def _values(s, d):
     m = _runs(s, d).withColumn("idx", (F.dense_rank().over(W.orderBy("query_id")) - 1).cast("int"))
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in evaluate.METRICS)))
-    return m.select("run_name", "idx", pairs.alias("p")).select("run_name", "idx", F.col("p.metric").alias("metric"), F.round("p.value", 9).alias("value"))
+    return materialise(m.select("run_name", "idx", pairs.alias("p")).select("run_name", "idx", F.col("p.metric").alias("metric"), F.round("p.value", 9).alias("value")), "values")
 
 
 def _arithmetic_indices(values, samples=200):
