@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodeseek.session import prepare
 
 U = np.uint64
-SLICE = 3 << 20  # bytes of text worked on at once
+SLICE = 1 << 20  # bytes of text worked on at once
 ROWS = 4095  # rows worked on at once
 
 _M1, _M2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
