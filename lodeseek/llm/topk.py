@@ -5,7 +5,8 @@ p, and the largest bound counts. Vectors go to cells by nearest pivot, cells to
 the range of its distances to each pivot. A query first searches its own block, which gives its first k-th distance;
 then only blocks whose bound doesn't exceed that are visited, and in a block candidates are evaluated in the order of
 their bounds until the next bound exceeds the k-th distance so far. What is left out can't be among the k nearest, so
-the result is exact. Only pivots and block ranges are broadcast; blocks meet in a join, in pairs.
+the result is exact. Queries travel, in the matrices of their block, only to blocks that their bound lets in; a
+candidate block travels once. Only pivots are broadcast.
 
 Result: (query_id, neighbor_id, rank, distance), Euclidean, ties by neighbor_id, never the query itself.
 
@@ -119,11 +120,12 @@ def top_k(vectors: DataFrame, k: int = K, key: str = "vec_id", vector: str = "em
         return spark.createDataFrame([], "query_id long, neighbor_id long, rank int, distance double")
     chosen = choose_pivots(np.array(pool, np.float64), pivots)
     dim, n_pivots = chosen.shape[1], len(chosen)
+    centres = chosen[: max(1, min(n_pivots, rows.count() // block))]  # about as many cells as blocks
 
     def cells(batches):
         for batch in batches:
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
-            d = distances(x, chosen)
+            d = distances(x, centres)
             yield C.table(id=batch.column(0), cell=d.argmin(1).astype(np.int32), near=d.min(1), v=C.pack(x.astype(np.float32), np.arange(len(x) + 1) * dim, 4))
 
     placed = rows.select("id", "v").mapInArrow(cells, "id long, cell int, near double, v binary")
@@ -167,23 +169,39 @@ def top_k(vectors: DataFrame, k: int = K, key: str = "vec_id", vector: str = "em
             yield C.table(q_name=batch.column(0), name=batch.column(batch.schema.get_field_index("name")), lb=np.maximum(lb, 0)).filter(pa.array(keep))
 
     pairs = a.crossJoin(b).where("q_name <> name").mapInArrow(bound, "q_name string, name string, lb double")
-    q = blocks.join(first, "name").select(F.col("name").alias("q_name"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("pivot").alias("q_pivot"), "best")
-    met = pairs.join(q, "q_name").join(blocks.select("name", "ids", "vectors", "pivot", "low", "high"), "name")
+    q = blocks.join(first, "name").select(F.col("name").alias("q_name"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), "best")
+    asked = pairs.join(q, "q_name").join(blocks.select("name", "low", "high"), "name").select("name", "q_ids", "q_vectors", "best", "low", "high")
+
+    def send(batches):
+        """Of each query block the queries that a block can have news for."""
+        for batch in batches:
+            for name, ids, vectors, best, low, high in zip(*(batch.column(c).to_pylist() for c in range(6))):
+                i = np.frombuffer(ids, np.int64)
+                x = np.frombuffer(vectors, np.float32).reshape(len(i), dim)
+                limit = np.frombuffer(best, np.float64).reshape(len(i), k)[:, -1]
+                p = distances(x.astype(np.float64), chosen)
+                go = np.maximum(np.frombuffer(low, np.float64) - p, p - np.frombuffer(high, np.float64)).max(1) <= limit + EPS
+                if go.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([1], pa.int32()), *(pa.array([a[go].tobytes()], pa.binary()) for a in (i, x, limit))], names=["name", "kind", "ids", "vectors", "extra"])
+
+    sent = asked.mapInArrow(send, "name string, kind int, ids binary, vectors binary, extra binary")
+    both = blocks.select("name", F.lit(0).alias("kind"), "ids", "vectors", F.col("pivot").alias("extra")).union(sent)
 
     def others(batches):
+        block_ = None
         for batch in batches:
-            get = lambda c: batch.column(batch.schema.get_field_index(c))
-            for r in range(batch.num_rows):
-                qi, qx, qp = arrays(*(get(c)[r].as_py() for c in ("q_ids", "q_vectors", "q_pivot")))
-                i, x, p = arrays(*(get(c)[r].as_py() for c in ("ids", "vectors", "pivot")))
-                limit = np.frombuffer(get("best")[r].as_py(), np.float64).reshape(len(qi), k)[:, -1]
-                low, high = (np.frombuffer(get(c)[r].as_py(), np.float64) for c in ("low", "high"))
-                go = np.flatnonzero(np.maximum(low - qp, qp - high).max(1) <= limit + EPS)
-                best = Best(len(go), k, limit[go])
-                search_block(best, qx[go], qp[go], qi[go], x, p, i)
+            for kind, ids, vectors, extra in zip(*(batch.column(c).to_pylist() for c in range(1, 5))):
+                if kind == 0:
+                    block_ = arrays(ids, vectors, extra)
+                    continue
+                i, x, p = block_
+                qi = np.frombuffer(ids, np.int64)
+                qx = np.frombuffer(vectors, np.float32).reshape(len(qi), dim).astype(np.float64)
+                best = Best(len(qi), k, np.frombuffer(extra, np.float64))
+                search_block(best, qx, distances(qx, chosen), qi, x, p, i)
                 row, col = np.nonzero(np.isfinite(best.d))
                 if len(row):
-                    yield C.table(query_id=qi[go][row], neighbor_id=best.i[row, col], distance=best.d[row, col])
+                    yield C.table(query_id=qi[row], neighbor_id=best.i[row, col], distance=best.d[row, col])
 
     def unfold(batches):
         for batch in batches:
@@ -194,7 +212,7 @@ def top_k(vectors: DataFrame, k: int = K, key: str = "vec_id", vector: str = "em
                 yield C.table(query_id=i[row], neighbor_id=np.frombuffer(best_ids, np.int64).reshape(len(i), k)[row, col], distance=d[row, col])
 
     mine = blocks.join(first, "name").select("ids", "best_ids", "best").mapInArrow(unfold, SCHEMA)
-    ranked = mine.union(met.repartition("q_name", "name").mapInArrow(others, SCHEMA)).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "neighbor_id")))
+    ranked = mine.union(both.repartition("name").sortWithinPartitions("name", "kind").mapInArrow(others, SCHEMA)).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "neighbor_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "neighbor_id", "rank", F.round("distance", 6).alias("distance"))
 
 
