@@ -16,8 +16,9 @@ parity of its tokens by hash, so two bitmaps differ in at most as many bits as t
 overlap from above; it has 2 to 4 bits a token, and a longer one folds onto a shorter. Candidates are made distinct and verified by intersecting whole sets: the sets of a neighbourhood
 travel once to one place. Bitmaps are held by every worker up to MAX_BITMAP_BYTES of them, and joined to the pairs beyond. Documents with equal sets are one entity all along.
 
-Result: (doc_a, doc_b, jaccard), doc_a < doc_b. Of documents with equal sets the least doc_id stands for all in pairs
-with others, and each other one is paired with it at 1.0; so the join's result is given in linear size.
+Result: (doc_a, doc_b, jaccard), doc_a < doc_b. ``all_pairs`` gives every pair. ``join`` gives a compressed result: of
+documents with equal sets the least doc_id stands for all in pairs with others, and each other one is paired with it at
+1.0, in linear size; that is enough for ``keep_one``.
 
 Defined results: texts without a word, null texts and rows with a null doc_id are in no pair; a text of fewer than n
 words has one n-gram of all its words; rows that share a doc_id never pair with each other; columns besides doc_id and
@@ -335,8 +336,9 @@ def _pairs(parts: list[np.ndarray]) -> pa.RecordBatch:
     return C.table(a=a[new], b=b[new], sizes=sizes[new])
 
 
-def verify(docs: DataFrame, pairs: DataFrame, n: int, t: float, max_broadcast: int) -> DataFrame:
-    """(doc_a, doc_b, jaccard) of the pairs that hold; sets meet at the least candidate neighbour of a pair's entity."""
+def verify(docs: DataFrame, pairs: DataFrame, n: int, t: float, max_broadcast: int, entities: bool = False) -> DataFrame:
+    """(doc_a, doc_b, jaccard) of the pairs that hold, or (a, b, jaccard) by entity; sets meet at the least candidate neighbour of a pair's entity."""
+    names = ("a", "b") if entities else ("doc_a", "doc_b")
     home = pairs.groupBy(F.col("b").alias("e")).agg(F.min("a").alias("home"))
     placed = pairs.join(home, pairs["a"] == home["e"], "left").select(F.coalesce("home", "a").alias("site"), "a", "b")
     placed = materialise(placed, "ngram-placed")
@@ -394,30 +396,43 @@ def verify(docs: DataFrame, pairs: DataFrame, n: int, t: float, max_broadcast: i
                         x, y = y, x
                     shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                     j = shared / (len(x) + len(y) - shared)
-                    if j >= t - 1e-12 and da != db:
-                        out.append((min(da, db), max(da, db), j))
+                    if j >= t - 1e-12 and (entities or da != db):
+                        out.append((a, b, j) if entities else (min(da, db), max(da, db), j))
             if out:
-                yield C.table(doc_a=np.array([o[0] for o in out], np.int64), doc_b=np.array([o[1] for o in out], np.int64), jaccard=np.array([o[2] for o in out]))
+                yield C.table(**{name: np.array([o[k] for o in out], np.int64) for k, name in enumerate(names)}, jaccard=np.array([o[2] for o in out]))
                 out = []
 
-    return both.repartition("site").sortWithinPartitions("site", "kind").mapInArrow(check, "doc_a long, doc_b long, jaccard double")
+    return both.repartition("site").sortWithinPartitions("site", "kind").mapInArrow(check, f"{names[0]} long, {names[1]} long, jaccard double")
 
 
-def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bits: int = BUCKET_BITS, max_broadcast_entities: int = MAX_BROADCAST_ENTITIES, max_bitmap_bytes: int = MAX_BITMAP_BYTES) -> DataFrame:
-    """(doc_a, doc_b, jaccard) as the module says."""
+def _found(docs: DataFrame, entities: bool, n: int, threshold: float, bits: int, max_broadcast_entities: int, max_bitmap_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """The near pairs as verify gives them, and (doc_id, entity) of every document."""
     docs = C.known(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = survey(docs, n, bits)
     order_ = order(seen.where("part IS NOT NULL"), bits)
     members = seen.where("part IS NULL")
     bitmaps = materialise(members.groupBy("entity").agg(F.first("bitmap").alias("bitmap")), "ngram-bitmaps")
     pairs = materialise(candidates(signatures(docs, order_, n, threshold), threshold, bitmaps, max_bitmap_bytes), "ngram-pairs")
-    near = verify(docs, pairs, n, threshold, max_broadcast_entities)
-    members = members.select("doc_id", "entity").distinct()
+    return verify(docs, pairs, n, threshold, max_broadcast_entities, entities), members.select("doc_id", "entity").distinct()
+
+
+def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bits: int = BUCKET_BITS, max_broadcast_entities: int = MAX_BROADCAST_ENTITIES, max_bitmap_bytes: int = MAX_BITMAP_BYTES) -> DataFrame:
+    """(doc_a, doc_b, jaccard), compressed as the module says."""
+    near, members = _found(docs, False, n, threshold, bits, max_broadcast_entities, max_bitmap_bytes)
     least = members.groupBy("entity").agg(F.min("doc_id").alias("doc_a"), F.count("*").alias("__n")).where("__n > 1")
     equal = members.join(least, "entity").where("doc_id > doc_a").select("doc_a", F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
     return near.union(equal)
 
 
+def all_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bits: int = BUCKET_BITS, max_broadcast_entities: int = MAX_BROADCAST_ENTITIES, max_bitmap_bytes: int = MAX_BITMAP_BYTES) -> DataFrame:
+    """(doc_a, doc_b, jaccard) of every pair: entities are joined back to all their documents."""
+    near, members = _found(docs, True, n, threshold, bits, max_broadcast_entities, max_bitmap_bytes)
+    first, second = members.select(F.col("entity").alias("a"), F.col("doc_id").alias("x")), members.select(F.col("entity").alias("b"), F.col("doc_id").alias("y"))
+    near = near.join(first, "a").join(second, "b").where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
+    equal = first.join(second, first["a"] == second["b"]).where("x < y").select(F.col("x").alias("doc_a"), F.col("y").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    return near.union(equal)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): every node of the edges (u, v) with the least node of its component, by large-star and small-star steps."""
     edges = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "star")
@@ -453,6 +468,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(C.read(spark, sf_dir, "documents"))
 
 
+def query_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_pairs(C.read(spark, sf_dir, "documents"))
+
+
 def oracle(n: int = N, threshold: float = THRESHOLD) -> str:
     """DuckDB SQL for the join by brute force over shared n-grams."""
     word = r"'[a-z0-9\x{80}-\x{10FFFF}]+'"
@@ -466,3 +485,15 @@ shared AS (SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, count(*) AS n FROM r x J
 SELECT s.doc_a, s.doc_b, s.n / (a.size + b.size - s.n) AS jaccard
 FROM shared s JOIN reps a ON a.doc_id = s.doc_a JOIN reps b ON b.doc_id = s.doc_b WHERE s.n / (a.size + b.size - s.n) >= {threshold} - 1e-12
 UNION ALL SELECT reps.doc_id, sets.doc_id, 1.0 FROM sets JOIN reps USING (entity) WHERE sets.doc_id > reps.doc_id"""
+
+
+def oracle_all_pairs(n: int = N, threshold: float = THRESHOLD) -> str:
+    """DuckDB SQL for every pair by brute force over shared n-grams."""
+    word = r"'[a-z0-9\x{80}-\x{10FFFF}]+'"
+    return f"""
+WITH g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {n} THEN list_transform(range(len(w) - {n - 1}), lambda i: array_to_string(w[i + 1:i + {n}], ' ')) ELSE [array_to_string(w, ' ')] END) AS gram
+ FROM (SELECT doc_id, regexp_extract_all(lower(text), {word}) AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL) WHERE len(w) > 0),
+sets AS (SELECT doc_id, count(*) AS size FROM g GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, count(*) AS n FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY 1, 2)
+SELECT s.doc_a, s.doc_b, s.n / (a.size + b.size - s.n) AS jaccard
+FROM shared s JOIN sets a ON a.doc_id = s.doc_a JOIN sets b ON b.doc_id = s.doc_b WHERE s.n / (a.size + b.size - s.n) >= {threshold} - 1e-12"""

@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
         "op5_exact_topk": topk.query,
         "op6_token_counts": token_counts.query,
         "op7_ngram_join": ngram_join.query,
+        "op7_ngram_join_all_pairs": ngram_join.query_all_pairs,
         "op8_url_filter": url_filter.query,
         "op9_suffix_dedup": suffix_dedup.query,
         "op10_quality_classifier": quality.query,
@@ -27,4 +28,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.oracle(), "op2_decontaminate": decontaminate.oracle(), "op5_exact_topk": topk.oracle(), "op7_ngram_join": ngram_join.oracle(), "op9_suffix_dedup": suffix_dedup.oracle()}
+    return {"op1_license_scan": license_scan.oracle(), "op2_decontaminate": decontaminate.oracle(), "op5_exact_topk": topk.oracle(), "op7_ngram_join": ngram_join.oracle(), "op7_ngram_join_all_pairs": ngram_join.oracle_all_pairs(), "op9_suffix_dedup": suffix_dedup.oracle()}

@@ -154,6 +154,17 @@ def test_ngram_join_brute_force(make, n, t, limits):
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want) and len(want) > 30
 
 
+@pytest.mark.parametrize("limits", [{}, {"max_bitmap_bytes": 3, "max_broadcast_entities": 3}])
+def test_ngram_join_gives_every_pair(make, limits):
+    """Pairs of copies that aren't the least id, and their near pairs, are rows of the result."""
+    rows = corpus()
+    rows += [(1000 + i, rows[i % 9][1]) for i in range(30)]
+    result = ngram_join.all_pairs(make(rows), 2, 0.65, bits=12, **limits).collect()
+    got, want = {(r.doc_a, r.doc_b): r.jaccard for r in result}, jaccard_pairs(rows, 2, 0.65)
+    assert len(got) == len(result) and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert len(want) > ngram_join.join(make(rows), 2, 0.65, bits=12).count()
+
+
 def test_frequent_tokens_are_combined(make, monkeypatch):
     """With all tokens frequent every pair is found by combinations alone."""
     monkeypatch.setattr(ngram_join, "_code", lambda count: np.minimum(255, np.round(8 * np.log2(1.0 + count))).astype(np.uint8))
