@@ -44,6 +44,7 @@ TEMPLATES: list[tuple[str, str]] = [
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
     ("cc-by-long", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("all-rights", "Copyright. All rights reserved. No part of this publication may be reproduced without permission."),
+    ("all-rights-notice", "All rights reserved."),
 ]
 
 

@@ -68,6 +68,15 @@ def test_license_blocks(make):
     assert not any(d is None for d, _, _ in got) and (2, 0, "mit-notice") not in got
 
 
+def test_license_lines_of_the_documents_are_found(spark):
+    """Every license line that occurs in the documents has a template, 'All rights reserved.' too."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    sought = re.compile(r"\b(licen[sc]ed?|all rights reserved|copyright)\b", re.I)
+    want = {(r.doc_id, k) for r in docs.collect() for k, line in enumerate(r.text.split("\n")) if sought.search(line)}
+    found = {(r.doc_id, r.block_no) for r in license_scan.scan(docs).collect()}
+    assert len(want) > 40 and want == found
+
+
 def test_license_brute_force(make):
     rng = random.Random(4)
     templates = [(f"t{i}", " ".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 8)))) for i in range(12)] + [("empty", "!!")]
