@@ -1,10 +1,15 @@
 """Operator 1, license scan: an exact set-similarity join of text blocks with license templates.
 
-A block is a line. Template T matches block B when |T & B| / |T| >= threshold over distinct words. Tokens are put in
+A block is a line or, with ``wrapped``, also a run of lines. Template T matches block B when |T & B| / |T| >= threshold over distinct words. Tokens are put in
 one global order, rarest in the whole corpus first (ties by hash); a block can only match T if it has one of the first
 |T| - ceil(threshold |T|) + 1 tokens of T (prefix filter), at least ceil(threshold |T|) tokens (length filter), and
 enough tokens of T left after the first common one (positional filter). What passes is counted exactly.
 
+Wrapped blocks: where no line alone matches T, a run of consecutive lines is a block if some run of words in it,
+at most as many as T has, divided by threshold, has enough tokens of T: else strange lines together would match. Lines that match T alone are in no wrapped block of T. Blocks are taken
+from the top, each from the last word that it can begin with to the end of as many words as T has; two of one template
+may share a line, not a word. block_no is the first line. Documents are filtered by the same join first, each as one block.
+
 The template table is broadcast: it doesn't grow with the corpus, and its size is checked.
 
 Defined results: null and empty texts and rows with a null doc_id have no match; a line that occurs twice matches twice
@@ -15,6 +20,7 @@ returned; templates without a word are ignored; columns besides doc_id and text
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +66,7 @@ class Templates:
             raise ValueError("the template table is too large to broadcast; split it")
         words = C.Words(pa.array([t or "" for _, t in templates], pa.large_string()))
         sets = [np.unique(words.hashes[a:b]) for a, b in zip(words.first[:-1], words.first[1:])]
+        self.words = np.diff(words.first)[[len(s) > 0 for s in sets]]
         kept = [(name, s) for (name, _), s in zip(templates, sets) if len(s)]
         self.names, self.sets, self.threshold = [n for n, _ in kept], [s for _, s in kept], threshold
         self.vocabulary = np.unique(np.concatenate(self.sets)) if kept else np.zeros(0, np.uint64)
@@ -120,8 +127,32 @@ class Templates:
         return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Every (block, template) with containment of at least ``threshold``."""
+def _wrapped(word: np.ndarray, rank: np.ndarray, line: np.ndarray, alone: set[int], need: int, words: int, most: int) -> list[tuple[int, int, int]]:
+    """(first line, last line, overlap) of the wrapped blocks; word, rank, line: of a document's words that are in the template."""
+    out, held, a, b = [], {}, 0, 0
+    word, rank, line = word.tolist(), rank.tolist(), line.tolist()
+    while b < len(word):
+        if line[b] in alone:
+            held, a = {}, b + 1
+        else:
+            held[rank[b]] = held.get(rank[b], 0) + 1
+            while held[rank[a]] > 1 or word[b] - word[a] >= most:
+                held[rank[a]] -= 1
+                if not held[rank[a]]:
+                    del held[rank[a]]
+                a += 1
+            if len(held) >= need:
+                while b + 1 < len(word) and word[b + 1] - word[a] < words and line[b + 1] not in alone:
+                    b += 1
+                low, high = bisect_left(line, line[a]), bisect_right(line, line[b])
+                out.append((line[a], line[b], len(set(rank[low:high]))))
+                held, a = {}, b + 1
+        b += 1
+    return out
+
+
+def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, wrapped: bool = False) -> DataFrame:
+    """Every (block, template) with containment of at least ``threshold``; wrapped: over line breaks too."""
     docs = C.known(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     index = Templates(templates, threshold)
 
@@ -144,11 +175,22 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
             row = np.searchsorted(words.first, at, "right") - 1
             key = np.unique(((line + row) << 24) | rank)  # line + row differs wherever line or row does, as both ascend
             block, t, overlap = index.match(key >> 24, key & ((1 << 24) - 1))
-            if not len(block):
-                continue
             lines_before = np.searchsorted(newlines, words.offsets)  # newlines before each row
             begin = lines_before[:-1] + np.arange(len(texts))
             doc = np.searchsorted(begin, block, "right") - 1
+            if wrapped:
+                whole = np.unique((row << 24) | rank)
+                more = []
+                for r, k, _ in zip(*index.match(whole >> 24, whole & ((1 << 24) - 1))):
+                    if lines_before[r + 1] > lines_before[r]:
+                        a, b = np.searchsorted(row, [r, r + 1])
+                        own = np.flatnonzero(index.member[k, rank[a:b]]) + a
+                        alone = set((block[(doc == r) & (t == k)] - r).tolist())
+                        more += [(first + r, k, n, r) for first, _, n in _wrapped(at[own], rank[own], line[own], alone, max(int(index.need[k]), 1), int(index.words[k]), int(index.words[k] / max(threshold, 1e-9) + 1e-9))]
+                if more:
+                    block, t, overlap, doc = (np.concatenate([x, y]) for x, y in zip((block, t, overlap, doc), np.array(more, np.int64).T))
+            if not len(block):
+                continue
             size = index.size[t]
             yield C.table(
                 doc_id=pa.array(C.ids(batch)[doc]), block_no=block - begin[doc], template_id=pa.array(np.array(index.names, object)[t], pa.string()), overlap=overlap, template_tokens=size, containment=overlap / size
@@ -158,7 +200,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(C.read(spark, sf_dir, "documents"))
+    return scan(C.read(spark, sf_dir, "documents"), wrapped=True)
 
 
 def oracle(templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> str:

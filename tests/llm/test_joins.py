@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 from collections import defaultdict
 from pathlib import Path
 
@@ -91,6 +92,26 @@ def test_license_brute_force(make):
     assert {(r.doc_id, r.block_no, r.template_id) for r in license_scan.scan(make(rows), templates, 0.7).collect()} == want
 
 
+@pytest.mark.parametrize("width", [20, 40, 75])
+def test_wrapped_licenses_are_found(make, width):
+    """Each built-in template, wrapped in prose and in comments, is found where no line alone holds it."""
+    rows = []
+    for i, (_, t) in enumerate(license_scan.TEMPLATES):
+        lines = textwrap.wrap(f"Some prose comes first here. {t} More prose.", width)
+        rows += [(i, "\n".join(lines)), (100 + i, "intro\n\n" + "\r\n".join(f" * {x}" for x in lines))]
+    rows.append((200, "\n".join(textwrap.wrap(license_scan.TEMPLATES[2][1], width) * 3)))
+    rows.append((201, "released\n" + "other words in between\n" * 9 + "under the\n" + "other words in between\n" * 9 + "mit license"))
+    rows.append((202, "This work is licensed under the GNU General Public License, version 3.\ndas kommt mit"))
+    got = [(r.doc_id, r.block_no, r.template_id, r.overlap, r.template_tokens) for r in license_scan.scan(make(rows), wrapped=True).collect()]
+    names = [name for name, _ in license_scan.TEMPLATES]
+    assert {(base + i, names[i]) for i in range(len(names)) for base in (0, 100)} <= {(d, name) for d, _, name, _, _ in got}
+    assert len([g for g in got if g[0] == 200]) == 3 and all(n == m for d, _, _, n, m in got if d == 200)
+    assert not [g for g in got if g[0] == 201]
+    assert "mit-notice" not in {g[2] for g in got if g[0] == 202}
+    alone = {(r.doc_id, r.block_no, r.template_id) for r in license_scan.scan(make(rows)).collect()}
+    assert alone < {g[:3] for g in got} and len(got) == len({g[:3] for g in got})
+
+
 def grams(text, n):
     w = words(text)
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
