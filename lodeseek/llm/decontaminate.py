@@ -199,12 +199,16 @@ def _find_by_shuffle(docs: DataFrame, items: DataFrame, scheme: Scheme) -> DataF
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, max_broadcast_items: int = MAX_BROADCAST_ITEMS) -> DataFrame:
-    """The rows of docs in which no item is found, with all columns of docs; rows with a null doc_id are judged too."""
+    """The rows of docs in which no item is found, with all columns of docs; each is judged by its own text, whatever its doc_id.
+
+    Beyond max_broadcast_items, rows are told apart by 64 bits of a hash of their text.
+    """
     plain = _plain(items, "item_id")
     rows = _small(plain, max_broadcast_items)
     if rows is None:
-        bad = find(docs, items, n, threshold, recall, max_broadcast_items).select(F.col("doc_id").alias("__found_id")).distinct()
-        return docs.join(bad, docs["doc_id"] == bad["__found_id"], "left_anti")
+        key = F.when(docs["text"].isNotNull(), F.xxhash64(docs["text"]))
+        bad = find(docs.select(key.alias("doc_id"), "text"), items, n, threshold, recall, max_broadcast_items).select(F.col("doc_id").alias("__found_id")).distinct()
+        return docs.join(bad, key == bad["__found_id"], "left_anti")
     index = Index(Scheme(n, threshold, recall), [r[0] for r in rows], [r[1] for r in rows])
     at = docs.columns.index("text")
 

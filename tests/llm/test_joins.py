@@ -152,6 +152,17 @@ def test_decontamination_brute_force(make, benchmark_case, most):
     assert kept == {i for i, _ in rows} - {i for i, _ in got}
 
 
+@pytest.mark.parametrize("most", [100_000, 1])
+def test_contaminated_rows_go_by_their_own_text(make, spark, most):
+    """Null and repeated ids make no difference, however the items are held."""
+    items = spark.createDataFrame([(i, " ".join(f"i{i}w{k}" for k in range(20))) for i in range(3)], "item_id long, text string")
+    bad = [f"before {r.text} after" for r in items.collect()]
+    rows = [(None, bad[0]), (None, "clean one"), (1, bad[1]), (1, "clean two"), (1, None), (2, bad[2]), (2, bad[2]), (3, "clean two"), (None, None)]
+    kept = decontaminate.drop_contaminated(make(rows), items, max_broadcast_items=most)
+    assert kept.columns == make(rows).columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted((i or 0, t or "") for i, t in rows if t not in bad)
+
+
 def jaccard_pairs(rows, n, t):
     sets = {i: grams(x, n) for i, x in rows}
     ids = sorted(i for i in sets if sets[i])
