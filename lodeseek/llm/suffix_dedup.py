@@ -1,17 +1,16 @@
-"""Operator 9, suffix-array dedup: every passage of at least ``length`` words that occurs more than once in the corpus.
+"""Operator 9, suffix dedup: every passage of at least ``length`` words that occurs more than once in the corpus.
 
-Suffixes (at words) are sorted blockwise: a bucket of suffixes is a Spark partition by range of key, sorted on its own
-with spilling, so memory holds one batch of a bucket, never the corpus or its suffix array.
+No suffix is ordered: windows of ``length`` words are grouped by hash, after a prefilter by a difference cover. A bucket is
+a Spark partition by hash of the key, sorted by key on its own with spilling, so memory holds one batch of a bucket.
 
 A difference cover D modulo v makes any two positions i, j meet: some d < v has i + d and j + d in the sample
 {p : p mod v in D}. So if two suffixes share ``length`` words, a pair of sample suffixes at most v - 1 words further
-shares length - v + 1. First the sample suffixes are sorted by their first length - v + 1 words, and the ties get their
-rank (``tied``). Only suffixes that reach a tied sample suffix within v words can have a long common prefix, so only they
-are put in buckets and sorted by ``length`` words; all others are settled by the sample's ranks and never shuffled.
-Suffixes that still tie after ``length`` words are occurrences of one repeated passage; consecutive ones of a document
+shares length - v + 1. First the sample suffixes are grouped by the hash of their first length - v + 1 words (``tied``). Only
+windows that reach a tied sample suffix within v words can be repeated, so only they are grouped by the hash of ``length``
+words; all others are never shuffled. Equal windows are occurrences of one repeated passage; consecutive ones of a document
 join to a maximal span.
 
-The tied ranks are held by every worker while there are at most MAX_BROADCAST_RANKS of them; beyond that, a document
+The tied positions are held by every worker while there are at most MAX_BROADCAST_RANKS of them; beyond that, a document
 gets its tied positions by a shuffle join. Both give the same rows.
 
 Result: (doc_id, start_word, end_word, n_words, is_first). Words count from 0, end is exclusive. A span with is_first
