@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeseek.functions import answers
 from lodeseek.functions import text as T
 from lodeseek.operators import search
 from lodeseek.plans import providers
+from lodeseek.session import materialise
 
 QUERIES = "struct<queries:array<string>>"
 CONFIGS = (("baseline", False, False), ("queryopt", False, True), ("semantic", True, False), ("full", True, True))
@@ -54,14 +56,23 @@ def sub_queries(topics: DataFrame, provider: providers.Provider) -> DataFrame:
 
 def search_online(topics: DataFrame, corpus: DataFrame, provider: providers.Provider, dimensions: int, optimise: bool = True, hits_per_query: int = 5, k: int = 10) -> DataFrame:
     """topics (query_id, text), corpus (doc_id, dataset_id, embedding) -> (query_id, dataset_id, rank, score): sub-queries, their
-    nearest documents, the least distance per dataset, then the top k by vector score."""
+    nearest documents, the least distance per dataset, the provider's ranking of all of these, then the top k; a query without
+    a usable answer keeps its vector scores. The provider sees text and profiles of the nearest documents if corpus has them."""
     subs = sub_queries(topics, provider) if optimise else topics.withColumn("subquery_no", F.lit(0))
     asked = providers.embed(subs.select(F.concat_ws("#", "query_id", "subquery_no").alias("query_id"), "text"), provider, "text", "embedding", dimensions)
     near = search.knn_l2(corpus.select(F.col("doc_id").alias("dataset_id"), "embedding"), asked, hits_per_query)
     key = F.split("query_id", "#")
     hits = near.select(key[0].alias("query_id"), key[1].cast("int").alias("subquery_no"), F.col("rank").alias("hit_no"), F.col("dataset_id").alias("doc_id"), "distance").join(corpus.select("doc_id", "dataset_id"), "doc_id")
-    best = search.nearest_per_dataset(hits)
-    return best.where(F.col("rank") <= max(1, k)).select("query_id", "dataset_id", "rank", F.round(search.vector_score(F.col("distance")), 6).alias("score"))
+    best = search.nearest_per_dataset(hits).select("query_id", "dataset_id", "doc_id", F.col("rank").alias("seq"), search.vector_score(F.col("distance")).alias("vector_score"))
+    best = materialise(best, "online-candidates")
+    seen = [c for c in ("data_profile", "semantic_profile", "text") if c in corpus.columns]
+    shown = best.join(corpus.select("doc_id", "dataset_id", *seen).dropDuplicates(["doc_id", "dataset_id"]), ["doc_id", "dataset_id"], "left")
+    listed = shown.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("seq", "dataset_id", "vector_score", *seen))).alias("candidates"))
+    told = topics.select(F.col("query_id").cast("string").alias("query_id"), F.col("text").alias("query")).dropDuplicates(["query_id"]).join(listed, "query_id")
+    asked = told.select("query_id", F.to_json(F.struct("query", "candidates")).alias("prompt"))
+    given = answers.rankings(providers.complete(asked, provider, "rerank", "prompt", "answer"))
+    ranked = search.rerank(best.select("query_id", "dataset_id", "vector_score", "seq"), given)
+    return ranked.where(F.col("rank") <= max(1, k)).select("query_id", "dataset_id", "rank", F.round("final_score", 6).alias("score"))
 
 
 def replay_summary(dimensions: DataFrame, results: DataFrame) -> DataFrame:

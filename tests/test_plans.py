@@ -21,6 +21,20 @@ def test_index_and_search(spark, records):
     assert best.dataset_id == "d2" and best.score == 1.0
 
 
+def test_search_is_reranked_by_the_provider(spark, records):
+    class Ranker(providers.Offline):
+        def complete(self, task, text):
+            if task != "rerank":
+                return super().complete(task, text)
+            return '{"ranking": [{"dataset_id": "d1", "score": 0.9}]}' if '"query":"data about trains"' in text and "d2" in text else "no answer"
+
+    index = lifecycle.index_offline(records, providers.Offline(), 32).where("variant = 'without_semantic'")
+    topics = spark.createDataFrame([("q", "data about trains"), ("other", "data about rain")], "query_id string, text string")
+    got = {(r.query_id, r["rank"]): (r.dataset_id, r.score) for r in lifecycle.search_online(topics, index, Ranker(), 32, optimise=False, hits_per_query=20).collect()}
+    assert got["q", 1] == ("d1", 0.9) and got["q", 2] == ("d2", 0.5)
+    assert got["other", 1] == ("d1", 1.0)
+
+
 def test_normalise_queries(spark):
     df = spark.createDataFrame([('```json\n{"queries": [{"query": " a "}, {"query": ""}]}\n```',), ('{"queries": ["b", " "]}',), ("bad",), (None,)], "answer string")
     assert [r[0] for r in df.select(lifecycle.normalise_queries()).collect()] == [["a"], ["b"], [], []]
