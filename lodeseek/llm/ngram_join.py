@@ -1,20 +1,21 @@
 """Operator 7, n-gram Jaccard join: every pair of documents whose sets of word n-grams have Jaccard similarity >= threshold.
 
-Tokens (n-grams) are put in one global order, rare first. The order comes from a table of counts by hash bucket, summed
-over the whole corpus; any fixed order is right, a better one only saves candidates. A token is rare or frequent by
-its count. With a = ceil(t |x|), a document indexes
-
-* each rare token among its first |x| - a + 1 tokens, singly; and
-* if a frequent token is among these (so all its rare tokens are), combinations of frequent tokens: the prefix is
-  extended to |x| - a + k tokens, of which a partner has at least k; frequent tokens fall into k - 1 hash classes, so
-  two common ones fall into one class, and every pair of tokens of one class is indexed. k grows with the size level of
-  the larger document, so classes stay small and the number of pairs linear.
-
-Partners meet by index key; length and position filters and a rule that drops a key whose predecessor is common too
-(then the pair was found there) leave candidates, and a bitmap filter drops most false ones: a set's bitmap has the
-parity of its tokens by hash, so two bitmaps differ in at most as many bits as the sets do in tokens, which bounds the
-overlap from above; it has 2 to 4 bits a token, and a longer one folds onto a shorter. Candidates are made distinct and verified by intersecting whole sets: the sets of a neighbourhood
-travel once to one place. Bitmaps are held by every worker up to MAX_BITMAP_BYTES of them, and joined to the pairs beyond. Documents with equal sets are one entity all along.
+Tokens (n-grams) are put in one global order, rare first, by their exact counts over the whole corpus. The counts come
+from one exchange: documents are gathered in chunks of about a million tokens, written once; each chunk sends its sorted
+distinct tokens to the ranges of the token space, each range adds them up and sends a code of one byte a token back.
+A token that occurs in one document is in no pair and is never indexed. With o = the overlap that a partner needs at
+least, two sets share two tokens among the first |x| - o + 2 of each, so a document indexes
+
+* each rare token (at most RARE documents have it) among these, singly; two matches make a candidate; and
+* if a frequent token is among these, combinations of frequent tokens: the prefix is extended to |x| - o + k tokens, of
+  which a partner has at least k, and at least k - 1 of those are frequent, or two rare ones meet anyway; frequent
+  tokens fall into k - 2 hash classes, so two common ones fall into one class, and every pair of tokens of one class is
+  indexed; one match makes a candidate. k grows with the size level of the larger document, so classes stay small and
+  the number of pairs linear.
+
+Partners meet by index key; length and position filters and a rule that drops a key whose predecessors are common too
+(then the pair was met there often enough) leave candidates, which are counted and verified by intersecting whole sets:
+the sets of a neighbourhood travel once to one place. Documents with equal sets are one entity, indexed once.
 
 Result: (doc_a, doc_b, jaccard), doc_a < doc_b. ``all_pairs`` gives every pair. ``join`` gives a compressed result: of
 documents with equal sets the least doc_id stands for all in pairs with others, and each other one is paired with it at
@@ -28,7 +29,7 @@ text are never read. Tokens are compared by 44 bits of their hash.
 from __future__ import annotations
 
 import math
-import zlib
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +37,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.llm import _core as C
-from lodeseek.session import materialise
+from lodeseek.session import discard, materialise
 
 N = 2
 THRESHOLD = 0.65
-BUCKET_BITS = 23
-PARTS = 64
+RARE = 32  # documents that have a rare token, at most
+CHUNK = 1 << 20  # tokens gathered in a chunk, and counted in a range
+COPIES = 1024  # copies of one set held in one row
 MAX_BROADCAST_ENTITIES = 4_000_000
-MAX_BITMAP_BYTES = 64 << 20
 LOW = C.U((1 << 44) - 1)
 
 
@@ -70,27 +71,57 @@ def _entities(row: np.ndarray, token: np.ndarray, n_rows: int) -> tuple[np.ndarr
     return C.mix((sums[begin[1:]] - sums[begin[:-1]]) ^ C.mix(size.astype(np.uint64))).view(np.int64), begin
 
 
-class Order:
-    """The global order: a code of one byte for the count of each bucket, and the largest code of rare tokens."""
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The bytes of integers, all lowest ones first; high ones are mostly 0 and shrink as they are written."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
-    def __init__(self, codes: np.ndarray, bits: int, rare: int):
-        self.codes, self.bits, self.rare = codes, bits, rare
 
-    def keys(self, row: np.ndarray, token: np.ndarray) -> np.ndarray:
-        """Keys of 64 bits that sort by row, code and token."""
-        return (row << C.U(52)) | (self.codes[(token >> C.U(44 - self.bits)).astype(np.int64)].astype(np.uint64) << C.U(44)) | token
+def _from_planes(data, width: int) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).reshape(width, -1)
+    out = np.zeros((raw.shape[1], 8), np.uint8)
+    out[:, :width] = raw.T
+    return out.view(np.uint64).ravel()
 
 
-def _code(count: np.ndarray) -> np.ndarray:
-    return np.minimum(255, np.round(8 * np.log2(1.0 + count))).astype(np.uint8)
+def _squeeze(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unsqueeze(data: bytes) -> bytes:
+    n = int.from_bytes(data[:8], "little")
+    return pa.decompress(data[8:], n, codec="zstd", asbytes=True) if n else b""
+
+
+def _sorted_bytes(tokens: np.ndarray) -> bytes:
+    """Sorted distinct tokens as differences."""
+    return _planes(np.diff(tokens, prepend=C.U(0)), 6)
+
+
+def _sorted_tokens(data: bytes) -> np.ndarray:
+    return np.cumsum(_from_planes(data, 6), dtype=np.uint64)
 
 
-def survey(docs: DataFrame, n: int, bits: int) -> DataFrame:
-    """One pass: (doc_id, entity, bitmap) of every document that has words, and each task's bucket counts in parts."""
-    cells = (1 << bits) // PARTS
+class Chunk:
+    """Documents' sets, token by token: (docs, sizes, entities) by ref; each token's refs follow each other."""
+
+    SCHEMA = "chunk long, n_tokens long, docs binary, entities binary, tokens binary, times binary, refs binary"
+
+    @staticmethod
+    def pack(docs: np.ndarray, entities: np.ndarray, ref: np.ndarray, token: np.ndarray) -> pa.RecordBatch:
+        keys = np.sort(token << C.U(12) | ref)
+        token, ref = keys >> C.U(12), keys & C.U(4095)
+        first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
+        times = np.diff(np.r_[first, len(token)])
+        columns = (docs.tobytes(), entities.tobytes(), _squeeze(_sorted_bytes(token[first])), _squeeze(_planes(times, 2)), _squeeze(_planes(ref, 2)))
+        name = int.from_bytes(os.urandom(8), "little", signed=True)
+        return C.table(chunk=pa.array([name], pa.int64()), n_tokens=pa.array([len(token)], pa.int64()), **{k: pa.array([x], pa.binary()) for k, x in zip(("docs", "entities", "tokens", "times", "refs"), columns)})
+
+
+def gather(docs: DataFrame, n: int) -> DataFrame:
+    """Chunks of all documents that have words; of equal sets in a task one keeps its tokens. A chunk has at most 4,095 documents."""
 
     def work(batches):
-        total = np.zeros(1 << bits, np.uint32)
+        held, rows, size = [], 0, 0
         for batch, texts in C.sliced(batches):
             row, token = _tokens(texts, n)
             keys = _distinct((row << C.U(44)) | token)
@@ -98,35 +129,80 @@ def survey(docs: DataFrame, n: int, bits: int) -> DataFrame:
             entity, begin = _entities(row, token, len(texts))
             some = np.diff(begin) > 0
             n_some = int(some.sum())
-            yield C.table(doc_id=pa.array(C.ids(batch)[some]), entity=entity[some], bitmap=bitmaps_of(row, token, np.diff(begin)).filter(pa.array(some)), part=pa.nulls(n_some, pa.int32()), counts=pa.nulls(n_some, pa.binary()))
-            np.add.at(total, (token >> C.U(44 - bits)).astype(np.intp), np.uint32(1))
-        if total.any():
-            for p in range(PARTS):
-                data = zlib.compress(np.minimum(total[p * cells : (p + 1) * cells], 65535).astype(np.uint16).tobytes(), 1)
-                yield C.table(doc_id=pa.nulls(1, pa.int64()), entity=pa.nulls(1, pa.int64()), bitmap=pa.nulls(1, pa.binary()), part=pa.array([p], pa.int32()), counts=pa.array([data], pa.binary()))
+            if rows + n_some > 4095 or size + len(token) > CHUNK and rows:
+                yield flush(held)
+                held, rows, size = [], 0, 0
+            ref = (np.cumsum(some) - 1)[row.astype(np.int64)] + rows
+            held.append((C.ids(batch)[some], entity[some], ref.astype(np.uint64), token))
+            rows, size = rows + n_some, size + len(token)
+        if rows:
+            yield flush(held)
 
-    return materialise(C.each(docs, work, "doc_id long, entity long, bitmap binary, part int, counts binary"), "ngram-survey")
+    def flush(held):
+        return Chunk.pack(*(np.concatenate(x) for x in zip(*held)))
 
+    return materialise(C.each(docs, work, Chunk.SCHEMA), "ngram-chunks")
 
-def order(counts: DataFrame, bits: int) -> Order:
-    """Sum the tasks' counts part by part; only codes of one byte reach the driver."""
-    cells = (1 << bits) // PARTS
 
-    def add(batches):
-        totals: dict[int, np.ndarray] = {}
+def members_of(chunks: DataFrame) -> DataFrame:
+    """(doc_id, entity, chunk, ref) of every document."""
+
+    def work(batches):
+        for batch in batches:
+            for chunk, docs, entities in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                doc = np.frombuffer(docs, np.int64)
+                yield C.table(doc_id=doc, entity=np.frombuffer(entities, np.int64), chunk=np.full(len(doc), chunk), ref=np.arange(len(doc), dtype=np.int32))
+
+    return C.each(chunks.select("chunk", "docs", "entities"), work, "doc_id long, entity long, chunk long, ref int")
+
+
+def _code(count: np.ndarray) -> np.ndarray:
+    return np.minimum(255, np.round(8 * np.log2(1.0 + count))).astype(np.uint8)
+
+
+ONCE = int(_code(np.array(1)))
+
+
+def codes_of(chunks: DataFrame) -> DataFrame:
+    """(chunk, part, codes): the code of the count of each distinct token of a chunk, range by range."""
+    total = chunks.agg(F.sum("n_tokens")).first()[0] or 0
+    parts = max(1, -(-total // CHUNK))
+    edges = np.array([(p << 44) // parts for p in range(parts + 1)], np.uint64)
+
+    def send(batches):
         for batch in batches:
-            for p, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.frombuffer(zlib.decompress(data), np.uint16)
-                totals[p] = totals[p] + x if p in totals else x.astype(np.int64)
-        for p, x in totals.items():
-            yield C.table(part=pa.array([p], pa.int32()), codes=pa.array([zlib.compress(_code(x).tobytes(), 1)], pa.binary()), total=pa.array([int(x.sum())]))
+            for chunk, tokens, times in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                token, times = _sorted_tokens(_unsqueeze(tokens)), _from_planes(_unsqueeze(times), 2)
+                at = np.searchsorted(token, edges)
+                some = np.flatnonzero(np.diff(at))
+                yield C.table(part=some, chunk=np.full(len(some), chunk), tokens=pa.array([_sorted_bytes(token[at[p] : at[p + 1]]) for p in some], pa.binary()), times=pa.array([_planes(times[at[p] : at[p + 1]], 2) for p in some], pa.binary()))
 
-    rows = counts.select("part", "counts").repartition("part").mapInArrow(add, "part int, codes binary, total long").collect()
-    codes = np.zeros(1 << bits, np.uint8)
-    for p, data, _ in rows:
-        codes[p * cells : (p + 1) * cells] = np.frombuffer(zlib.decompress(data), np.uint8)
-    mean = sum(r[2] for r in rows) / len(codes)
-    return Order(codes, bits, int(_code(np.array(mean + 6 * math.sqrt(mean) + 16))))
+    def add(batches):
+        here, held = None, []
+        for batch in batches:
+            for part, chunk, tokens, times in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if part != here and held:
+                    yield sums(here, held)
+                    held = []
+                here = part
+                held.append((chunk, tokens, times))
+        if held:
+            yield sums(here, held)
+
+    def sums(part, held):
+        tokens = [_sorted_tokens(x) for _, x, _ in held]
+        every = np.concatenate(tokens)
+        by = np.argsort(every)
+        token = every[by]
+        first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        count = np.add.reduceat(np.concatenate([_from_planes(x, 2) for _, _, x in held])[by].astype(np.int64), first)
+        code = np.empty(len(every), np.uint8)
+        code[by] = np.repeat(_code(count), np.diff(np.r_[first, len(token)]))
+        cuts = np.cumsum([0, *map(len, tokens)])
+        return C.table(chunk=np.array([c for c, _, _ in held]), part=np.full(len(held), part), codes=pa.array([_squeeze(code[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])], pa.binary()))
+
+    sent = C.each(chunks.select("chunk", "tokens", "times"), send, "part long, chunk long, tokens binary, times binary")
+    return materialise(sent.repartition("part").sortWithinPartitions("part").mapInArrow(add, "chunk long, part long, codes binary"), "ngram-codes")
 
 
 class Levels:
@@ -156,10 +232,10 @@ def _combinations(token: np.ndarray, size: int, t: float, levels: Levels, first:
             continue
         pos = np.arange(first, end)
         salt = C.U((at + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
-        if k == 1:
+        if k <= 2:
             a = b = np.arange(len(tok))
         else:
-            kind = (tok * C.U(0xD6E8FEB86659FD93) >> C.U(33)).astype(np.int64) % (k - 1)
+            kind = (tok * C.U(0xD6E8FEB86659FD93) >> C.U(33)).astype(np.int64) % (k - 2)
             by = np.lexsort((pos, kind))
             kind = kind[by]
             left, right, d = [], [], 1
@@ -185,33 +261,69 @@ def _combinations(token: np.ndarray, size: int, t: float, levels: Levels, first:
     return out
 
 
-def signatures(docs: DataFrame, order_: Order, n: int, t: float) -> DataFrame:
-    """(key, entity, place, before): place = size << 32 | position << 1 | may stand for the smaller of a pair."""
-    levels = Levels(t)
+def signatures(chunks: DataFrame, codes: DataFrame, copies: DataFrame, t: float, rare: int) -> DataFrame:
+    """(key, entity, place, before): place = size << 32 | position << 2 | by itself << 1 | may stand for the smaller of a pair.
+
+    copies: (chunk, refs) of documents whose set another one stands for.
+    """
+    levels, most = Levels(t), int(_code(np.array(rare)))
 
     def work(batches):
-        for _, texts in C.sliced(batches):
-            keys = _distinct(order_.keys(*_tokens(texts, n)))
-            row, token, code = keys >> C.U(52), keys & LOW, (keys >> C.U(44)) & C.U(255)
-            entity, begin = _entities(row, token, len(texts))
-            size = np.diff(begin)
-            row = row.astype(np.int64)
-            pos = np.arange(len(keys)) - begin[:-1][row]
-            p1 = size - _ceil(t * size) + 1
-            small = size - _ceil(2 * t / (1 + t) * size) + 1
-            rare = code <= order_.rare
-            at = np.flatnonzero(rare & (pos < p1[row]))
-            before = np.zeros(len(keys), np.uint64)
-            before[1:] = token[:-1]
-            before[pos == 0] = 0
-            r = row[at]
-            yield C.table(key=C.mix(token[at]).view(np.int64), entity=entity[r], place=size[r] << 32 | pos[at] << 1 | (pos[at] < small[r]), before=before[at].astype(np.uint32).view(np.int32))
-            rare_count = np.bincount(row[rare], minlength=len(texts))
-            for r in np.flatnonzero(rare_count < p1):
-                for key, able, prev in _combinations(token[begin[r] : begin[r + 1]], int(size[r]), t, levels, int(rare_count[r])):
-                    yield C.table(key=key.view(np.int64), entity=np.full(len(key), entity[r]), place=(int(size[r]) << 32) | able.astype(np.int64), before=prev.astype(np.uint32).view(np.int32))
-
-    return C.each(docs.select("text"), work, "key long, entity long, place long, before int")
+        codes_, gone = [], np.zeros(0, np.int32)
+        for batch in batches:
+            for kind, codes, refs, entities, times, tokens, ref in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("kind", "codes", "gone", "entities", "times", "tokens", "refs"))):
+                if kind.as_py() == 0:
+                    codes_.append(_unsqueeze(codes.as_py()))
+                elif kind.as_py() == 1:
+                    gone = refs.values.to_numpy()
+                else:
+                    code = np.frombuffer(b"".join(codes_), np.uint8)
+                    yield from index(code, gone, np.frombuffer(entities.as_py(), np.int64), *(_unsqueeze(x.as_py()) for x in (times, tokens, ref)))
+                    codes_, gone = [], np.zeros(0, np.int32)
+
+    def index(code, gone, entity, times, tokens, ref):
+        times = _from_planes(times, 2).astype(np.int64)
+        ref = _from_planes(ref, 2)
+        alive = np.ones(len(entity), bool)
+        alive[gone] = False
+        alive = alive[ref.astype(np.int64)]
+        keys = (ref << C.U(52) | np.repeat(code.astype(np.uint64) << C.U(44) | _sorted_tokens(tokens), times))[alive]
+        keys.sort()
+        row, token, code = (keys >> C.U(52)).astype(np.int64), keys & LOW, (keys >> C.U(44)) & C.U(255)
+        begin = np.searchsorted(row, np.arange(len(entity) + 1))
+        size = np.diff(begin)
+        pos = np.arange(len(keys)) - begin[:-1][row]
+        p1 = size - _ceil(t * size) + 2
+        small = size - _ceil(2 * t / (1 + t) * size) + 2
+        seldom = code <= most
+        at = np.flatnonzero(seldom & (code > ONCE) & (pos < p1[row]))
+        before = np.zeros(len(keys), np.uint64)
+        before[2:] = C.mix(token[:-2] * C.U(0xC2B2AE3D27D4EB4F) + C.mix(token[1:-1]))
+        before[pos < 2] = 0
+        r = row[at]
+        yield C.table(key=C.mix(token[at]).view(np.int64), entity=entity[r], place=size[r] << 32 | pos[at] << 2 | (pos[at] < small[r]), before=before[at].view(np.int64))
+        seldom_count = np.bincount(row[seldom], minlength=len(entity))
+        out, held = [], 0
+        for r in np.flatnonzero((seldom_count < p1) & (seldom_count < size)):
+            for key, able, prev in _combinations(token[begin[r] : begin[r + 1]], int(size[r]), t, levels, int(seldom_count[r])):
+                out.append((key, np.full(len(key), entity[r]), (int(size[r]) << 32) | 2 | able.astype(np.int64), prev))
+                held += len(key)
+            if held > 100_000:
+                yield flush(out)
+                out, held = [], 0
+        if out:
+            yield flush(out)
+
+    def flush(out):
+        key, entity, place, before = (np.concatenate(x) for x in zip(*out))
+        return C.table(key=key.view(np.int64), entity=entity, place=place, before=before.view(np.int64))
+
+    none = F.lit(None)
+    bodies = chunks.select("chunk", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("part"), none.cast("binary").alias("codes"), none.cast("array<int>").alias("gone"), "entities", "tokens", "times", "refs")
+    blank = [none.cast("binary").alias(c) for c in ("entities", "tokens", "times", "refs")]
+    rows = codes.select("chunk", F.lit(0).alias("kind"), "part", "codes", none.cast("array<int>").alias("gone"), *blank)
+    rows = rows.union(copies.select("chunk", F.lit(1), F.lit(0).cast("long"), none.cast("binary"), "refs", *blank)).union(bodies)
+    return rows.repartition("chunk").sortWithinPartitions("chunk", "kind", "part").mapInArrow(work, "key long, entity long, place long, before long")
 
 
 def _grouped(batches, *names):
@@ -232,135 +344,75 @@ def _grouped(batches, *names):
         yield [np.concatenate(x) for x in zip(*held)]
 
 
-def bitmaps_of(row: np.ndarray, token: np.ndarray, size: np.ndarray) -> pa.Array:
-    """The parity bitmap of each row's tokens, a power of two of at least 64 and 2 bits a token."""
-    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * size, 1))).astype(np.int64))
-    begin = np.concatenate([[0], np.cumsum(bits)])
-    row = row.astype(np.int64)
-    place = begin[row] + (C.mix(token).astype(np.int64) & (bits[row] - 1))
-    parity = (np.bincount(place, minlength=begin[-1]) & 1).astype(np.uint8)
-    return C.pack(np.packbits(parity, bitorder="little"), begin // 8, 1)
-
-
-class Bitmaps:
-    """Bitmaps one after another: words[at[i]:at[i + 1]]."""
-
-    def __init__(self, column: pa.Array):
-        buf, offsets = C.raw(column.cast(pa.large_binary()))
-        self.words, self.at = np.ascontiguousarray(buf).view(np.uint64), offsets // 8
-
-    def take(self, rows: np.ndarray, n: int) -> np.ndarray:
-        """[rows x n words], longer ones folded."""
-        length = self.at[rows + 1] - self.at[rows]
-        out = np.zeros((len(rows), n), np.uint64)
-        for k in range(int(length.max()) // n):
-            some = np.flatnonzero(length >= (k + 1) * n)
-            out[some] ^= self.words[(self.at[rows[some]] + k * n)[:, None] + np.arange(n)]
-        return out
-
-
-def may_hold(a: Bitmaps, x: np.ndarray, b: Bitmaps, y: np.ndarray, sizes: np.ndarray, need: np.ndarray) -> np.ndarray:
-    """Whether bitmaps x of a and y of b leave room for an overlap of ``need``; sizes: of both sets together."""
-    words = np.minimum(a.at[x + 1] - a.at[x], b.at[y + 1] - b.at[y])
-    differ = np.zeros(len(x), np.int64)
-    for n in np.unique(words):
-        some = np.flatnonzero(words == n)
-        step = max(1, (1 << 20) // int(n))
-        for k in range(0, len(some), step):
-            part = some[k : k + step]
-            differ[part] = np.bitwise_count(a.take(x[part], int(n)) ^ b.take(y[part], int(n))).sum(1, dtype=np.int64)
-    return (sizes - differ) // 2 >= need
-
-
-def candidates(signed: DataFrame, t: float, bitmaps: DataFrame, max_bytes: int = MAX_BITMAP_BYTES) -> DataFrame:
-    """Distinct (a, b) of entities, a < b, that pass the filters at some key; bitmaps: one of each entity."""
-    at_hand = (bitmaps.agg(F.sum(F.octet_length("bitmap") + 8)).first()[0] or 0) <= max_bytes
-    if at_hand:
-        got = bitmaps.select("entity", "bitmap").orderBy("entity").toArrow().combine_chunks()
-        known = got.column("entity").to_numpy()
-        bits = Bitmaps(got.column("bitmap").combine_chunks() if got.num_rows else pa.array([], pa.binary()))
-        del got
+def candidates(signed: DataFrame, t: float) -> DataFrame:
+    """Distinct (a, b) of entities, a < b, that meet often enough and pass the filters where they meet."""
 
     def work(batches):
         for key, entity, place, before in _grouped(batches, "key", "entity", "place", "before"):
             first = np.r_[True, (key[1:] != key[:-1]) | (entity[1:] != entity[:-1])]
             key, entity, place, before = key[first], entity[first], place[first], before[first]
-            size, pos, able = place >> 32, (place & 0xFFFFFFFF) >> 1, (place & 1).astype(bool)
-            together = np.flatnonzero(np.r_[key[1:] == key[:-1], False] | np.r_[False, key[1:] == key[:-1]])
-            number = np.zeros(len(key), np.int64)
-            if at_hand:
-                number[together] = np.searchsorted(known, entity[together])
-            live, d, out, held = np.arange(len(key) - 1), 1, [], 0
+            size, pos, alone, able = place >> 32, (place & 0xFFFFFFFF) >> 2, (place & 2) > 0, (place & 1) > 0
+            live, d, out, held = np.flatnonzero(key[1:] == key[:-1]), 1, [], 0
             while len(live):
-                live = live[live + d < len(key)]
-                live = live[key[live] == key[live + d]]
                 i, j = live, live + d
                 j_small = (size[j] < size[i]) | ((size[j] == size[i]) & (entity[j] < entity[i]))
                 y, x = np.where(j_small, j, i), np.where(j_small, i, j)
                 need = _ceil(t / (1 + t) * (size[x] + size[y]))
-                most = 1 + np.minimum(pos[x], pos[y]) + np.minimum(size[x] - pos[x], size[y] - pos[y]) - 1
+                most = np.minimum(pos[x], pos[y]) + np.minimum(size[x] - pos[x], size[y] - pos[y])
                 ok = able[y] & (size[y] >= t * size[x] - 1e-9) & (most >= need) & ((before[x] != before[y]) | (before[x] == 0))
                 x, y, need = x[ok], y[ok], need[ok]
-                if at_hand and len(x):
-                    ok = may_hold(bits, number[x], bits, number[y], size[x] + size[y], need)
-                    x, y = x[ok], y[ok]
-                a, b = entity[x], entity[y]
-                out.append(np.stack([np.minimum(a, b), np.maximum(a, b), size[x] + size[y]]))
-                held += out[-1].shape[1]
-                d += 1
-                if held > 200_000:
+                if len(x):
+                    a, b = entity[x], entity[y]
+                    out.append(np.stack([np.minimum(a, b), np.maximum(a, b), np.where(alone[x] | (need < 2), 2, 1)]))
+                    held += out[-1].shape[1]
+                if held > 400_000:
                     yield _pairs(out)
                     out, held = [], 0
+                d += 1
+                live = live[live + d < len(key)]
+                live = live[key[live] == key[live + d]]
             if held:
                 yield _pairs(out)
 
-    pairs = signed.repartition("key").sortWithinPartitions("key", "entity").mapInArrow(work, "a long, b long, sizes long").distinct()
-    if at_hand:
-        return pairs.select("a", "b")
-
-    def prune(batches):
-        for batch in batches:
-            sizes, every = batch.column(2).to_numpy(zero_copy_only=False), np.arange(batch.num_rows)
-            keep = may_hold(Bitmaps(batch.column(3)), every, Bitmaps(batch.column(4)), every, sizes, _ceil(t / (1 + t) * sizes))
-            yield C.table(a=batch.column(0), b=batch.column(1)).filter(pa.array(keep))
-
-    first, second = bitmaps.select(F.col("entity").alias("a"), F.col("bitmap").alias("x")), bitmaps.select(F.col("entity").alias("b"), F.col("bitmap").alias("y"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "sizes", "x", "y").mapInArrow(prune, "a long, b long")
+    met = signed.repartition("key").sortWithinPartitions("key", "entity").mapInArrow(work, "a long, b long, times long")
+    return met.groupBy("a", "b").agg(F.sum("times").alias("times")).where("times >= 2").select("a", "b")
 
 
 def _pairs(parts: list[np.ndarray]) -> pa.RecordBatch:
-    a, b, sizes = np.concatenate(parts, axis=1)
+    a, b, times = np.concatenate(parts, axis=1)
     by = np.lexsort((b, a))
-    a, b, sizes = a[by], b[by], sizes[by]
-    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
-    return C.table(a=a[new], b=b[new], sizes=sizes[new])
+    a, b = a[by], b[by]
+    new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    return C.table(a=a[new], b=b[new], times=np.add.reduceat(times[by], new))
+
 
+def verify(docs: DataFrame, pairs: DataFrame, least: DataFrame, n: int, t: float, max_broadcast: int) -> DataFrame:
+    """(a, b, jaccard) of the pairs of entities that hold; sets meet at the least candidate neighbour of a pair's entity.
 
-def verify(docs: DataFrame, pairs: DataFrame, n: int, t: float, max_broadcast: int, entities: bool = False) -> DataFrame:
-    """(doc_a, doc_b, jaccard) of the pairs that hold, or (a, b, jaccard) by entity; sets meet at the least candidate neighbour of a pair's entity."""
-    names = ("a", "b") if entities else ("doc_a", "doc_b")
+    least: (entity, doc_id), the document that stands for the entity; only its set travels.
+    """
     home = pairs.groupBy(F.col("b").alias("e")).agg(F.min("a").alias("home"))
     placed = pairs.join(home, pairs["a"] == home["e"], "left").select(F.coalesce("home", "a").alias("site"), "a", "b")
     placed = materialise(placed, "ngram-placed")
-    wanted = placed.select("site", F.col("a").alias("entity")).union(placed.select("site", "b")).distinct()
-    rows = wanted.limit(max_broadcast + 1).count()
-    at_hand = rows <= max_broadcast
+    wanted = placed.select("site", F.col("a").alias("entity")).union(placed.select("site", "b")).distinct().join(least, "entity").select("site", "entity", "doc_id")
+    wanted = materialise(wanted, "ngram-wanted")
+    at_hand = wanted.count() <= max_broadcast
     if at_hand:
         got = wanted.toArrow()
-        entity, site = got.column("entity").to_numpy(), got.column("site").to_numpy()
+        entity, site, stands = (got.column(c).to_numpy() for c in ("entity", "site", "doc_id"))
         by = np.argsort(entity, kind="stable")
-        entity, site = entity[by], site[by]
+        entity, site, stands = entity[by], site[by], stands[by]
 
     def sets(batches):
         for batch, texts in C.sliced(batches):
+            doc = C.ids(batch)
             row, token = _tokens(texts, n)
             keys = _distinct((row << C.U(44)) | token)
             row, token = keys >> C.U(44), keys & LOW
             own, begin = _entities(row, token, len(texts))
-            doc = C.ids(batch)
             if at_hand:
                 a, b = np.searchsorted(entity, own, "left"), np.searchsorted(entity, own, "right")
-                rows = [(r, site[k]) for r in np.flatnonzero(b > a) for k in range(a[r], b[r])]
+                rows = [(r, site[k]) for r in np.flatnonzero(b > a) if stands[a[r]] == doc[r] for k in range(a[r], b[r])]
             else:
                 rows = [(r, 0) for r in np.flatnonzero(np.diff(begin) > 0)]
             if rows:
@@ -368,69 +420,78 @@ def verify(docs: DataFrame, pairs: DataFrame, n: int, t: float, max_broadcast: i
                 r = np.array([r for r, _ in rows])
                 yield C.table(site=np.array([s for _, s in rows], np.int64), entity=own[r], doc_id=doc[r], tokens=pa.array(packed, pa.binary()))
 
-    shipped = C.each(docs, sets, "site long, entity long, doc_id long, tokens binary")
+    shipped = C.each(docs if at_hand else docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"), sets, "site long, entity long, doc_id long, tokens binary")
     if not at_hand:
-        shipped = shipped.drop("site").join(wanted, "entity").select("site", "entity", "doc_id", "tokens")
-    both = shipped.select("site", F.lit(0).alias("kind"), F.col("entity").alias("a"), F.col("doc_id").alias("b"), "tokens").union(placed.select("site", F.lit(1), "a", "b", F.lit(None).cast("binary")))
+        shipped = shipped.drop("site").join(wanted, ["entity", "doc_id"])
+    none = F.lit(None).cast("binary")
+    both = shipped.select("site", F.lit(0).alias("kind"), F.col("entity").alias("a"), F.lit(0).cast("long").alias("b"), "tokens").union(placed.select("site", F.lit(1), "a", "b", none))
 
     def check(batches):
-        here, known, out = None, {}, []
+        here, known = None, {}
         for batch in batches:
             columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
-            tokens = batch.column(4)
+            tokens, out = batch.column(4), []
             for k, (s, kind, a, b) in enumerate(zip(*columns)):
                 if s != here:
                     here, known = s, {}
                 if kind == 0:
-                    if a not in known or b < known[a][0]:
-                        if a in known:
-                            known[a] = (b, known[a][1])
-                        else:
-                            raw = np.frombuffer(tokens[k].as_buffer(), np.uint8).reshape(-1, 6)
-                            wide = np.zeros((len(raw), 8), np.uint8)
-                            wide[:, :6] = raw
-                            known[a] = (b, wide.view(np.uint64).ravel())
+                    raw = np.frombuffer(tokens[k].as_buffer(), np.uint8).reshape(-1, 6)
+                    wide = np.zeros((len(raw), 8), np.uint8)
+                    wide[:, :6] = raw
+                    known[a] = wide.view(np.uint64).ravel()
                 else:
-                    (da, x), (db, y) = known[a], known[b]
+                    x, y = known[a], known[b]
                     if len(x) > len(y):
                         x, y = y, x
                     shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                     j = shared / (len(x) + len(y) - shared)
-                    if j >= t - 1e-12 and (entities or da != db):
-                        out.append((a, b, j) if entities else (min(da, db), max(da, db), j))
+                    if j >= t - 1e-12:
+                        out.append((a, b, j))
             if out:
-                yield C.table(**{name: np.array([o[k] for o in out], np.int64) for k, name in enumerate(names)}, jaccard=np.array([o[2] for o in out]))
-                out = []
+                yield C.table(a=np.array([o[0] for o in out]), b=np.array([o[1] for o in out]), jaccard=np.array([o[2] for o in out]))
 
-    return both.repartition("site").sortWithinPartitions("site", "kind").mapInArrow(check, f"{names[0]} long, {names[1]} long, jaccard double")
+    return both.repartition("site").sortWithinPartitions("site", "kind").mapInArrow(check, "a long, b long, jaccard double")
 
 
-def _found(docs: DataFrame, entities: bool, n: int, threshold: float, bits: int, max_broadcast_entities: int, max_bitmap_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """The near pairs as verify gives them, and (doc_id, entity) of every document."""
+def _found(docs: DataFrame, n: int, threshold: float, rare: int, max_broadcast_entities: int) -> tuple[DataFrame, DataFrame]:
+    """The near pairs of entities as verify gives them, and (doc_id, entity) of every document."""
     docs = C.known(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = survey(docs, n, bits)
-    order_ = order(seen.where("part IS NOT NULL"), bits)
-    members = seen.where("part IS NULL")
-    bitmaps = materialise(members.groupBy("entity").agg(F.first("bitmap").alias("bitmap")), "ngram-bitmaps")
-    pairs = materialise(candidates(signatures(docs, order_, n, threshold), threshold, bitmaps, max_bitmap_bytes), "ngram-pairs")
-    return verify(docs, pairs, n, threshold, max_broadcast_entities, entities), members.select("doc_id", "entity").distinct()
-
-
-def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bits: int = BUCKET_BITS, max_broadcast_entities: int = MAX_BROADCAST_ENTITIES, max_bitmap_bytes: int = MAX_BITMAP_BYTES) -> DataFrame:
+    chunks = gather(docs, n)
+    members = materialise(members_of(chunks), "ngram-members")
+    least = members.groupBy("entity").agg(F.min(F.struct("doc_id", "chunk", "ref")).alias("least"), F.count("*").alias("n"))
+    copies = members.join(least.where("n > 1"), "entity").where("chunk <> least.chunk OR ref <> least.ref").groupBy("chunk").agg(F.collect_list("ref").alias("refs"))
+    codes = codes_of(chunks)
+    signed = materialise(signatures(chunks, codes, copies, threshold, rare), "ngram-index")
+    discard(chunks, codes)
+    pairs = materialise(candidates(signed, threshold), "ngram-pairs")
+    discard(signed)
+    return verify(docs, pairs, least.select("entity", "least.doc_id"), n, threshold, max_broadcast_entities), members.select("doc_id", "entity").distinct()
+
+
+def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rare: int = RARE, max_broadcast_entities: int = MAX_BROADCAST_ENTITIES) -> DataFrame:
     """(doc_a, doc_b, jaccard), compressed as the module says."""
-    near, members = _found(docs, False, n, threshold, bits, max_broadcast_entities, max_bitmap_bytes)
-    least = members.groupBy("entity").agg(F.min("doc_id").alias("doc_a"), F.count("*").alias("__n")).where("__n > 1")
-    equal = members.join(least, "entity").where("doc_id > doc_a").select("doc_a", F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    near, members = _found(docs, n, threshold, rare, max_broadcast_entities)
+    least = members.groupBy("entity").agg(F.min("doc_id").alias("doc_a"), F.count("*").alias("__n"))
+    first, second = least.select(F.col("entity").alias("a"), F.col("doc_a").alias("x")), least.select(F.col("entity").alias("b"), F.col("doc_a").alias("y"))
+    near = near.join(first, "a").join(second, "b").where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
+    equal = members.join(least.where("__n > 1"), "entity").where("doc_id > doc_a").select("doc_a", F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
     return near.union(equal)
 
 
-def all_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bits: int = BUCKET_BITS, max_broadcast_entities: int = MAX_BROADCAST_ENTITIES, max_bitmap_bytes: int = MAX_BITMAP_BYTES) -> DataFrame:
-    """(doc_a, doc_b, jaccard) of every pair: entities are joined back to all their documents."""
-    near, members = _found(docs, True, n, threshold, bits, max_broadcast_entities, max_bitmap_bytes)
-    first, second = members.select(F.col("entity").alias("a"), F.col("doc_id").alias("x")), members.select(F.col("entity").alias("b"), F.col("doc_id").alias("y"))
-    near = near.join(first, "a").join(second, "b").where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
-    equal = first.join(second, first["a"] == second["b"]).where("x < y").select(F.col("x").alias("doc_a"), F.col("y").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    return near.union(equal)
+def all_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rare: int = RARE, max_broadcast_entities: int = MAX_BROADCAST_ENTITIES) -> DataFrame:
+    """(doc_a, doc_b, jaccard) of every pair: entities are joined back to all their documents, which travel as lists of up to about COPIES."""
+    near, members = _found(docs, n, threshold, rare, max_broadcast_entities)
+    count = members.groupBy("entity").agg(F.ceil(F.count("*") / COPIES).alias("__lists"))
+    lists = members.join(count, "entity").groupBy("entity", F.pmod(F.xxhash64("doc_id"), "__lists").alias("__list")).agg(F.collect_list("doc_id").alias("docs"))
+    lists = materialise(lists, "ngram-lists")
+    first, second = lists.select(F.col("entity").alias("a"), F.col("docs").alias("xs")), lists.select(F.col("entity").alias("b"), F.col("docs").alias("ys"))
+    near = near.join(first, "a").join(second, "b").select(F.explode("xs").alias("x"), "ys", "jaccard").select("x", F.explode("ys").alias("y"), "jaccard").where("x <> y")
+    near = near.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
+    several = count.where("__lists > 1").select(F.col("entity").alias("b"))
+    equal = lists.where("size(docs) > 1").select(F.col("docs").alias("xs"), F.col("docs").alias("ys"))
+    equal = equal.union(first.join(second.join(several, "b", "left_semi"), (F.col("a") == F.col("b")) & (F.col("xs") != F.col("ys"))).select("xs", "ys"))
+    equal = equal.select(F.explode("xs").alias("doc_a"), "ys").select("doc_a", F.explode("ys").alias("doc_b")).where("doc_a < doc_b")
+    return near.union(equal.withColumn("jaccard", F.lit(1.0)))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -438,6 +499,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "star")
     last = None
     while True:
+        old = edges
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
         large = both.join(least, both["u"] == least["w"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -446,6 +508,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, large["u"] == low["w"])
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = materialise(small, "star")
+        discard(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
@@ -465,29 +528,10 @@ def keep_one(docs: DataFrame, max_broadcast_ids: int = 4_000_000, **params) -> D
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(C.read(spark, sf_dir, "documents"))
-
-
-def query_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_pairs(C.read(spark, sf_dir, "documents"))
 
 
 def oracle(n: int = N, threshold: float = THRESHOLD) -> str:
-    """DuckDB SQL for the join by brute force over shared n-grams."""
-    word = r"'[a-z0-9\x{80}-\x{10FFFF}]+'"
-    return f"""
-WITH g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {n} THEN list_transform(range(len(w) - {n - 1}), lambda i: array_to_string(w[i + 1:i + {n}], ' ')) ELSE [array_to_string(w, ' ')] END) AS gram
- FROM (SELECT doc_id, regexp_extract_all(lower(text), {word}) AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL) WHERE len(w) > 0),
-sets AS (SELECT doc_id, count(*) AS size, hash(list_sort(list(gram))) AS entity FROM g GROUP BY doc_id),
-reps AS (SELECT entity, min(doc_id) AS doc_id, any_value(size) AS size FROM sets GROUP BY entity),
-r AS (SELECT g.* FROM g JOIN reps USING (doc_id)),
-shared AS (SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, count(*) AS n FROM r x JOIN r y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY 1, 2)
-SELECT s.doc_a, s.doc_b, s.n / (a.size + b.size - s.n) AS jaccard
-FROM shared s JOIN reps a ON a.doc_id = s.doc_a JOIN reps b ON b.doc_id = s.doc_b WHERE s.n / (a.size + b.size - s.n) >= {threshold} - 1e-12
-UNION ALL SELECT reps.doc_id, sets.doc_id, 1.0 FROM sets JOIN reps USING (entity) WHERE sets.doc_id > reps.doc_id"""
-
-
-def oracle_all_pairs(n: int = N, threshold: float = THRESHOLD) -> str:
     """DuckDB SQL for every pair by brute force over shared n-grams."""
     word = r"'[a-z0-9\x{80}-\x{10FFFF}]+'"
     return f"""

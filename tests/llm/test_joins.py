@@ -185,35 +185,45 @@ def closure(pairs, rows, n):
     return out
 
 
-@pytest.mark.parametrize(("n", "t", "limits"), [(2, 0.65, {}), (1, 0.5, {}), (2, 0.4, {"max_bitmap_bytes": 3, "max_broadcast_entities": 3}), (3, 0.8, {"bits": 8})])
+@pytest.mark.parametrize(("n", "t", "limits"), [(2, 0.65, {}), (1, 0.5, {}), (2, 0.4, {"max_broadcast_entities": 3}), (3, 0.8, {"rare": 2}), (2, 0.65, {"rare": 4}), (1, 0.3, {"rare": 3})])
 def test_ngram_join_brute_force(make, n, t, limits):
     rows = corpus()
-    result = ngram_join.join(make(rows), n, t, **({"bits": 12} | limits)).collect()
+    result = ngram_join.join(make(rows), n, t, **limits).collect()
     pairs = {(r.doc_a, r.doc_b): r.jaccard for r in result}
     assert len(pairs) == len(result)
     got, want = closure(pairs, rows, n), jaccard_pairs(rows, n, t)
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want) and len(want) > 30
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_bitmap_bytes": 3, "max_broadcast_entities": 3}])
+@pytest.mark.parametrize("limits", [{}, {"max_broadcast_entities": 3}, {"rare": 1}])
 def test_ngram_join_gives_every_pair(make, limits):
     """Pairs of copies that aren't the least id, and their near pairs, are rows of the result."""
     rows = corpus()
     rows += [(1000 + i, rows[i % 9][1]) for i in range(30)]
-    result = ngram_join.all_pairs(make(rows), 2, 0.65, bits=12, **limits).collect()
+    result = ngram_join.all_pairs(make(rows), 2, 0.65, **limits).collect()
     got, want = {(r.doc_a, r.doc_b): r.jaccard for r in result}, jaccard_pairs(rows, 2, 0.65)
     assert len(got) == len(result) and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
-    assert len(want) > ngram_join.join(make(rows), 2, 0.65, bits=12).count()
+    assert len(want) > ngram_join.join(make(rows), 2, 0.65).count()
 
 
-def test_frequent_tokens_are_combined(make, monkeypatch):
-    """With all tokens frequent every pair is found by combinations alone."""
-    monkeypatch.setattr(ngram_join, "_code", lambda count: np.minimum(255, np.round(8 * np.log2(1.0 + count))).astype(np.uint8))
-    made = ngram_join.order
-    monkeypatch.setattr(ngram_join, "order", lambda counts, bits: ngram_join.Order(made(counts, bits).codes, bits, -1))
+@pytest.mark.parametrize("t", [0.3, 0.6, 0.9])
+def test_frequent_tokens_are_combined(make, t):
+    """With all tokens frequent every pair is found by combinations alone, with few chunks and with many."""
     rows = corpus(3, 80)
-    got = closure({(r.doc_a, r.doc_b): r.jaccard for r in ngram_join.join(make(rows), 2, 0.6, bits=12).collect()}, rows, 2)
-    assert set(got) == set(jaccard_pairs(rows, 2, 0.6))
+    got = closure({(r.doc_a, r.doc_b): r.jaccard for r in ngram_join.join(make(rows), 2, t, rare=0).collect()}, rows, 2)
+    assert set(got) == set(jaccard_pairs(rows, 2, t))
+
+
+def test_counts_over_many_chunks(make, monkeypatch):
+    """Chunks and ranges of a few tokens, and lists of a few copies, give the same pairs."""
+    monkeypatch.setattr(ngram_join, "CHUNK", 64)
+    monkeypatch.setattr(ngram_join, "COPIES", 3)
+    monkeypatch.setattr(_core, "ROWS", 5)
+    rows = corpus(8, 80)
+    rows += [(1000 + i, rows[i % 4][1]) for i in range(40)]
+    result = ngram_join.all_pairs(make(rows)).collect()
+    got, want = {(r.doc_a, r.doc_b): r.jaccard for r in result}, jaccard_pairs(rows, 2, 0.65)
+    assert len(got) == len(result) and set(got) == set(want)
 
 
 def test_keep_one_of_each_group(make):
@@ -280,8 +290,8 @@ def test_edge_cases(edge, none, spark):
         found = decontaminate.find(docs, items).collect()
         assert {(r.doc_id, r.item_id) for r in found} == ({(4, 1), (5, 1), (6, 2)} if docs is edge else set())
         assert decontaminate.drop_contaminated(docs, items.where("false")).count() == docs.count()
-        pairs = {(r.doc_a, r.doc_b) for r in ngram_join.join(docs, bits=12).collect()}
+        pairs = {(r.doc_a, r.doc_b) for r in ngram_join.join(docs).collect()}
         assert pairs == ({(4, 5)} if docs is edge else set())
-        assert ngram_join.keep_one(docs, bits=12).count() == (11 if docs is edge else 0)
+        assert ngram_join.keep_one(docs).count() == (11 if docs is edge else 0)
         spans = suffix_dedup.spans(docs).collect()
         assert {r.doc_id for r in spans} <= {6} and (docs is none or spans)
