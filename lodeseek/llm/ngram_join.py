@@ -29,10 +29,10 @@ text are never read. Tokens are compared by 44 bits of their hash.
 from __future__ import annotations
 
 import math
-import os
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +43,8 @@ N = 2
 THRESHOLD = 0.65
 RARE = 32  # documents that have a rare token, at most
 CHUNK = 1 << 20  # tokens gathered in a chunk, and counted in a range
+TAGS = 3  # predecessors that a key carries
+FEW = 4  # a token of so few documents carries none
 COPIES = 1024  # copies of one set held in one row
 MAX_BROADCAST_ENTITIES = 4_000_000
 LOW = C.U((1 << 44) - 1)
@@ -107,21 +109,20 @@ class Chunk:
     SCHEMA = "chunk long, n_tokens long, docs binary, entities binary, tokens binary, times binary, refs binary"
 
     @staticmethod
-    def pack(docs: np.ndarray, entities: np.ndarray, ref: np.ndarray, token: np.ndarray) -> pa.RecordBatch:
+    def pack(name: int, docs: np.ndarray, entities: np.ndarray, ref: np.ndarray, token: np.ndarray) -> pa.RecordBatch:
         keys = np.sort(token << C.U(12) | ref)
         token, ref = keys >> C.U(12), keys & C.U(4095)
         first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
         times = np.diff(np.r_[first, len(token)])
         columns = (docs.tobytes(), entities.tobytes(), _squeeze(_sorted_bytes(token[first])), _squeeze(_planes(times, 2)), _squeeze(_planes(ref, 2)))
-        name = int.from_bytes(os.urandom(8), "little", signed=True)
         return C.table(chunk=pa.array([name], pa.int64()), n_tokens=pa.array([len(token)], pa.int64()), **{k: pa.array([x], pa.binary()) for k, x in zip(("docs", "entities", "tokens", "times", "refs"), columns)})
 
 
 def gather(docs: DataFrame, n: int) -> DataFrame:
-    """Chunks of all documents that have words; of equal sets in a task one keeps its tokens. A chunk has at most 4,095 documents."""
+    """Chunks of all documents that have words, numbered by task, of at most 4,095 documents."""
 
     def work(batches):
-        held, rows, size = [], 0, 0
+        held, rows, size, name = [], 0, 0, TaskContext.get().partitionId() << 20
         for batch, texts in C.sliced(batches):
             row, token = _tokens(texts, n)
             keys = _distinct((row << C.U(44)) | token)
@@ -130,30 +131,30 @@ def gather(docs: DataFrame, n: int) -> DataFrame:
             some = np.diff(begin) > 0
             n_some = int(some.sum())
             if rows + n_some > 4095 or size + len(token) > CHUNK and rows:
-                yield flush(held)
-                held, rows, size = [], 0, 0
+                yield flush(name, held)
+                held, rows, size, name = [], 0, 0, name + 1
             ref = (np.cumsum(some) - 1)[row.astype(np.int64)] + rows
             held.append((C.ids(batch)[some], entity[some], ref.astype(np.uint64), token))
             rows, size = rows + n_some, size + len(token)
         if rows:
-            yield flush(held)
+            yield flush(name, held)
 
-    def flush(held):
-        return Chunk.pack(*(np.concatenate(x) for x in zip(*held)))
+    def flush(name, held):
+        return Chunk.pack(name, *(np.concatenate(x) for x in zip(*held)))
 
     return materialise(C.each(docs, work, Chunk.SCHEMA), "ngram-chunks")
 
 
 def members_of(chunks: DataFrame) -> DataFrame:
-    """(doc_id, entity, chunk, ref) of every document."""
+    """(doc_id, entity, number) of every document; its number is chunk << 12 | ref."""
 
     def work(batches):
         for batch in batches:
             for chunk, docs, entities in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 doc = np.frombuffer(docs, np.int64)
-                yield C.table(doc_id=doc, entity=np.frombuffer(entities, np.int64), chunk=np.full(len(doc), chunk), ref=np.arange(len(doc), dtype=np.int32))
+                yield C.table(doc_id=doc, entity=np.frombuffer(entities, np.int64), number=(chunk << 12) + np.arange(len(doc)))
 
-    return C.each(chunks.select("chunk", "docs", "entities"), work, "doc_id long, entity long, chunk long, ref int")
+    return C.each(chunks.select("chunk", "docs", "entities"), work, "doc_id long, entity long, number long")
 
 
 def _code(count: np.ndarray) -> np.ndarray:
@@ -219,8 +220,17 @@ class Levels:
         return int(np.searchsorted(self.low, size, "right")) - 1
 
 
+def _tags(x: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """The TAGS items before each one of x, 0 where there are fewer; pos: the place in the list that each is in."""
+    out = np.zeros((len(x), TAGS), np.uint64)
+    for k in range(1, TAGS + 1):
+        out[k:, k - 1] = x[:-k]
+        out[pos < k, k - 1] = 0
+    return out
+
+
 def _combinations(token: np.ndarray, size: int, t: float, levels: Levels, first: int):
-    """(key, may stand for the smaller, predecessor) for the frequent tokens at positions first, first + 1, ... of a document."""
+    """(key, may stand for the smaller, TAGS predecessors) for the frequent tokens at positions first, first + 1, ... of a document."""
     level = levels.of(size)
     out = []
     for at, whole in ((level, True), (level + 1, False)):
@@ -255,58 +265,55 @@ def _combinations(token: np.ndarray, size: int, t: float, levels: Levels, first:
         able = np.maximum(pos[a], pos[b]) < small
         by = np.lexsort((key, ~able))
         key, able = key[by], able[by]
-        before = np.zeros(len(key), np.uint64)
-        before[1:] = key[:-1]
-        out.append((key, able, before))
+        out.append((key, able, _tags(key, np.arange(len(key)))))
     return out
 
 
 def signatures(chunks: DataFrame, codes: DataFrame, copies: DataFrame, t: float, rare: int) -> DataFrame:
-    """(key, entity, place, before): place = size << 32 | position << 2 | by itself << 1 | may stand for the smaller of a pair.
+    """(key, number, place, tag0, ...): place = size << 32 | position << 2 | by itself << 1 | may stand for the smaller of a pair.
 
     copies: (chunk, refs) of documents whose set another one stands for.
     """
-    levels, most = Levels(t), int(_code(np.array(rare)))
+    levels, most, few = Levels(t), int(_code(np.array(rare))), int(_code(np.array(FEW)))
 
     def work(batches):
         codes_, gone = [], np.zeros(0, np.int32)
         for batch in batches:
-            for kind, codes, refs, entities, times, tokens, ref in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("kind", "codes", "gone", "entities", "times", "tokens", "refs"))):
+            for chunk, kind, codes, refs, docs, times, tokens, ref in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("chunk", "kind", "codes", "gone", "docs", "times", "tokens", "refs"))):
                 if kind.as_py() == 0:
                     codes_.append(_unsqueeze(codes.as_py()))
                 elif kind.as_py() == 1:
                     gone = refs.values.to_numpy()
                 else:
                     code = np.frombuffer(b"".join(codes_), np.uint8)
-                    yield from index(code, gone, np.frombuffer(entities.as_py(), np.int64), *(_unsqueeze(x.as_py()) for x in (times, tokens, ref)))
+                    yield from index(code, gone, (chunk.as_py() << 12) + np.arange(len(docs.as_py()) // 8), *(_unsqueeze(x.as_py()) for x in (times, tokens, ref)))
                     codes_, gone = [], np.zeros(0, np.int32)
 
-    def index(code, gone, entity, times, tokens, ref):
+    def index(code, gone, number, times, tokens, ref):
         times = _from_planes(times, 2).astype(np.int64)
         ref = _from_planes(ref, 2)
-        alive = np.ones(len(entity), bool)
+        alive = np.ones(len(number), bool)
         alive[gone] = False
         alive = alive[ref.astype(np.int64)]
         keys = (ref << C.U(52) | np.repeat(code.astype(np.uint64) << C.U(44) | _sorted_tokens(tokens), times))[alive]
         keys.sort()
         row, token, code = (keys >> C.U(52)).astype(np.int64), keys & LOW, (keys >> C.U(44)) & C.U(255)
-        begin = np.searchsorted(row, np.arange(len(entity) + 1))
+        begin = np.searchsorted(row, np.arange(len(number) + 1))
         size = np.diff(begin)
         pos = np.arange(len(keys)) - begin[:-1][row]
         p1 = size - _ceil(t * size) + 2
         small = size - _ceil(2 * t / (1 + t) * size) + 2
         seldom = code <= most
         at = np.flatnonzero(seldom & (code > ONCE) & (pos < p1[row]))
-        before = np.zeros(len(keys), np.uint64)
-        before[2:] = C.mix(token[:-2] * C.U(0xC2B2AE3D27D4EB4F) + C.mix(token[1:-1]))
-        before[pos < 2] = 0
+        tags = _tags(token, pos)[at]
+        tags[code[at] <= few] = 0
         r = row[at]
-        yield C.table(key=C.mix(token[at]).view(np.int64), entity=entity[r], place=size[r] << 32 | pos[at] << 2 | (pos[at] < small[r]), before=before[at].view(np.int64))
-        seldom_count = np.bincount(row[seldom], minlength=len(entity))
+        yield rows_of(token[at] << C.U(20), number[r], size[r] << 32 | pos[at] << 2 | (pos[at] < small[r]), tags)
+        seldom_count = np.bincount(row[seldom], minlength=len(number))
         out, held = [], 0
         for r in np.flatnonzero((seldom_count < p1) & (seldom_count < size)):
             for key, able, prev in _combinations(token[begin[r] : begin[r + 1]], int(size[r]), t, levels, int(seldom_count[r])):
-                out.append((key, np.full(len(key), entity[r]), (int(size[r]) << 32) | 2 | able.astype(np.int64), prev))
+                out.append((key, np.full(len(key), number[r]), (int(size[r]) << 32) | 2 | able.astype(np.int64), prev))
                 held += len(key)
             if held > 100_000:
                 yield flush(out)
@@ -315,15 +322,17 @@ def signatures(chunks: DataFrame, codes: DataFrame, copies: DataFrame, t: float,
             yield flush(out)
 
     def flush(out):
-        key, entity, place, before = (np.concatenate(x) for x in zip(*out))
-        return C.table(key=key.view(np.int64), entity=entity, place=place, before=before.view(np.int64))
+        return rows_of(*(np.concatenate(x) for x in zip(*out)))
+
+    def rows_of(key, number, place, tags):
+        return C.table(key=key.view(np.int64), number=number, place=place, **{f"tag{k}": np.ascontiguousarray(tags[:, k]).view(np.int64) for k in range(TAGS)})
 
     none = F.lit(None)
-    bodies = chunks.select("chunk", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("part"), none.cast("binary").alias("codes"), none.cast("array<int>").alias("gone"), "entities", "tokens", "times", "refs")
-    blank = [none.cast("binary").alias(c) for c in ("entities", "tokens", "times", "refs")]
+    bodies = chunks.select("chunk", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("part"), none.cast("binary").alias("codes"), none.cast("array<int>").alias("gone"), "docs", "tokens", "times", "refs")
+    blank = [none.cast("binary").alias(c) for c in ("docs", "tokens", "times", "refs")]
     rows = codes.select("chunk", F.lit(0).alias("kind"), "part", "codes", none.cast("array<int>").alias("gone"), *blank)
     rows = rows.union(copies.select("chunk", F.lit(1), F.lit(0).cast("long"), none.cast("binary"), "refs", *blank)).union(bodies)
-    return rows.repartition("chunk").sortWithinPartitions("chunk", "kind", "part").mapInArrow(work, "key long, entity long, place long, before long")
+    return rows.repartition("chunk").sortWithinPartitions("chunk", "kind", "part").mapInArrow(work, "key long, number long, place long, " + ", ".join(f"tag{k} long" for k in range(TAGS)))
 
 
 def _grouped(batches, *names):
@@ -345,12 +354,12 @@ def _grouped(batches, *names):
 
 
 def candidates(signed: DataFrame, t: float) -> DataFrame:
-    """Distinct (a, b) of entities, a < b, that meet often enough and pass the filters where they meet."""
+    """Distinct (a, b) of documents' numbers, a < b, that meet often enough and pass the filters where they meet."""
 
     def work(batches):
-        for key, entity, place, before in _grouped(batches, "key", "entity", "place", "before"):
+        for key, entity, place, *tags in _grouped(batches, "key", "number", "place", *(f"tag{k}" for k in range(TAGS))):
             first = np.r_[True, (key[1:] != key[:-1]) | (entity[1:] != entity[:-1])]
-            key, entity, place, before = key[first], entity[first], place[first], before[first]
+            key, entity, place, tags = key[first], entity[first], place[first], np.stack(tags, 1)[first]
             size, pos, alone, able = place >> 32, (place & 0xFFFFFFFF) >> 2, (place & 2) > 0, (place & 1) > 0
             live, d, out, held = np.flatnonzero(key[1:] == key[:-1]), 1, [], 0
             while len(live):
@@ -359,7 +368,12 @@ def candidates(signed: DataFrame, t: float) -> DataFrame:
                 y, x = np.where(j_small, j, i), np.where(j_small, i, j)
                 need = _ceil(t / (1 + t) * (size[x] + size[y]))
                 most = np.minimum(pos[x], pos[y]) + np.minimum(size[x] - pos[x], size[y] - pos[y])
-                ok = able[y] & (size[y] >= t * size[x] - 1e-9) & (most >= need) & ((before[x] != before[y]) | (before[x] == 0))
+                ok = able[y] & (size[y] >= t * size[x] - 1e-9) & (most >= need)
+                x, y, need = x[ok], y[ok], need[ok]
+                common, tx, ty = np.zeros(len(x), np.int8), tags[x], tags[y]
+                for k in range(TAGS):
+                    common += (tx[:, k, None] == ty).any(1) & (tx[:, k] != 0)
+                ok = common < np.where(alone[x], 1, 2)  # else they met at those
                 x, y, need = x[ok], y[ok], need[ok]
                 if len(x):
                     a, b = entity[x], entity[y]
@@ -374,7 +388,7 @@ def candidates(signed: DataFrame, t: float) -> DataFrame:
             if held:
                 yield _pairs(out)
 
-    met = signed.repartition("key").sortWithinPartitions("key", "entity").mapInArrow(work, "a long, b long, times long")
+    met = signed.repartition("key").sortWithinPartitions("key", "number").mapInArrow(work, "a long, b long, times long")
     return met.groupBy("a", "b").agg(F.sum("times").alias("times")).where("times >= 2").select("a", "b")
 
 
@@ -387,21 +401,21 @@ def _pairs(parts: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def verify(docs: DataFrame, pairs: DataFrame, least: DataFrame, n: int, t: float, max_broadcast: int) -> DataFrame:
-    """(a, b, jaccard) of the pairs of entities that hold; sets meet at the least candidate neighbour of a pair's entity.
+    """(a, b, jaccard) of the pairs of numbers that hold; sets meet at the least candidate neighbour of a pair's document.
 
-    least: (entity, doc_id), the document that stands for the entity; only its set travels.
+    least: (number, entity, doc_id), the documents that stand for entities; only their sets travel.
     """
     home = pairs.groupBy(F.col("b").alias("e")).agg(F.min("a").alias("home"))
     placed = pairs.join(home, pairs["a"] == home["e"], "left").select(F.coalesce("home", "a").alias("site"), "a", "b")
     placed = materialise(placed, "ngram-placed")
-    wanted = placed.select("site", F.col("a").alias("entity")).union(placed.select("site", "b")).distinct().join(least, "entity").select("site", "entity", "doc_id")
+    wanted = placed.select("site", F.col("a").alias("number")).union(placed.select("site", "b")).distinct().join(least, "number").select("site", "number", "entity", "doc_id")
     wanted = materialise(wanted, "ngram-wanted")
     at_hand = wanted.count() <= max_broadcast
     if at_hand:
         got = wanted.toArrow()
-        entity, site, stands = (got.column(c).to_numpy() for c in ("entity", "site", "doc_id"))
+        entity, site, number, stands = (got.column(c).to_numpy() for c in ("entity", "site", "number", "doc_id"))
         by = np.argsort(entity, kind="stable")
-        entity, site, stands = entity[by], site[by], stands[by]
+        entity, site, number, stands = entity[by], site[by], number[by], stands[by]
 
     def sets(batches):
         for batch, texts in C.sliced(batches):
@@ -412,19 +426,19 @@ def verify(docs: DataFrame, pairs: DataFrame, least: DataFrame, n: int, t: float
             own, begin = _entities(row, token, len(texts))
             if at_hand:
                 a, b = np.searchsorted(entity, own, "left"), np.searchsorted(entity, own, "right")
-                rows = [(r, site[k]) for r in np.flatnonzero(b > a) if stands[a[r]] == doc[r] for k in range(a[r], b[r])]
+                rows = [(r, site[k], number[k]) for r in np.flatnonzero(b > a) if stands[a[r]] == doc[r] for k in range(a[r], b[r])]
             else:
-                rows = [(r, 0) for r in np.flatnonzero(np.diff(begin) > 0)]
+                rows = [(r, 0, 0) for r in np.flatnonzero(np.diff(begin) > 0)]
             if rows:
-                packed = [token[begin[r] : begin[r + 1]].view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for r, _ in rows]
-                r = np.array([r for r, _ in rows])
-                yield C.table(site=np.array([s for _, s in rows], np.int64), entity=own[r], doc_id=doc[r], tokens=pa.array(packed, pa.binary()))
+                packed = [token[begin[r] : begin[r + 1]].view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for r, _, _ in rows]
+                r = np.array([r for r, _, _ in rows])
+                yield C.table(site=np.array([s for _, s, _ in rows], np.int64), number=np.array([x for _, _, x in rows], np.int64), entity=own[r], doc_id=doc[r], tokens=pa.array(packed, pa.binary()))
 
-    shipped = C.each(docs if at_hand else docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"), sets, "site long, entity long, doc_id long, tokens binary")
+    shipped = C.each(docs if at_hand else docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"), sets, "site long, number long, entity long, doc_id long, tokens binary")
     if not at_hand:
-        shipped = shipped.drop("site").join(wanted, ["entity", "doc_id"])
+        shipped = shipped.drop("site", "number").join(wanted, ["entity", "doc_id"])
     none = F.lit(None).cast("binary")
-    both = shipped.select("site", F.lit(0).alias("kind"), F.col("entity").alias("a"), F.lit(0).cast("long").alias("b"), "tokens").union(placed.select("site", F.lit(1), "a", "b", none))
+    both = shipped.select("site", F.lit(0).alias("kind"), F.col("number").alias("a"), F.lit(0).cast("long").alias("b"), "tokens").union(placed.select("site", F.lit(1), "a", "b", none))
 
     def check(batches):
         here, known = None, {}
@@ -454,18 +468,21 @@ def verify(docs: DataFrame, pairs: DataFrame, least: DataFrame, n: int, t: float
 
 
 def _found(docs: DataFrame, n: int, threshold: float, rare: int, max_broadcast_entities: int) -> tuple[DataFrame, DataFrame]:
-    """The near pairs of entities as verify gives them, and (doc_id, entity) of every document."""
+    """The near pairs as verify gives them, and (doc_id, entity) of every document; an entity is named by the number of its least document."""
     docs = C.known(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chunks = gather(docs, n)
     members = materialise(members_of(chunks), "ngram-members")
-    least = members.groupBy("entity").agg(F.min(F.struct("doc_id", "chunk", "ref")).alias("least"), F.count("*").alias("n"))
-    copies = members.join(least.where("n > 1"), "entity").where("chunk <> least.chunk OR ref <> least.ref").groupBy("chunk").agg(F.collect_list("ref").alias("refs"))
+    least = members.groupBy("entity").agg(F.min(F.struct("doc_id", "number")).alias("least"), F.count("*").alias("n"))
+    rest = members.join(least.where("n > 1"), "entity").where("number <> least.number")
+    copies = rest.groupBy(F.shiftright("number", 12).alias("chunk")).agg(F.collect_list(F.col("number").bitwiseAND(4095).cast("int")).alias("refs"))
     codes = codes_of(chunks)
     signed = materialise(signatures(chunks, codes, copies, threshold, rare), "ngram-index")
     discard(chunks, codes)
     pairs = materialise(candidates(signed, threshold), "ngram-pairs")
     discard(signed)
-    return verify(docs, pairs, least.select("entity", "least.doc_id"), n, threshold, max_broadcast_entities), members.select("doc_id", "entity").distinct()
+    least = materialise(least.select("entity", "least.doc_id", "least.number"), "ngram-least")
+    near = verify(docs, pairs, least, n, threshold, max_broadcast_entities)
+    return near, members.join(least.select("entity", F.col("number").alias("least")), "entity").select("doc_id", F.col("least").alias("entity")).distinct()
 
 
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rare: int = RARE, max_broadcast_entities: int = MAX_BROADCAST_ENTITIES) -> DataFrame:
