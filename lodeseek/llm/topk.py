@@ -4,13 +4,14 @@ Distances of all vectors to many pivots are computed once. |d(q, p) - d(x, p)| b
 p, and the largest bound counts. Vectors go to cells by nearest pivot, cells to blocks of bounded size; each block has
 the range of its distances to each pivot. A query first searches its own block, which gives its first k-th distance;
 then only blocks whose bound doesn't exceed that are visited, and in a block candidates are evaluated in the order of
-their bounds until the next bound exceeds the k-th distance so far. What is left out can't be among the k nearest, so
-the result is exact. Queries travel, in the matrices of their block, only to blocks that their bound lets in; a
+their bounds, a tile of queries at a time, until the next bound exceeds the k-th distance so far. What is left out can't
+be among the k nearest, so the result is exact: distances to pivots come from differences, and bounds give way by their
+rounding (``slack``), at any scale of the vectors. Ranges of blocks are compared in groups. Queries travel, in the matrices of their block, only to blocks that their bound lets in; a
 candidate block travels once. Only pivots are broadcast.
 
 Result: (query_id, neighbor_id, rank, distance), Euclidean, ties by neighbor_id, never the query itself.
 
-Defined results: rows with a null id or vector, with a null or NaN component, or with another length than most vectors
+Defined results: rows with a null id or vector, with a null, NaN or infinite component, or with another length than most vectors
 (the greater where two are as common) are left out; rows that share an id are one vector, the least; fewer than k
 others give fewer rows; equal vectors are neighbours at distance 0. Ranks go by distances rounded to 9 digits.
 """
@@ -30,14 +31,15 @@ K = 10
 PIVOTS = 32
 BLOCK = 4096
 PIVOT_POOL = 4096  # rows that pivots are chosen from; any pivots give exact results
-EPS = 1e-7
+TILE = 256  # queries that search together
+GROUP = 512  # blocks whose ranges are compared together
 SCHEMA = "query_id long, neighbor_id long, distance double"
 
 
 def clean(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(id, v) of the vectors that count."""
     v = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
-    v = v.where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL OR isnan(x))").groupBy("id").agg(F.min("v").alias("v"))
+    v = v.where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity'))").groupBy("id").agg(F.min("v").alias("v"))
     most = v.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     return v.where(F.size("v") == (most[0] if most else 0))
 
@@ -52,9 +54,17 @@ def choose_pivots(pool: np.ndarray, n: int) -> np.ndarray:
     return pool[chosen]
 
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances [a x b]; off by rounding only, within EPS / 10 of the exact ones for bounds."""
-    return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * (a @ b.T), 0))
+def distances(x: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Euclidean distances [x x points] from differences, so that their error is relative to each distance."""
+    out = np.empty((len(x), len(points)))
+    for p, point in enumerate(points):
+        out[:, p] = np.sqrt(((x - point) ** 2).sum(1))
+    return out
+
+
+def slack(most: float, kind=np.float64) -> float:
+    """What a bound from distances of at most ``most`` can be too large by: rounding of both terms, and of ranks to 9 digits."""
+    return 1e-9 + 8 * float(np.finfo(kind).eps) * most + 1e-14 * most
 
 
 class Best:
@@ -64,47 +74,70 @@ class Best:
         self.d, self.i = np.full((n, k), np.inf), np.full((n, k), np.iinfo(np.int64).max)
         self.limit = np.full(n, np.inf) if limit is None else limit.copy()
 
-    def add(self, q: int, d: np.ndarray, ids: np.ndarray) -> None:
-        dd, ii = np.concatenate([self.d[q], d]), np.concatenate([self.i[q], ids])
-        k = self.d.shape[1]
-        if len(dd) > 4 * k:
-            kth = np.partition(dd, k - 1)[k - 1]
-            near = dd <= kth
-            dd, ii = dd[near], ii[near]
-        by = np.lexsort((ii, dd))[:k]
-        self.d[q], self.i[q] = dd[by], ii[by]
-        self.limit[q] = min(self.limit[q], self.d[q, -1])
+    def add(self, row: np.ndarray, d: np.ndarray, ids: np.ndarray) -> None:
+        """Candidates of any rows at once."""
+        if not len(row):
+            return
+        k, touched = self.d.shape[1], np.unique(row)
+        every = np.concatenate([np.repeat(touched, k), row])
+        d, ids = np.concatenate([self.d[touched].ravel(), d]), np.concatenate([self.i[touched].ravel(), ids])
+        by = np.lexsort((ids, d, every))
+        begin = np.searchsorted(every[by], touched)
+        by = by[(begin[:, None] + np.arange(k)).ravel()]
+        self.d[touched], self.i[touched] = d[by].reshape(-1, k), ids[by].reshape(-1, k)
+        self.limit[touched] = np.minimum(self.limit[touched], self.d[touched, -1])
 
 
 def search_block(best: Best, queries: np.ndarray, q_pivot: np.ndarray, q_ids: np.ndarray, vectors: np.ndarray, pivot: np.ndarray, ids: np.ndarray) -> int:
-    """Search one block for all queries; evaluated distances."""
-    done = 0
-    flat = np.ascontiguousarray(pivot.T)  # [pivots x vectors]
-    for q in range(len(queries)):
-        limit = best.limit[q] + EPS
-        bound = np.abs(flat[0] - q_pivot[q, 0])
-        live = np.flatnonzero(bound <= limit)
-        bound = bound[live]
-        for p in range(1, len(flat)):  # pivots drop candidates one after another
+    """Search one block for all queries, TILE of them at a time; evaluated distances.
+
+    Bounds of a tile are a matrix. Candidates come in the order of their least bound in the tile; a query takes part
+    only where its own bound lets a candidate in, and it stops as no bound that is left does. Distances come from a
+    matrix product, and those near the limit again from differences.
+    """
+    done, flat = 0, np.ascontiguousarray(pivot.T)
+    x2, q2 = (vectors * vectors).sum(1), (queries * queries).sum(1)
+    k, rounding = best.d.shape[1], 4e-16 * (vectors.shape[1] + 8)
+    far = max(float(q_pivot.max(initial=0)), float(pivot.max(initial=0)))
+    kind = np.float32 if far < 1e37 else np.float64
+    spare = slack(far, kind)
+    narrow = flat.astype(kind)
+    for at in range(0, len(queries), TILE):
+        rows = slice(at, at + TILE)
+        limit, qp = best.limit[rows], q_pivot[rows]
+        outside = np.maximum(qp.min(0)[:, None] - flat, flat - qp.max(0)[:, None]).max(0)
+        cols = np.flatnonzero(outside <= limit.max() + spare)
+        bound = np.zeros((len(qp), len(cols)), kind)
+        for p in range(len(flat)):  # pivots drop candidates one after another
+            gap = narrow[p, cols] - qp[:, p, None].astype(kind)
+            np.maximum(bound, np.abs(gap, out=gap), out=bound)
+            if p % 8 == 7:
+                keep = (bound <= (limit + spare)[:, None].astype(kind) * kind(1 + 1e-6)).any(0)
+                if keep.mean() < 0.7:
+                    cols, bound = cols[keep], np.ascontiguousarray(bound[:, keep])
+        least = bound.min(0, initial=np.inf)
+        order, start, step = np.argsort(least, kind="stable"), 0, TILE
+        while start < len(order) and least[order[start]] <= best.limit[rows].max() + spare:
+            part = order[start : start + step]
+            start, step = start + step, 2 * step
+            limit = best.limit[rows]
+            let_in = bound[:, part] <= (limit + spare)[:, None]
+            live, some = np.flatnonzero(let_in.any(1)), np.flatnonzero(let_in.any(0))
             if not len(live):
-                break
-            np.maximum(bound, np.abs(flat[p, live] - q_pivot[q, p]), out=bound)
-            if p % 4 == 0:
-                keep = bound <= limit
-                live, bound = live[keep], bound[keep]
-        keep = bound <= limit
-        live, bound = live[keep], bound[keep]
-        order = np.argsort(bound, kind="stable")
-        live, bound = live[order], bound[order]
-        at, step = 0, 64
-        while at < len(live) and bound[at] <= best.limit[q] + EPS:
-            part = live[at : at + step]
-            d = np.round(np.sqrt(((vectors[part] - queries[q]) ** 2).sum(1)), 9)
-            done += len(part)
-            good = (d <= best.limit[q]) & (ids[part] != q_ids[q])
-            if good.any():
-                best.add(q, d[good], ids[part][good])
-            at, step = at + step, step * 2
+                continue
+            let_in, c = let_in[np.ix_(live, some)], cols[part[some]]
+            let_in &= q_ids[at + live, None] != ids[c]
+            d2 = q2[at + live, None] + x2[c] - 2 * (queries[at + live] @ vectors[c].T)
+            d2[~let_in] = np.inf
+            done += int(let_in.sum())
+            error = rounding * (q2[at + live] + x2[c].max())
+            cut = (limit[live] + 1e-9) ** 2 * (1 + 1e-12) + error
+            if d2.shape[1] > k:
+                cut = np.minimum(cut, (np.sqrt(np.partition(d2, k - 1, axis=1)[:, k - 1] + error) + 1e-9) ** 2 * (1 + 1e-12) + error)
+            r, j = np.nonzero((d2 <= cut[:, None]) & let_in)
+            d = np.round(np.sqrt(((queries[at + live[r]] - vectors[c[j]]) ** 2).sum(1)), 9)
+            near = d <= best.limit[at + live[r]]
+            best.add(at + live[r[near]], d[near], ids[c[j[near]]])
     return done
 
 
@@ -121,6 +154,7 @@ def top_k(vectors: DataFrame, k: int = K, key: str = "vec_id", vector: str = "em
     chosen = choose_pivots(np.array(pool, np.float64), pivots)
     dim, n_pivots = chosen.shape[1], len(chosen)
     centres = chosen[: max(1, min(n_pivots, rows.count() // block))]  # about as many cells as blocks
+    unit = max(float(distances(chosen, chosen[:1]).max()) / 128, 1e-30)  # the width of a ring
 
     def cells(batches):
         for batch in batches:
@@ -129,8 +163,8 @@ def top_k(vectors: DataFrame, k: int = K, key: str = "vec_id", vector: str = "em
             yield C.table(id=batch.column(0), cell=d.argmin(1).astype(np.int32), near=d.min(1), v=C.pack(x.astype(np.float32), np.arange(len(x) + 1) * dim, 4))
 
     placed = rows.select("id", "v").mapInArrow(cells, "id long, cell int, near double, v binary")
-    # blocks of bounded size: cells are cut by ranges of the distance to their pivot, from the counts of 256 such ranges a cell
-    placed = materialise(placed.withColumn("ring", F.floor(F.least(F.col("near"), F.lit(1e6)) * 64).cast("long")), "topk-cells")
+    # blocks of bounded size: cells are cut by ranges of the distance to their pivot, from the counts of rings of one width
+    placed = materialise(placed.withColumn("ring", F.floor(F.least(F.col("near") / unit, F.lit(1e6))).cast("long")), "topk-cells")
     rings = placed.groupBy("cell", "ring").agg(F.count("*").alias("n"))
     before = W.partitionBy("cell").orderBy("ring").rowsBetween(W.unboundedPreceding, -1)
     rings = rings.withColumn("first", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / block)).withColumn("parts", F.ceil(F.col("n") / block))
@@ -159,16 +193,34 @@ def top_k(vectors: DataFrame, k: int = K, key: str = "vec_id", vector: str = "em
 
     first = materialise(blocks.select("name", "ids", "vectors", "pivot").mapInArrow(own, "name string, best_ids binary, best binary, limit double"), "topk-own")
     ranges = blocks.select("name", "low", "high").join(first.select("name", "limit"), "name")
-    a, b = ranges.toDF("q_name", "q_low", "q_high", "q_limit"), ranges.select("name", "low", "high")
+
+    def group(key_, t):
+        low, high = (np.stack(_matrix(t.column(c).combine_chunks(), np.float64)) for c in ("low", "high"))
+        limit = t.column("limit").to_numpy()
+        return pa.table({"names": pa.array([t.column("name").to_pylist()]), "low": [low.tobytes()], "high": [high.tobytes()], "limits": [limit.tobytes()]}, schema=pa.schema([("names", pa.list_(pa.string())), *((c, pa.binary()) for c in ("low", "high", "limits"))]))
+
+    n_groups = -(-blocks.count() // GROUP)
+    groups = ranges.groupBy(F.pmod(F.xxhash64("name"), F.lit(n_groups))).applyInArrow(group, "names array<string>, low binary, high binary, limits binary")
+    groups = materialise(groups, "topk-groups")
 
     def bound(batches):
+        """Pairs of blocks in groups: first the groups' ranges, then the blocks'."""
         for batch in batches:
-            q_low, q_high, low, high = (np.stack(_matrix(batch.column(batch.schema.get_field_index(c)), np.float64)) if batch.num_rows else np.zeros((0, n_pivots)) for c in ("q_low", "q_high", "low", "high"))
-            lb = np.maximum(low - q_high, q_low - high).max(1)
-            keep = lb <= batch.column(batch.schema.get_field_index("q_limit")).to_numpy() + EPS
-            yield C.table(q_name=batch.column(0), name=batch.column(batch.schema.get_field_index("name")), lb=np.maximum(lb, 0)).filter(pa.array(keep))
-
-    pairs = a.crossJoin(b).where("q_name <> name").mapInArrow(bound, "q_name string, name string, lb double")
+            for q_names, q_low, q_high, limits, names, low, high in zip(*(batch.column(c).to_pylist() for c in range(7))):
+                q_low, q_high, low, high = (np.frombuffer(x, np.float64).reshape(-1, n_pivots) for x in (q_low, q_high, low, high))
+                limits = np.frombuffer(limits, np.float64)
+                spare = slack(max(q_high.max(), high.max()))
+                if np.maximum(low.min(0) - q_high.max(0), q_low.min(0) - high.max(0)).max() > limits.max() + spare:
+                    continue
+                gap = np.full((len(q_low), len(low)), -np.inf)
+                for p in range(n_pivots):
+                    np.maximum(gap, low[:, p] - q_high[:, p, None], out=gap)
+                    np.maximum(gap, q_low[:, p, None] - high[:, p], out=gap)
+                r, c = np.nonzero(gap <= (limits + spare)[:, None])
+                yield C.table(q_name=pa.array([q_names[k] for k in r], pa.string()), name=pa.array([names[k] for k in c], pa.string()))
+
+    a, b = groups.toDF("q_names", "q_low", "q_high", "q_limits"), groups.select("names", "low", "high")
+    pairs = a.crossJoin(b).mapInArrow(bound, "q_name string, name string").where("q_name <> name")
     q = blocks.join(first, "name").select(F.col("name").alias("q_name"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), "best")
     asked = pairs.join(q, "q_name").join(blocks.select("name", "low", "high"), "name").select("name", "q_ids", "q_vectors", "best", "low", "high")
 
@@ -180,7 +232,8 @@ def top_k(vectors: DataFrame, k: int = K, key: str = "vec_id", vector: str = "em
                 x = np.frombuffer(vectors, np.float32).reshape(len(i), dim)
                 limit = np.frombuffer(best, np.float64).reshape(len(i), k)[:, -1]
                 p = distances(x.astype(np.float64), chosen)
-                go = np.maximum(np.frombuffer(low, np.float64) - p, p - np.frombuffer(high, np.float64)).max(1) <= limit + EPS
+                low, high = np.frombuffer(low, np.float64), np.frombuffer(high, np.float64)
+                go = np.maximum(low - p, p - high).max(1) <= limit + slack(max(p.max(), high.max()))
                 if go.any():
                     yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([1], pa.int32()), *(pa.array([a[go].tobytes()], pa.binary()) for a in (i, x, limit))], names=["name", "kind", "ids", "vectors", "extra"])
 
