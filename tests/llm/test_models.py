@@ -5,9 +5,10 @@ import random
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from lodeseek.llm import packing, pii, quality, registry, token_counts, topk, url_filter
+from lodeseek.llm import _core, packing, pii, quality, registry, token_counts, topk, url_filter
 
 
 # ---- quality ----
@@ -126,26 +127,57 @@ def test_pii_redaction(make, edge, none, tagger):
 
 
 def test_url_filter_on_pages(spark, small):
-    bad = ("casino-win", "free-bets", "cheap-pills", "ads-track", "spam-farm", "adult-x")
+    """Hosts of the pages, none of which is in the labelled table."""
+    assert not [u for u, _ in url_filter.SEED if any(h in u for h in url_filter.UNSEEN)]
     rows = url_filter.query(spark, small.replace("sf0.001", "sf0.01")).collect()
-    right = sum(r.blocked == any(b in r.url for b in bad) for r in rows)
+    right = sum(r.blocked == any(b in r.url for b in url_filter.UNSEEN) for r in rows)
     assert right / len(rows) > 0.98
 
 
-def test_url_filter_held_out_hosts():
-    import pyarrow as pa
-
-    weights, bias = url_filter.train([x for x in url_filter.SEED if not any(w in x[0] for w in ("casino-royal", "pills-shop", "city-library", "tiontion"))])
-    held = [x for x in url_filter.SEED if any(w in x[0] for w in ("casino-royal", "pills-shop", "city-library", "tiontion"))]
-    parts = [url_filter._python_parts(u) for u, _ in held]
+def plain_score(url, weights, bias):
+    """A URL's score by dictionaries and Python integers."""
+    seen = []
+    for seed, text in enumerate(url_filter._python_parts(url), 1):
+        data = b"^" + text.encode() + b"$"
+        for k in url_filter.SIZES:
+            for i in range(len(data) - k + 1):
+                h = 0
+                for c in data[i : i + k]:
+                    h = (h * 0x9E3779B97F4A7C15 + int(_core.BYTE[c])) % 2**64
+                x = (h + seed * 16 + k) % 2**64
+                for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                    x = (x ^ x >> shift) * factor % 2**64
+                seen.append((x ^ x >> 31) >> 64 - url_filter.BITS)
+    return sum(float(weights[x]) for x in seen) / max(1, len(seen)) ** 0.5 + bias
+
+
+def scores(urls, weights, bias):
+    parts = [url_filter._python_parts(u) for u in urls]
     row, bucket, value = url_filter.features(pa.array([p[0] for p in parts], pa.large_string()), pa.array([p[1] for p in parts], pa.large_string()))
-    score = np.bincount(row, weights[bucket] * value, len(held)) + bias
-    assert np.mean((score > 0) == np.array([y == 1 for _, y in held])) >= 0.9
+    return np.bincount(row, weights[bucket] * value, len(urls)) + bias
+
+
+def test_url_scores_are_those_of_plain_python():
+    weights, bias = url_filter.train()
+    urls = [u for u, _ in url_filter.SEED[::7]] + ["http://x", "https://Ünï.example.org/ä?b#c", "http://a.b/" + "long/" * 4000]
+    assert np.allclose(scores(urls, weights, bias), [plain_score(u, weights, bias) for u in urls], atol=1e-4)
+
+
+def test_url_filter_held_out_hosts():
+    """Every fifth host is left out whole; hosts of words that the table lacks pass."""
+    for fold in range(5):
+        hosts = sorted({url_filter._python_parts(u)[0] for u, _ in url_filter.SEED})
+        out = set(hosts[fold::5])
+        held = [x for x in url_filter.SEED if url_filter._python_parts(x[0])[0] in out]
+        weights, bias = url_filter.train([x for x in url_filter.SEED if url_filter._python_parts(x[0])[0] not in out])
+        right = (scores([u for u, _ in held], weights, bias) > 0) == np.array([y == 1 for _, y in held])
+        assert right.mean() >= 0.9
 
 
 def test_url_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, "not a url"), (None, "https://casino-win.example.com/x"), (4, "HTTPS://User@Casino-Win.example.com:80/en?q"), (4, "HTTPS://User@Casino-Win.example.com:80/en?q")]
     pages = spark.createDataFrame([(i, u, "h", "p") for i, u in rows], "page_id long, url string, host string, path string")
+    assert url_filter.classify(spark.createDataFrame([(1, "http://casino-poker.example.com/" + "a" * 200_000)], "page_id long, url string")).first().url_score < 1
     got = [(r.page_id, r.url_score is None, r.blocked) for r in url_filter.classify(pages).collect()]
     assert got == [(1, True, False), (2, True, False), (3, True, False), (None, False, True), (4, False, True), (4, False, True)]
     assert url_filter.classify(pages.where("false")).count() == 0
@@ -176,6 +208,25 @@ def test_token_counts_of_every_prefix():
     assert token_counts.tokens_at(token_counts.store(own.steps("some words")), 4) == len(own.encoding.encode_ordinary("some"))
 
 
+def test_pieces_are_those_of_the_pattern(monkeypatch):
+    """Splitting, alone and in long texts that are cut, against the pattern itself."""
+    import regex
+
+    own, rng = token_counts.counter(), random.Random(11)
+    alphabet = ["'", "'s", "'re", "'ll", "'ve", "'t", "'d", "'m", " ", "  ", "\n", "\t", "a", "S", "re", "é", "日本", "7", "٣", "!", "...", "🙂", "\u00a0", "\u2028", "'S", "st"]
+    for _ in range(300):
+        texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 30))) for _ in range(4)]
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        offsets = np.cumsum([0, *map(len, texts)])
+        want = [a + m.start() for a, x in zip(offsets, texts) for m in regex.finditer(token_counts.PATTERN, x)]
+        assert len(codes) == 0 or own.pieces(codes, offsets).tolist() == want, texts
+    text = "".join(rng.choice(alphabet) for _ in range(4000))
+    whole = own.steps(text)
+    monkeypatch.setattr(token_counts, "SEGMENT", 50)
+    monkeypatch.setattr(token_counts, "MEMO", 20)
+    assert len(own._segments(text)) > 20 and (own.steps(text) == whole).all() and [len(x) for x in own.batch(["", text[:9], ""])] == [0, 9, 0]
+
+
 def test_token_counts_store_wide_steps():
     steps = np.array([300, -299, 1])
     assert token_counts.counts(token_counts.store(steps)).tolist() == [0, 300, 1, 2]
@@ -241,6 +292,51 @@ def test_topk_brute_force(spark, n, k, block):
     assert {a: b[0] for a, b in got.items()} == {a: b[0] for a, b in want.items()} and all(abs(got[a][1] - want[a][1]) < 1e-6 for a in want)
 
 
+def exact(x, k):
+    d = np.round(np.sqrt(((x[:, None].astype(np.float64) - x) ** 2).sum(-1)), 9)
+    out = {}
+    for q in range(len(x)):
+        order = sorted((d[q, j], j) for j in range(len(x)) if j != q)[:k]
+        out |= {(q, r + 1): (j, dist) for r, (dist, j) in enumerate(order)}
+    return out
+
+
+@pytest.mark.parametrize("scale", [1e-3, 100, 1e5])
+def test_topk_at_any_scale(spark, scale):
+    """Clusters far from the origin, and an infinite vector that is left out."""
+    rng = np.random.default_rng(7)
+    x = ((rng.normal(size=(6, 16))[rng.integers(0, 6, 200)] + 1e-4 * rng.normal(size=(200, 16))) * scale).astype(np.float32)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, [float("inf")] * 16), (901, [float("-inf")] + [0.0] * 15)]
+    got = {(r.query_id, r["rank"]): (r.neighbor_id, r.distance) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 5, block=32, pivots=6).collect()}
+    want = exact(x, 5)
+    assert {a: b[0] for a, b in got.items()} == {a: b[0] for a, b in want.items()} and all(abs(got[a][1] - want[a][1]) < 1e-6 * max(1, scale) for a in want)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e2, 1e5, 1e20])
+def test_topk_bounds_are_sound(scale):
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=(8, 64))[rng.integers(0, 8, 400)] + 1e-3 * rng.normal(size=(400, 64))) * scale
+    p = topk.distances(x, topk.choose_pivots(x, 16))
+    true = np.sqrt(((x[:, None] - x) ** 2).sum(-1))
+    for kind in (np.float32, np.float64):
+        bound = np.abs(p[:, None].astype(kind) - p.astype(kind)).max(-1)
+        assert (bound - true <= topk.slack(p.max(), kind)).all()
+
+
+def test_topk_search_prunes_and_is_exact():
+    """Tiles against brute force: far clusters are never evaluated."""
+    rng = np.random.default_rng(5)
+    x = (20 * rng.normal(size=(10, 8)))[np.arange(1500) % 10] + rng.normal(size=(1500, 8))
+    x[7] = x[17] = x[27]
+    ids, p = np.arange(1500), topk.distances(x, topk.choose_pivots(x, 8))
+    best = topk.Best(1500, 4)
+    by = np.argsort(np.arange(1500) % 10, kind="stable")
+    done = topk.search_block(best, x[by], p[by], ids[by], x, p, ids)
+    want = exact(x, 4)
+    assert all((best.i[r, k], best.d[r, k]) == want[q, k + 1] for r, q in enumerate(by) for k in range(4))
+    assert done < 1500 * 1500 / 2
+
+
 def test_topk_empty(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
