@@ -11,7 +11,7 @@ size is bounded by the capacity and doesn't grow with the corpus:
 5. small lengths go, longest first, to the fullest sequence that has room (best fit), or to a new one.
 
 The plan says, for ranges of ranks within a length, where they go; a broadcast of the plan places the documents. Ranks
-come from a window over (length, salt) and counts, so no window holds all documents of a length.
+come from a window over (length, salt) and counts; salts grow with the table, so no window holds all documents of a length.
 
 Result: (bin_id, doc_id, piece, start_word, length, position): words start_word.. of the document are at
 position.. of the sequence bin_id.
@@ -34,7 +34,8 @@ from lodeseek.session import materialise
 CAPACITY = 2048
 SMALL = 1 / 8  # lengths up to this share of the capacity are small
 GROUPS = 24
-SALTS = 64
+SALTED = 1 << 20  # pieces that one window ranks, about, where lengths are spread
+MAX_BROADCAST = 1_000_000  # rows of the counts by length and salt
 MAX_COLUMNS = 400
 
 
@@ -212,9 +213,13 @@ class Plan:
         return ((rows[:, 0] << 44) | rows[:, 1], *rows[:, 2:].T)
 
     def place(self, length: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        key, _, first, per, skip = self.arrays()
-        at = np.searchsorted(key, (length << 44) | rank, "right") - 1
-        return first[at] + (skip[at] + rank - (key[at] & ((1 << 44) - 1))) // per[at]
+        return bins_of(self.arrays(), length, rank)
+
+
+def bins_of(arrays: tuple[np.ndarray, ...], length: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    key, _, first, per, skip = arrays
+    at = np.searchsorted(key, (length << 44) | rank, "right") - 1
+    return first[at] + (skip[at] + rank - (key[at] & ((1 << 44) - 1))) // per[at]
 
 
 def measure(docs: DataFrame, capacity: int) -> DataFrame:
@@ -232,19 +237,23 @@ def measure(docs: DataFrame, capacity: int) -> DataFrame:
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, small: float = SMALL, n_groups: int = GROUPS) -> DataFrame:
-    pieces = measure(docs, capacity).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)))
-    pieces = materialise(pieces, "packing-pieces")
+    pieces = materialise(measure(docs, capacity), "packing-pieces")
+    salts = 1 + pieces.count() // SALTED
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     some = pieces.where("length > 0")
     counts = materialise(some.groupBy("length", "salt").agg(F.count("*").alias("n")), "packing-counts")
     plan = Plan(capacity, small, n_groups).solve({r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()})
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     ranked = some.withColumn("own", F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1)
-    ranked = ranked.join(F.broadcast(before.select("length", "salt", "before")), ["length", "salt"]).select("doc_id", "piece", "length", (F.col("own") + F.col("before")).alias("rank"))
+    before = before.select("length", "salt", "before")
+    ranked = ranked.join(F.broadcast(before) if salts * capacity <= MAX_BROADCAST else before, ["length", "salt"]).select("doc_id", "piece", "length", (F.col("own") + F.col("before")).alias("rank"))
+
+    arrays = plan.arrays()
 
     def place(batches):
         for batch in batches:
             length = batch.column(2).to_numpy(zero_copy_only=False)
-            yield C.table(bin_id=plan.place(length, batch.column(3).to_numpy(zero_copy_only=False)), doc_id=batch.column(0), piece=batch.column(1), length=batch.column(2))
+            yield C.table(bin_id=bins_of(arrays, length, batch.column(3).to_numpy(zero_copy_only=False)), doc_id=batch.column(0), piece=batch.column(1), length=batch.column(2))
 
     placed = ranked.mapInArrow(place, "bin_id long, doc_id long, piece int, length long")
     within = W.partitionBy("bin_id").orderBy(F.desc("length"), "doc_id", "piece").rowsBetween(W.unboundedPreceding, -1)

@@ -3,13 +3,14 @@
 Training runs on the driver once per process for a table of (text, spans), by default synthetic prose with planted
 e-mail addresses, phone numbers, IP addresses, card numbers and secrets; the weights are a few kilobytes. Texts are cut
 into overlapping windows of similar length, windows of a slice are scored together, each is decoded by Viterbi, and
-neighbours are reconciled: they are joined in their overlap at a place that lies inside a span of neither, so a span is
-never cut. A window in which "outside" leads everywhere by more than transitions can win back needs no decoding; its
+neighbours are reconciled: they are joined in their overlap at a place that lies inside a span of neither; only a span
+that fills the whole overlap, longer than any kind here, is cut in its middle. A window in which "outside" leads everywhere by more than transitions can win back needs no decoding; its
 best path is all outside.
 
 Result: (doc_id, start, end, kind): character offsets, end exclusive.
 
-Defined results: null and empty texts have no spans; copies of a row each give their spans, rows with a null doc_id
+Defined results: null and empty texts have no spans; runs of fewer than ``shortest`` characters (5: no kind has so few) are
+none; copies of a row each give their spans, rows with a null doc_id
 give spans with a null doc_id; texts of any length are read whole; columns besides doc_id and text are never read.
 """
 
@@ -29,7 +30,7 @@ KINDS = ("O", "EMAIL", "PHONE", "IP", "CARD", "SECRET")
 HIDDEN = 12
 EMBED = 10
 WINDOW, OVERLAP = 448, 64
-SHORTEST = 5  # a shorter span is noise
+SHORTEST = 5  # characters of a span, at least
 VOCAB = 99
 STEPS, BATCH, EXAMPLE = 600, 64, 120
 
@@ -356,8 +357,8 @@ def _reconcile(pieces: list[tuple[int, int, np.ndarray | None]]) -> np.ndarray:
     return out
 
 
-def find_spans(model: Model, texts: list[str], rows_at_once: int = 1024) -> list[Spans]:
-    """Spans (start, end, kind) of each text."""
+def find_spans(model: Model, texts: list[str], rows_at_once: int = 1024, shortest: int = SHORTEST) -> list[Spans]:
+    """Spans (start, end, kind) of each text, of at least ``shortest`` characters."""
     found: list[Spans] = [[] for _ in texts]
     sizes = np.array([len(t) for t in texts], np.int64)
     if not sizes.sum():
@@ -397,18 +398,18 @@ def find_spans(model: Model, texts: list[str], rows_at_once: int = 1024) -> list
         y = _reconcile([(int(a[w]), int(b[w]), answers[w]) for w in range(first[r], first[r + 1])])
         cuts = np.flatnonzero(np.diff(np.r_[0, y, 0]))
         for s, e in zip(cuts[:-1], cuts[1:]):
-            if y[s] and e - s >= SHORTEST:
+            if y[s] and e - s >= shortest:
                 found[r].append((int(s), int(e), int(y[s])))
     return found
 
 
-def detect(docs: DataFrame, model: Model | None = None) -> DataFrame:
+def detect(docs: DataFrame, model: Model | None = None, shortest: int = SHORTEST) -> DataFrame:
     """(doc_id, start, end, kind) of every span."""
     model = model or default_model()
 
     def work(batches):
         for batch, texts in C.sliced(batches):
-            rows = [(k, *span) for k, spans in enumerate(find_spans(model, texts.to_pylist())) for span in spans]
+            rows = [(k, *span) for k, spans in enumerate(find_spans(model, texts.to_pylist(), shortest=shortest)) for span in spans]
             if rows:
                 k, s, e, kind = (np.array(c) for c in zip(*rows))
                 yield C.table(doc_id=batch.column(0).take(pa.array(k)), start=s, end=e, kind=pa.array(np.array(KINDS, object)[kind], pa.string()))
@@ -424,7 +425,7 @@ def redact_text(text: str, spans: Spans) -> str:
     return "".join(out) + text[done:]
 
 
-def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
+def redact(docs: DataFrame, model: Model | None = None, shortest: int = SHORTEST) -> DataFrame:
     """docs with every span replaced by [KIND]; n_chars, where there is such a column, follows the new text. Null texts stay null."""
     model = model or default_model()
     at = docs.columns.index("text")
@@ -437,7 +438,7 @@ def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
             new: list[str] = []
             for a, b in C.slices(texts):
                 part = texts.slice(a, b - a).to_pylist()
-                new += [redact_text(t, s) if s else t for t, s in zip(part, find_spans(model, part))]
+                new += [redact_text(t, s) if s else t for t, s in zip(part, find_spans(model, part, shortest=shortest))]
             columns = list(batch.columns)
             columns[at] = pa.array([t if ok else None for t, ok in zip(new, column.is_valid().to_pylist())], pa.string())
             if count is not None:

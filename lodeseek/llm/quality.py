@@ -145,7 +145,11 @@ def isotonic(x: np.ndarray, weight: np.ndarray, good: np.ndarray) -> tuple[np.nd
 
 
 def fit(stats: DataFrame, labels: DataFrame, n_features: int = FEATURES, gamma: float = GAMMA, ridge: float = RIDGE, seed: int = 7) -> Model | None:
-    """Fit on all labelled rows; None without labels of both kinds."""
+    """Fit on all labelled rows; None without labels of both kinds.
+
+    One row in HOLD_OUT by hash of its id is left out of the fit and calibrates; where that leaves none, as in very small
+    tables, all labelled rows calibrate.
+    """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("__label_id")).agg(F.max("quality").cast("double").alias("__good"))
     rows = stats.join(known, stats["doc_id"] == known["__label_id"]).select("stats", "__good", (F.pmod(F.xxhash64("__label_id"), F.lit(HOLD_OUT)) == 0).alias("__held"))
     rows = materialise(rows, "quality-labelled")

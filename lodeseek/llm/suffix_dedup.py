@@ -59,7 +59,7 @@ def _windows(words: C.Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def tied(docs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, pos, rank) of the sample suffixes whose first words occur at another place too."""
+    """(key, doc_id, pos) of the sample suffixes whose first words occur at another place too."""
     v, d = cover(length)
     member = np.zeros(v, bool)
     member[[x % v for x in d]] = True
@@ -71,23 +71,39 @@ def tied(docs: DataFrame, length: int) -> DataFrame:
             yield C.table(key=key[s].view(np.int64), doc_id=C.ids(batch)[row[s]], pos=pos[s].astype(np.int32))
 
     def ties(batches):
-        for key, doc, pos in _grouped(batches, "key", "doc_id", "pos"):
-            _, keep, _ = _occurrences(key, doc, pos)
-            if len(keep):
-                yield C.table(key=key[keep], doc_id=doc[keep], pos=pos[keep])
+        for key, doc, pos, _ in _repeated(batches):
+            yield C.table(key=key, doc_id=doc, pos=pos)
 
     suffixes = C.each(docs, emit, "key long, doc_id long, pos int")
     return suffixes.repartition("key").sortWithinPartitions("key", "doc_id", "pos").mapInArrow(ties, "key long, doc_id long, pos int")
 
 
-def _occurrences(key: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of sorted rows: the distinct ones, those with a key of at least two of them, and which of the latter come first."""
-    new_key = np.r_[True, key[1:] != key[:-1]]
-    distinct = np.flatnonzero(new_key | np.r_[True, (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])])
-    begin = np.flatnonzero(new_key[distinct])
-    size = np.diff(np.r_[begin, len(distinct)])
-    many = np.repeat(size > 1, size)
-    return distinct, distinct[many], new_key[distinct[many]]
+def _repeated(batches):
+    """(key, doc, pos, first) of the distinct rows whose key has at least two; rows come sorted by all three.
+
+    One batch is held at a time, however many rows a key has: of a key that goes on only the last row, and whether it
+    waits for a second one, are carried over.
+    """
+    last, waits = None, False
+    for batch in batches:
+        key, doc, pos = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("key", "doc_id", "pos"))
+        if not len(key):
+            continue
+        if last is not None:
+            key, doc, pos = np.r_[last[0], key], np.r_[last[1], doc], np.r_[last[2], pos]
+        new_key = np.r_[True, key[1:] != key[:-1]]
+        at = np.flatnonzero(new_key | np.r_[True, (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])])
+        begin = np.flatnonzero(new_key[at])
+        size = np.diff(np.r_[begin, len(at)])
+        first, many = new_key[at], np.repeat(size > 1, size)
+        if last is not None and not waits:  # the row carried over has been given, and its key has others
+            many[: size[0]], first[0] = True, False
+            many[0] = False
+        goes_on = size[-1] == 1 and (last is None or waits or len(begin) > 1)
+        last, waits = (key[at[-1:]], doc[at[-1:]], pos[at[-1:]]), bool(goes_on)
+        keep = at[many]
+        if len(keep):
+            yield key[keep], doc[keep], pos[keep], first[many]
 
 
 def spans(docs: DataFrame, length: int = LENGTH, max_broadcast_ranks: int = MAX_BROADCAST_RANKS) -> DataFrame:
@@ -139,10 +155,8 @@ def spans(docs: DataFrame, length: int = LENGTH, max_broadcast_ranks: int = MAX_
             yield C.table(key=key[s].view(np.int64), doc_id=C.ids(batch)[row[s]], pos=pos[s].astype(np.int32))
 
     def repeats(batches):
-        for key, doc, pos in _grouped(batches, "key", "doc_id", "pos"):
-            _, keep, first = _occurrences(key, doc, pos)
-            if len(keep):
-                yield C.table(doc_id=doc[keep], place=pos[keep].astype(np.int32) * 2 + ~first)
+        for _, doc, pos, first in _repeated(batches):
+            yield C.table(doc_id=doc, place=pos.astype(np.int32) * 2 + ~first)
 
     suffixes = C.each(source, emit, "key long, doc_id long, pos int")
     found = suffixes.repartition("key").sortWithinPartitions("key", "doc_id", "pos").mapInArrow(repeats, "doc_id long, place int")

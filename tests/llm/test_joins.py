@@ -278,6 +278,19 @@ def test_suffix_spans_brute_force(make, length, limits):
     assert got == repeated(rows, length) and len(got) > 10
 
 
+@pytest.mark.parametrize("step", [1, 2, 3, 7, 100])
+def test_repeated_rows_in_batches_of_any_size(step):
+    """A key over many batches, with repeated rows, is found as in one batch."""
+    rng = random.Random(step)
+    rows = sorted((rng.randrange(12) ** 2 // 9, rng.randrange(4), rng.randrange(3)) for _ in range(60))
+    batches = [_core.table(key=pa.array([r[0] for r in x]), doc_id=pa.array([r[1] for r in x]), pos=pa.array([r[2] for r in x])) for x in (rows[i : i + step] for i in range(0, 60, step))]
+    got = [tuple(map(int, r)) for part in suffix_dedup._repeated(batches) for r in zip(*part)]
+    places = defaultdict(list)
+    for r in sorted(set(rows)):
+        places[r[0]].append(r)
+    assert got == [(*r, int(r == p[0])) for _, p in sorted(places.items()) if len(p) > 1 for r in p]
+
+
 def test_covers_are_complete():
     for v, d in suffix_dedup.COVERS.items():
         assert {(a - b) % v for a in d for b in d} == set(range(v))

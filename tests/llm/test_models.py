@@ -30,6 +30,41 @@ def test_isotonic_pools_violators():
     assert levels.tolist() == [0, 0.5, 0.5, 1] and knots.tolist() == [0, 1, 2, 3]
 
 
+def test_isotonic_is_the_least_squares_one():
+    """Against the min-max formula."""
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        n = int(rng.integers(1, 12))
+        w = rng.integers(1, 5, n).astype(float)
+        g = np.array([float(rng.integers(0, int(x) + 1)) for x in w])
+        mean = lambda a, b: g[a : b + 1].sum() / w[a : b + 1].sum()
+        want = [max(min(mean(a, b) for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+        assert np.allclose(np.interp(np.arange(n), *quality.isotonic(np.arange(n) * 1.0, w, g)), want)
+
+
+def test_quality_fit_is_plain_ridge(spark, small):
+    """Partition-summed equations, standardisation and scores against numpy over all rows at once."""
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    stats = quality.statistics(pa.array([r.text or "" for r in rows], pa.large_string())).astype(np.float32).astype(np.float64)
+    model = quality.fit(quality.measure(docs), labels, n_features=32)
+    held = {r[0] for r in spark.createDataFrame([(r.doc_id,) for r in rows], "d long").selectExpr("d", f"pmod(xxhash64(d), {quality.HOLD_OUT}) = 0 AS h").where("h").collect()}
+    good = {}
+    for r in labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").collect():
+        good[r.doc_id] = max(good.get(r.doc_id, 0), r.quality)
+    mean, scale = stats.mean(0), stats.std(0)
+    scale[scale < 1e-5] = 1
+    rng = np.random.default_rng(7)
+    weights, shift = rng.normal(0, np.sqrt(2 * quality.GAMMA), (quality.STATS, 32)), rng.uniform(0, 2 * np.pi, 32)
+    z = np.hstack([np.ones((len(stats), 1)), np.cos((stats - mean) / scale @ weights + shift) * np.sqrt(2 / 32)])
+    use = [i for i, r in enumerate(rows) if r.doc_id in good and r.doc_id not in held]
+    a, y = z[use], np.array([good[rows[i].doc_id] for i in use], float)
+    penalty = quality.RIDGE * len(use) / 33 * np.eye(33)
+    penalty[0, 0] = 1e-9
+    beta = np.linalg.solve(a.T @ a + penalty, a.T @ y)
+    assert len(use) > 20 and np.allclose(model.score(stats), z @ beta, atol=1e-5)
+
+
 def test_quality_without_labels(spark, edge, none):
     labels = spark.createDataFrame([(1, 1), (2, 1), (None, 0), (99, 0), (3, None)], "doc_id long, quality int")
     for docs in (edge, none):
@@ -98,6 +133,34 @@ def test_pii_decoding_is_viterbi(tagger):
         assert spans == [(int(a), int(b), int(y[a])) for a, b in zip(cuts[:-1], cuts[1:]) if y[a] and b - a >= pii.SHORTEST]
 
 
+def decoded(tagger, text):
+    """Spans by plain Viterbi over the whole text, without windows."""
+    em = tagger.emissions(pii.codes(text)[:, None].astype(np.intp), np.array([len(text)]))[:, :, 0]
+    score, back = em[0] + tagger.p["s"], []
+    for e in em[1:]:
+        s = score[:, None] + tagger.p["t"]
+        back.append(s.argmax(0))
+        score = s.max(0) + e
+    path = [int(score.argmax())]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    y = np.array(path[::-1])
+    cuts = np.flatnonzero(np.diff(np.r_[0, y, 0]))
+    return [(int(a), int(b), int(y[a])) for a, b in zip(cuts[:-1], cuts[1:]) if y[a] and b - a >= pii.SHORTEST]
+
+
+def test_pii_windows_give_what_the_whole_text_gives(tagger):
+    """Texts of many windows against decoding without windows."""
+    data = [t for t, _ in pii.examples(160, 99)]
+    texts = [" ".join(data[i : i + 20]) for i in range(0, 160, 20)]
+    assert min(map(len, texts)) > 4 * pii.WINDOW
+    got = [set(x) for x in pii.find_spans(tagger, texts)]
+    want = [set(decoded(tagger, t)) for t in texts]
+    both = sum(len(a & b) for a, b in zip(got, want))
+    assert both >= 0.98 * max(sum(map(len, got)), sum(map(len, want))) > 50
+    assert sum(len(x) for x in pii.find_spans(tagger, texts, shortest=1)) >= sum(map(len, got))
+
+
 def test_pii_in_long_texts_and_company(tagger):
     filler = "plain words of a long text and nothing else in it. "
     text = filler * 400 + "write to some.12@mail4.example.com today " + filler * 400
@@ -256,6 +319,66 @@ def test_packing_plans_are_valid_and_tight():
         assert plan.bins <= 1.08 * -(-int(lengths.sum()) // cap) + packing.GROUPS or plan.bins <= (lengths > cap / 2).sum() + lengths.sum() / cap * 0.5 + packing.GROUPS
 
 
+def fewest_bins(lengths, cap):
+    """The optimum by trying every set of pieces for a bin."""
+    import functools
+
+    @functools.cache
+    def best(left):
+        if not left:
+            return 0
+        first, rest, out = left[0], left[1:], len(left)
+        for mask in range(1 << len(rest)):
+            some = [x for i, x in enumerate(rest) if mask >> i & 1]
+            if first + sum(some) <= cap:
+                out = min(out, 1 + best(tuple(x for i, x in enumerate(rest) if not mask >> i & 1)))
+        return out
+
+    return best(tuple(sorted(lengths, reverse=True)))
+
+
+def best_fit_bins(lengths, cap):
+    """Plain best fit, longest first, piece by piece."""
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        fit = [i for i, r in enumerate(rooms) if r >= n]
+        if fit:
+            i = min(fit, key=rooms.__getitem__)
+            rooms[i] -= n
+        else:
+            rooms.append(cap - n)
+    return len(rooms)
+
+
+def histogram_of(lengths):
+    return {int(a): int(b) for a, b in zip(*np.unique(lengths, return_counts=True))}
+
+
+def test_packing_against_the_optimum_and_plain_best_fit():
+    rng, over = random.Random(2), 0
+    for _ in range(60):
+        cap = rng.randrange(10, 60)
+        lengths = [rng.randrange(1, cap + 1) for _ in range(rng.randrange(1, 9))]
+        best, got = fewest_bins(lengths, cap), packing.Plan(cap).solve(histogram_of(lengths)).bins
+        assert best <= got <= best + 1
+        over += got - best
+    assert over <= 3
+    for k in range(6):
+        cap = rng.randrange(100, 800)
+        lengths = [min(cap, 1 + int(rng.lognormvariate(np.log(cap / 4), 0.9))) for _ in range(1500)]
+        assert packing.Plan(cap).solve(histogram_of(lengths)).bins <= 1.02 * best_fit_bins(lengths, cap) + packing.GROUPS / 4, k
+
+
+def test_packing_with_many_salts(make, monkeypatch):
+    rows = [(i, "w " * (i % 9)) for i in range(90)]
+    one = packing.pack(make(rows), 16).groupBy("bin_id").sum("length").count()
+    monkeypatch.setattr(packing, "SALTED", 7)
+    for most in (0, 10**6):
+        monkeypatch.setattr(packing, "MAX_BROADCAST", most)
+        many = packing.pack(make(rows), 16).collect()
+        assert len({r.bin_id for r in many}) == one and len(many) == 90
+
+
 def test_packing_places_every_word(make, edge, none):
     rng = random.Random(1)
     rows = [(i, "w " * rng.choice((0, 1, 3, 30, 64, 65, 130, 200))) for i in range(200)] + [(7, "w " * 30), (None, "w " * 9), (8, None)]
@@ -358,15 +481,67 @@ def test_pipeline(spark, small, tmp_path):
     assert packed == kept and 0.4 * before < len(kept) < before
 
 
+def test_stages_are_what_plain_python_gives(spark, small, tmp_path):
+    """Each stage on all that its predecessor kept, against loops over the rows."""
+    import re
+
+    import corpus_pipeline
+
+    def words(text):
+        return re.findall(r"[a-z0-9\x80-\U0010ffff]+", (text or "").lower())
+
+    def grams(text, n):
+        w = words(text)
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    kept = {r.doc_id: r.text for r in docs.collect()}
+    good = {r.doc_id for r in quality.classify(docs, spark.read.parquet(f"{small}/labels.parquet")).where("keep").collect()}
+    want = {i: t for i, t in kept.items() if i in good}
+    outputs = []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, small)
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        outputs.append(docs)
+    assert {r.doc_id: r.text for r in outputs[0].collect()} == want
+    sets, root = {i: grams(t, 2) for i, t in want.items()}, {i: i for i in want}
+    for i in sorted(want):
+        for j in sorted(want):
+            if i < j and sets[i] and len(sets[i] & sets[j]) >= 0.65 * len(sets[i] | sets[j]) - 1e-9:
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if r == b else r for k, r in root.items()}
+    want = {i: t for i, t in want.items() if root[i] == i}
+    assert {r.doc_id: r.text for r in outputs[1].collect()} == want
+    items = [grams(r.text, 3) for r in spark.read.parquet(f"{small}/benchmark.parquet").where("item_id IS NOT NULL").collect()]
+    want = {i: t for i, t in want.items() if not any(s and len(s & grams(t, 3)) >= 0.6 * len(s) - 1e-9 for s in items)}
+    assert {r.doc_id: r.text for r in outputs[2].collect()} == want
+    model = pii.default_model()
+    want = {i: pii.redact_text(t, s) for (i, t), s in zip(want.items(), pii.find_spans(model, list(want.values())))}
+    got = {r.doc_id: r.text for r in outputs[3].collect()}
+    assert set(got) == set(want) and sum(got[i] == want[i] for i in want) >= 0.99 * len(want)
+    packed = outputs[4].collect()
+    total = {}
+    for r in packed:
+        total[r.doc_id] = total.get(r.doc_id, 0) + r.length
+    assert total == {i: len(words(t)) for i, t in got.items()}
+
+
 def test_stages_on_edge_cases(spark, edge, none, tmp_path):
+    """Chained: what each stage leaves of the edge table; labels of one kind let the classifier keep everything."""
     import corpus_pipeline
 
-    spark.createDataFrame([(1, 0, 0), (4, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, 1, 0), (4, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, "two words"), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    for docs in (edge, none):
-        for _, stage in corpus_pipeline.STAGES:
-            out = stage(spark, docs, str(tmp_path))
-            out.collect()
+    left = [13, 11, 10, 10]  # 5 (twice) is a copy of 4; 9 is the item
+    for docs, counts in ((edge, left), (none, [0] * 4)):
+        columns = docs.columns
+        for (name, stage), n in zip(corpus_pipeline.STAGES[:-1], counts):
+            docs = stage(spark, docs, str(tmp_path))
+            assert docs.columns == columns and docs.count() == n, name
+        ids = sorted((r.doc_id or 0) for r in docs.collect())
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+        assert sorted({(r.doc_id or 0) for r in packed}) == sorted(set(ids)) and sum(r.length == 0 for r in packed) == (5 if n else 0)
 
 
 def test_one_query_each():
