@@ -2,6 +2,11 @@
 
 Every stage reads what its predecessor wrote. The first four are filters or rewrites and return the columns of
 documents; the last returns the packing.
+
+Defined results: rows with a null text, an empty one or one without a word pass every filter and have a packing row of
+length 0; rows with a null doc_id are judged by their text but never count as copies; repeated rows share their fate, and
+rows that share a doc_id go together as copies; very long texts are read whole; without labels of both kinds the classifier
+keeps everything; an empty table stays empty; extra columns pass through the first four stages, whatever their names.
 """
 
 from __future__ import annotations
