@@ -96,6 +96,19 @@ def latency(runs: DataFrame, key: str, value: str) -> DataFrame:
     return runs.groupBy(key).agg(F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
 
 
+def check_hits(runs: DataFrame, hits: DataFrame, key: str = "run_name") -> DataFrame:
+    """The raw hits that each run reports against those counted: (key, reported, counted, agrees)."""
+    counted = hits.groupBy(key).agg(F.count("*").alias("counted"))
+    both = runs.groupBy(key).agg(F.sum("n_hits").alias("reported")).join(counted, key, "full")
+    return both.select(key, F.coalesce("reported", F.lit(0)).alias("reported"), F.coalesce("counted", F.lit(0)).alias("counted")).withColumn("agrees", F.col("reported") == F.col("counted"))
+
+
+def join_by_name(catalog: DataFrame, hits: DataFrame, path: str = "path", url: str = "url") -> DataFrame:
+    """Hits whose path ends in the name that an entry's URL ends in, without extensions; either separator counts."""
+    stem = lambda c: F.lower(F.regexp_replace(F.regexp_extract(c, r"([^/\\\\?#]+)[/\\\\]?(?:[?#].*)?$", 1), r"\.[^.]*$", ""))
+    return hits.withColumn("__name", stem(F.col(path))).where("__name <> ''").join(catalog.withColumn("__name", stem(F.col(url))), "__name").drop("__name")
+
+
 def backoff_seconds(attempt: Column) -> Column:
     """The wait before the next attempt n: min(30, 0.5 * 2^(n-1)) * (1 + 0.1 * (n mod 3))."""
     return F.least(F.lit(30.0), 0.5 * F.pow(F.lit(2.0), attempt - 1)) * (1 + 0.1 * (attempt % 3))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,6 +66,38 @@ def reciprocal_rank(run: DataFrame, qrels: DataFrame) -> DataFrame:
     return qrels.select("query_id").distinct().join(rows, "query_id", "left").select("query_id", F.coalesce(1 / F.col("i"), F.lit(0.0)).alias("rr"))
 
 
+def graded_metrics(run: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, rr, ndcg_3, ndcg_5, ndcg_10, p_10, recall, err, q) of every judged query.
+
+    err: expected reciprocal rank to depth k, a document satisfies with (2^rel - 1) / 2^m, m the greatest label of all.
+    q: Q-measure with gain rel and beta 1: at each relevant position (hits + gain so far) / (position + ideal gain so far),
+    averaged over all relevant documents.
+    """
+    w = W.partitionBy("query_id").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    most = qrels.agg(F.max("rel").alias("most"))
+    ideal = qrels.withColumn("i", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rel"), "dataset_id"))).withColumn("ideal_gain", F.sum("rel").over(w))
+    rows = _judged(run, qrels).crossJoin(F.broadcast(most)).withColumn("hit", (F.col("rel") > 0).cast("int"))
+    rows = rows.withColumn("hits", F.sum("hit").over(w)).withColumn("gain", F.sum("rel").over(w))
+    rows = rows.withColumn("stop", (F.pow(F.lit(2.0), F.col("rel")) - 1) / F.pow(F.lit(2.0), F.col("most")))
+    rows = rows.withColumn("go_on", F.exp(F.coalesce(F.sum(F.log(1 - F.col("stop"))).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))))
+    total = ideal.groupBy("query_id").agg(F.count_if(F.col("rel") > 0).alias("relevant"), F.max("ideal_gain").alias("all_gain"), *(F.sum(F.when(F.col("i") <= n, _gain())).alias(f"ideal_{n}") for n in (3, 5, 10)))
+    rows = rows.join(ideal.select("query_id", "i", "ideal_gain"), ["query_id", "i"], "left").join(total.select("query_id", "all_gain"), "query_id")
+    blended = (F.col("hits") + F.col("gain")) / (F.col("i") + F.coalesce("ideal_gain", "all_gain"))
+    got = rows.groupBy("query_id").agg(
+        F.max(F.when(F.col("hit") == 1, 1 / F.col("i"))).alias("rr"), *(F.sum(F.when(F.col("i") <= n, _gain())).alias(f"dcg_{n}") for n in (3, 5, 10)), F.sum(F.when(F.col("i") <= 10, F.col("hit"))).alias("top"),
+        F.sum("hit").alias("found"), F.sum(F.when(F.col("i") <= k, F.col("stop") * F.col("go_on") / F.col("i"))).alias("err"), F.sum(F.when(F.col("hit") == 1, blended)).alias("q"),
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    out = total.join(got, "query_id", "left")
+    return out.select(
+        "query_id", zero(F.col("rr")).alias("rr"), *(zero(F.try_divide(f"dcg_{n}", f"ideal_{n}")).alias(f"ndcg_{n}") for n in (3, 5, 10)), zero(F.col("top") / 10.0).alias("p_10"), zero(F.try_divide("found", "relevant")).alias("recall"), zero(F.col("err")).alias("err"), zero(F.try_divide("q", "relevant")).alias("q"),
+    )
+
+
+def _gain() -> Column:
+    return (F.pow(F.lit(2.0), F.col("rel")) - 1) / F.log2(F.col("i") + 1.0)
+
+
 def run_summary(metrics: DataFrame) -> DataFrame:
     """Metrics (run_name, query_id, ...) averaged over queries, rounded to 6; best nDCG, then MAP, then name first."""
     rows = metrics.groupBy("run_name").agg(F.count("*").alias("queries"), *(F.round(F.avg(m), 6).alias(m) for m in METRICS))
@@ -80,10 +114,16 @@ def diagnostics(run: DataFrame, queries: DataFrame, hits: DataFrame) -> DataFram
 
 
 def bootstrap_indices(spark: SparkSession, n_queries: int, n_samples: int = 10_000, seed: int = 42) -> DataFrame:
-    """(sample, pos, idx) by Python's generator, one list for all runs, so comparisons are paired."""
-    rng = random.Random(seed)
-    rows = [(s, p, rng.randrange(n_queries)) for s in range(n_samples) for p in range(n_queries)] if n_queries else []
-    return spark.createDataFrame(rows, "sample int, pos int, idx int")
+    """(sample, pos, idx) by Python's generator, one list for all runs, so comparisons are paired. One task draws, a sample
+    at a time, as the generator has one sequence; the driver holds none of it."""
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in batches:
+            rng = random.Random(seed)
+            for s in range(n_samples if n_queries else 0):
+                yield pd.DataFrame({"sample": s, "pos": range(n_queries), "idx": [rng.randrange(n_queries) for _ in range(n_queries)]})
+
+    return spark.range(0, 1, 1, 1).mapInPandas(draw, "sample int, pos int, idx int")
 
 
 def bootstrap_means(values: DataFrame, indices: DataFrame) -> DataFrame:
@@ -140,6 +180,11 @@ def excluded_ids(records: DataFrame) -> DataFrame:
     return records.where(gone & (F.trim("dataset_id") != "")).select(F.trim("dataset_id").alias("dataset_id")).distinct()
 
 
+def removed_counts(removed: DataFrame) -> DataFrame:
+    """(kind, id, n): the removed lines of each query, and of each dataset."""
+    return removed.select(F.explode(F.array(F.struct(F.lit("query").alias("kind"), F.col("query_id").alias("id")), F.struct(F.lit("dataset").alias("kind"), F.col("dataset_id").alias("id")))).alias("r")).groupBy("r.kind", "r.id").agg(F.count("*").alias("n"))
+
+
 def label_histogram(qrels: DataFrame) -> DataFrame:
     """Lines per query and label."""
     return qrels.groupBy("query_id", "label").agg(F.count("*").alias("n"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodeseek.functions import text as T
+from lodeseek.functions.terms import corpus_counts, term_counts
+from lodeseek.session import materialise
 
 K1, B = 1.5, 0.75
 
@@ -28,33 +32,38 @@ def first_documents(rows: DataFrame, key: str = "dataset_id", text: str = "text"
     return ok.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy(seq))).where("__n = 1").drop("__n")
 
 
-def term_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, term, tf, dl): one exchange, by document; the length rides along."""
-    words = docs.select(F.col(key), T.tokens(F.col(text)).alias("w")).select(key, F.size("w").alias("dl"), F.explode("w").alias("term"))
-    return words.groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
+def term_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(term, df, cf); documents are rows, whose counts are summed before the exchange."""
+    return corpus_counts(docs, text).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
-def term_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(term, df, cf)."""
-    return term_counts(docs, key, text).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+def vocabulary_of(asked: DataFrame, most_bytes: int = 16 << 20) -> list[str] | None:
+    """The distinct terms if they fit in ``most_bytes``; else None."""
+    terms = asked.select("term").distinct()
+    if (terms.agg(F.sum(F.octet_length("term") + 8)).first()[0] or 0) > most_bytes:
+        return None
+    return [r[0] for r in terms.collect()]
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
-    """Docs (dataset_id string, text), queries (query_id string, text).
+    """Docs (dataset_id string, text), queries (query_id string, text), a row each.
 
-    Only postings of query terms are joined: the query terms are few, so they cut the corpus before its exchange.
-    Repeated query terms count as often as they occur; documents that share no term are not ranked.
+    Only postings of query terms leave the one pass over the documents, which counts inside rows and gives the corpus's
+    totals too; they are written once. Repeated query terms count as often as they occur; documents that share no term
+    are not ranked.
     """
-    asked = term_counts(queries, "query_id").select("query_id", "term", F.col("tf").alias("qtf"))
-    words = docs.select("dataset_id", T.tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
-    total = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
-    vocabulary = small(asked.select("term").distinct())
-    hits = words.select("dataset_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(vocabulary, "term", "left_semi")
-    tf = hits.groupBy("dataset_id", "term", "dl").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))  # needs tf, so both uses of it have one exchange
+    asked = term_counts(queries, "query_id").groupBy("query_id", "term").agg(F.sum("tf").alias("qtf"))
+    words = vocabulary_of(asked)
+    postings = term_counts(docs, "dataset_id", vocabulary=words, totals=True)
+    if words is None:
+        postings = postings.join(asked.select("term").distinct(), "term", "left_semi").unionByName(postings.where("term IS NULL"))
+    postings = materialise(postings, "postings")
+    total = postings.where("term IS NULL").agg(F.sum("tf").alias("n"), (F.sum("dl") / F.sum("tf")).alias("avgdl"))
+    tf = postings.where("term IS NOT NULL")
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weighted = asked.join(df, "term").crossJoin(F.broadcast(total)).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     term_score = F.col("idf") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1e-9)))) * F.col("qtf")
-    scored = weighted.join(tf, "term").groupBy("query_id", "dataset_id").agg(F.round(F.sum(term_score), 9).alias("score")).where("score > 0")
+    scored = (small(weighted) if words is not None else weighted).join(tf, "term").groupBy("query_id", "dataset_id").agg(F.round(F.sum(term_score), 9).alias("score")).where("score > 0")
     return top(scored, k).select("query_id", "dataset_id", "rank", "score")
 
 
@@ -98,23 +107,58 @@ def vector_score(distance: Column) -> Column:
     return 1 / (1 + F.greatest(F.coalesce(distance, F.lit(999.0)), F.lit(0.0)))
 
 
+def _nearest(corpus: DataFrame, queries: DataFrame, k: int, inner: bool, most_bytes: int = 64 << 20) -> DataFrame | None:
+    """(query_id, dataset_id, value) of the k best of each Arrow batch by a matrix product, exact values by differences; None where the
+    queries don't fit in ``most_bytes`` or vectors differ in length."""
+    q = queries.select("query_id", F.col("embedding").cast("array<double>").alias("v"))
+    n, least, longest = q.agg(F.count("v"), F.min(F.size("v")), F.max(F.size("v"))).first()
+    if not n or least != longest or least < 1 or n * longest * 8 > most_bytes or q.where("query_id IS NULL OR exists(v, x -> x IS NULL)").limit(1).count():
+        return None
+    rows = q.where("v IS NOT NULL").collect()
+    names, matrix = pa.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
+    dim, kind = matrix.shape[1], corpus.schema["dataset_id"].dataType.simpleString()
+    q2, keep = (matrix * matrix).sum(1), max(1, k)
+
+    def work(batches):
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            for at in range(0, len(x), 4096):
+                part, ids = x[at : at + 4096], batch.column(0).slice(at, 4096)
+                product = matrix @ part.T
+                x2 = (part * part).sum(1)
+                value = -product if inner else q2[:, None] + x2 - 2 * product
+                spare = 1e-9 + 1e-12 * (q2[:, None] + x2.max())  # ties at the ranks' nine digits, and rounding
+                cut = np.partition(value, keep - 1, axis=1)[:, keep - 1, None] + 2 * spare if len(part) > keep else np.inf
+                r, c = np.nonzero(value <= cut)
+                exact = (matrix[r] * part[c]).sum(1) if inner else ((matrix[r] - part[c]) ** 2).sum(1)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(r)), ids.take(pa.array(c)), pa.array(np.round(exact, 9))], names=["query_id", "dataset_id", "value"])
+
+    ok = corpus.select("dataset_id", F.col("embedding").cast("array<double>").alias("v")).where((F.size("v") == dim) & ~F.exists("v", lambda e: e.isNull()))
+    return ok.mapInArrow(work, f"query_id {queries.schema['query_id'].dataType.simpleString()}, dataset_id {kind}, value double")
+
+
 def knn_l2(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """Corpus (dataset_id, embedding), queries (query_id, embedding): the k nearest by squared Euclidean distance.
+    """Corpus (dataset_id, embedding), queries (query_id, embedding): the k nearest by squared Euclidean distance; vectors of
+    another length than the queries' aren't ranked.
 
-    Queries are broadcast when few, so the corpus is scanned once and only candidates are exchanged: the window's group
-    limit keeps k rows per query and task.
+    Few queries travel as one matrix, so the corpus is scanned once and only a batch's candidates are exchanged; beyond
+    that the pairs are joined, and the window's group limit keeps k rows per query and task.
     """
-    q = small(queries.select("query_id", F.col("embedding").alias("__q")))
-    d = corpus.crossJoin(q).select("query_id", "dataset_id", F.round(squared_l2(F.col("embedding"), F.col("__q")), 9).alias("distance"))
-    ranked = top(d, k, F.asc("distance"), F.asc("dataset_id"))
+    d = _nearest(corpus, queries, k, False)
+    if d is None:
+        pairs = corpus.crossJoin(queries.select("query_id", F.col("embedding").alias("__q"))).where(F.size("embedding") == F.size("__q"))
+        d = pairs.select("query_id", "dataset_id", F.round(squared_l2(F.col("embedding"), F.col("__q")), 9).alias("value"))
+    ranked = top(d.withColumnRenamed("value", "distance"), k, F.asc("distance"), F.asc("dataset_id"))
     return ranked.select("query_id", "dataset_id", "rank", "distance", vector_score(F.col("distance")).alias("vector_score"))
 
 
 def knn_ip(corpus: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """T4: exact inner product, ties by id."""
-    q = small(queries.select("query_id", F.col("embedding").alias("__q")))
-    d = corpus.crossJoin(q).select("query_id", "dataset_id", F.round(dot(F.col("embedding"), F.col("__q")), 9).alias("score"))
-    return top(d, k).select("query_id", "dataset_id", "rank", "score")
+    """T4: exact inner product, ties by id; as ``knn_l2``."""
+    d = _nearest(corpus, queries, k, True)
+    if d is None:
+        pairs = corpus.crossJoin(queries.select("query_id", F.col("embedding").alias("__q"))).where(F.size("embedding") == F.size("__q"))
+        d = pairs.select("query_id", "dataset_id", F.round(dot(F.col("embedding"), F.col("__q")), 9).alias("value"))
+    return top(d.withColumnRenamed("value", "score"), k).select("query_id", "dataset_id", "rank", "score")
 
 
 def max_sim(doc_tokens: DataFrame, query_tokens: DataFrame, k: int = 10) -> DataFrame:
@@ -134,19 +178,40 @@ def sparse_dot(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
 
 def sparse_pool(logits: DataFrame, most: int = 256) -> DataFrame:
-    """Logits (dataset_id, term, logit) by token: log(1 + max(0, logit)), the greatest per term, the top terms per document."""
-    w = logits.groupBy("dataset_id", "term").agg(F.max(F.log1p(F.greatest(F.col("logit"), F.lit(0.0)))).alias("weight")).where("weight > 0")
+    """Logits (dataset_id, term, logit) by token: log(1 + max(0, logit)), the greatest per term, the top terms per document.
+
+    One exchange, by document, serves both the greatest and the top."""
+    w = logits.repartition("dataset_id").groupBy("dataset_id", "term").agg(F.max(F.log1p(F.greatest(F.col("logit"), F.lit(0.0)))).alias("weight")).where("weight > 0")
     n = F.row_number().over(W.partitionBy("dataset_id").orderBy(F.desc("weight"), "term"))
     return w.withColumn("__n", n).where(F.col("__n") <= most).drop("__n")
 
 
 def mean_pool(tokens: DataFrame) -> DataFrame:
-    """Tokens (dataset_id, mask, embedding): masked mean by position, to unit length."""
-    cells = tokens.where("mask = 1").select("dataset_id", F.posexplode("embedding").alias("i", "x"))
-    mean = cells.groupBy("dataset_id", "i").agg(F.avg("x").alias("x")).groupBy("dataset_id").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("p"))
+    """Tokens (dataset_id, mask, embedding): masked mean by position, to unit length. Tokens are summed batch by batch, so a
+    document's dimensions travel once a batch, not once a token."""
+    kind = tokens.schema["dataset_id"].dataType.simpleString()
+
+    def sums(batches):
+        for batch in batches:
+            ids = batch.column(0).dictionary_encode()
+            lists = batch.column(1)
+            row, dim = np.repeat(ids.indices.to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.value_lengths().to_numpy(zero_copy_only=False)
+            pos = np.arange(len(row)) - np.repeat(np.cumsum(dim) - dim, dim)
+            width = int(pos.max(initial=0)) + 1
+            cell, where = np.unique(row * width + pos, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([ids.dictionary.take(pa.array(cell // width)), pa.array((cell % width).astype(np.int32)), pa.array(np.bincount(where, lists.flatten().to_numpy(zero_copy_only=False), len(cell))), pa.array(np.bincount(where, minlength=len(cell)))], names=["dataset_id", "i", "x", "n"])
+
+    cells = tokens.where("mask = 1 AND dataset_id IS NOT NULL AND embedding IS NOT NULL").select("dataset_id", F.transform("embedding", lambda x: F.coalesce(x.cast("double"), F.lit(0.0))).alias("v"))
+    mean = cells.mapInArrow(sums, f"dataset_id {kind}, i int, x double, n long").groupBy("dataset_id", "i").agg((F.sum("x") / F.sum("n")).alias("x"))
+    mean = mean.groupBy("dataset_id").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("p"))
     return mean.select("dataset_id", normalise(F.col("p.x")).alias("embedding"))
 
 
+def cls_pool(tokens: DataFrame, position: str = "pos") -> DataFrame:
+    """The vector of token 0 of each document, to unit length."""
+    return tokens.where(F.col(position) == 0).select("dataset_id", normalise(F.col("embedding")).alias("embedding"))
+
+
 # ---- fusion ---------------------------------------------------------------------------------------------------------
 
 

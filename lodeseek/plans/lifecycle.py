@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.functions import answers
@@ -10,6 +10,7 @@ from lodeseek.functions import text as T
 from lodeseek.operators import search
 from lodeseek.plans import providers
 from lodeseek.session import materialise
+from lodeseek.sources import records
 
 QUERIES = "struct<queries:array<string>>"
 CONFIGS = (("baseline", False, False), ("queryopt", False, True), ("semantic", True, False), ("full", True, True))
@@ -75,6 +76,61 @@ def search_online(topics: DataFrame, corpus: DataFrame, provider: providers.Prov
     return ranked.where(F.col("rank") <= max(1, k)).select("query_id", "dataset_id", "rank", F.round("final_score", 6).alias("score"))
 
 
+def complex_queries(topics: DataFrame, provider: providers.Provider, cache: DataFrame) -> DataFrame:
+    """L3: (query_id, text): the cached complex query of each topic, and the provider's for those that the cache lacks; a
+    blank answer leaves the topic's own text."""
+
+    def ask(missing: DataFrame) -> DataFrame:
+        got = providers.complete(missing, provider, "complex_query", "text", "answer")
+        return got.select("query_id", F.coalesce(F.when(T.strip(F.col("answer")) != "", F.col("answer")), F.col("text")).alias("text"))
+
+    return records.read_through(topics.select("query_id", "text"), cache.select("query_id", "text"), "query_id", ask)
+
+
+def query_sets(topics: DataFrame, provider: providers.Provider, cache: DataFrame) -> DataFrame:
+    """(query_set, query_id, text): the topics as they are, and as complex queries."""
+    parts = {"original": topics.select("query_id", "text"), "complex": complex_queries(topics, provider, cache)}
+    return parts["original"].select(F.lit("original").alias("query_set"), "*").union(parts["complex"].select(F.lit("complex"), "query_id", "text"))
+
+
+def grid(configurations: DataFrame, sets: DataFrame) -> DataFrame:
+    """Every query of every set under every configuration."""
+    return sets.crossJoin(F.broadcast(configurations))
+
+
+def ablation(topics: DataFrame, corpus: DataFrame, provider: providers.Provider, dimensions: int, **limits) -> DataFrame:
+    """(config, query_id, dataset_id, rank, score): search under every configuration: with or without the semantic variant of
+    the index (corpus has ``variant``), with or without sub-queries."""
+    out = None
+    for name, semantic, optimise in CONFIGS:
+        own = corpus.where(F.col("variant") == ("with_semantic" if semantic else "without_semantic"))
+        found = search_online(topics, own, provider, dimensions, optimise, **limits).select(F.lit(name).alias("config"), "*")
+        out = found if out is None else out.union(found)
+    return out
+
+
+def described_queries(records_: DataFrame, provider: providers.Provider, task: str = "validation_queries") -> DataFrame:
+    """(dataset_id, n, text): the lines that the provider gives for a profile: key points, or queries that validate
+    it; list marks go."""
+    asked = providers.complete(records_, provider, task, "data_profile", "answer")
+    items = T.numbered_list(F.coalesce("answer", F.lit("")))
+    return asked.select("dataset_id", F.posexplode(items).alias("n", "text"))
+
+
+def preflight(spark: SparkSession, files: list[str], collections: dict[str, DataFrame], sets: dict[str, DataFrame]) -> DataFrame:
+    """(check, ok, detail): files that a replay needs, collections and query sets that mustn't be empty."""
+    rows = [(f"file {p}", records.exists(spark, p), "there" if records.exists(spark, p) else "missing") for p in files]
+    for kind, frames in (("collection", collections), ("queries", sets)):
+        rows += [(f"{kind} {name}", not df.isEmpty(), f"{df.count()} rows") for name, df in frames.items()]
+    return spark.createDataFrame(rows, "check string, ok boolean, detail string")
+
+
+def replay_views(queries: DataFrame, stored: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """(query, k, tables) for each k, cut from one hit list."""
+    full = replay(queries, stored, max(ks))
+    return full.select("query", F.explode(F.array(*map(F.lit, ks))).alias("k"), "tables").select("query", "k", F.slice("tables", F.lit(1), F.col("k")).alias("tables"))
+
+
 def replay_summary(dimensions: DataFrame, results: DataFrame) -> DataFrame:
     """One row per cell of ``dimensions`` (dataset, variant, k); cells without results have null metrics and say so; a warning
     where a retrieval row is empty."""

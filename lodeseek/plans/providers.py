@@ -35,6 +35,8 @@ class Offline:
             return "Find datasets about " + " ".join(words[:12])
         if task == "sub_queries":
             return "\n".join(f"{i}. {' '.join(words[i - 1 : i + 2])}" for i in range(1, min(len(words), 5) + 1))
+        if task in ("key_points", "validation_queries"):
+            return "\n".join(f"{i}. {w}" for i, w in enumerate(words[:5], 1))
         if task == "background":
             return " ".join(words[:40])
         return ""

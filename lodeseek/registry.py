@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodeseek.functions import answers
 from lodeseek.functions import text as T
 from lodeseek.operators import catalog, evaluate, profile, search
-from lodeseek.plans import providers
+from lodeseek.plans import lifecycle, providers
 from lodeseek.session import materialise
-from lodeseek.sources import trec
+from lodeseek.sources import records, trec
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -233,7 +234,8 @@ def _(s, d):
 
 @query("rank_metrics", f"WITH {_BM25}, {_QRELS}, {_METRICS} SELECT query_id, round(map, 6) AS map, round(ndcg, 6) AS ndcg, round(p, 6) AS p, round(r, 6) AS r FROM m")
 def _(s, d):
-    return evaluate.query_metrics(run(s, d), judgements(s, d)).select("query_id", *(F.round(m, 6).alias(m) for m in evaluate.METRICS))
+    found = materialise(run(s, d), "run")
+    return evaluate.query_metrics(found, judgements(s, d, found)).select("query_id", *(F.round(m, 6).alias(m) for m in evaluate.METRICS))
 
 
 def _runs(s, d):
@@ -335,12 +337,14 @@ def _(s, d):
     f"WITH {_BM25}, {_QRELS} SELECT q.query_id, round(coalesce(1.0 / min(CASE WHEN rel > 0 THEN rank END), 0), 6) AS rr FROM (SELECT DISTINCT query_id FROM qrels) q LEFT JOIN run ON run.query_id = q.query_id LEFT JOIN qrels x ON x.query_id = run.query_id AND x.dataset_id = run.dataset_id GROUP BY q.query_id",
 )
 def _(s, d):
-    return evaluate.reciprocal_rank(run(s, d), judgements(s, d)).withColumn("rr", F.round("rr", 6))
+    found = materialise(run(s, d), "run")
+    return evaluate.reciprocal_rank(found, judgements(s, d, found)).withColumn("rr", F.round("rr", 6))
 
 
 @query("linear_gain_metrics")
 def _(s, d):
-    return evaluate.linear_gain_metrics(run(s, d), judgements(s, d))
+    found = materialise(run(s, d), "run")
+    return evaluate.linear_gain_metrics(found, judgements(s, d, found))
 
 
 @query(
@@ -611,3 +615,161 @@ def _(s, d):
 
     corpus = table(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("doc_id"), F.col("label").cast("string").alias("dataset_id"), "embedding")
     return search_online(topics(s, d), corpus, providers.Offline(), dimensions=64)
+
+
+# ---- readers, plans and the rest ------------------------------------------------------------------------------------
+
+
+def _topic_lines(s, d):
+    """Conversations as lines of topics, every seventh without a tab and some ids twice."""
+    t = table(s, d, "conversations").withColumn("seq", F.col("conv_id") * 1000 + F.col("turn"))
+    tab = F.when(F.col("seq") % 7 == 0, " ").otherwise("\t")
+    return t.select("seq", F.concat(F.col("conv_id").cast("string"), tab, F.regexp_replace("text", r"\s+", " ")).alias("line"))
+
+
+@query("parse_topics", r"""WITH t AS (SELECT conv_id * 1000 + turn AS seq, conv_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM conversations)
+SELECT conv_id::VARCHAR AS query_id, arg_max(text, seq) AS text FROM t WHERE seq % 7 <> 0 AND text <> '' GROUP BY 1""")
+def _(s, d):
+    return trec.parse_topics(_topic_lines(s, d))
+
+
+_LABEL = "CASE doc_id % 4 WHEN 0 THEN 'L' || quality WHEN 1 THEN quality::VARCHAR WHEN 2 THEN 'x' ELSE 'L2' END"
+
+
+def _qrels_lines(s, d):
+    label = F.expr("CASE doc_id % 4 WHEN 0 THEN concat('L', quality) WHEN 1 THEN cast(quality AS string) WHEN 2 THEN 'x' ELSE 'L2' END")
+    line = F.when(F.col("doc_id") % 3 == 0, F.concat_ws(" ", F.lit("q"), F.lit("0"), F.concat(F.lit("d"), F.col("doc_id")), label)).otherwise(F.concat_ws("\t", F.lit("q"), F.concat(F.lit("d"), F.col("doc_id")), label))
+    return table(s, d, "labels").select(F.monotonically_increasing_id().alias("seq"), line.alias("line"), "doc_id")
+
+
+@query("parse_qrels", f"""WITH l AS (SELECT doc_id, {_LABEL} AS label FROM labels)
+SELECT 'q' AS query_id, CASE WHEN doc_id % 3 = 0 AND label = 'x' THEN '0' ELSE 'd' || doc_id END AS dataset_id, CASE WHEN doc_id % 3 = 0 AND label = 'x' THEN 0 ELSE coalesce(try_cast(regexp_extract(label, '^L?([0-9]+)$', 1) AS INT), 0) END AS rel FROM l WHERE NOT (doc_id % 3 = 0 AND label = 'x')""")
+def _(s, d):
+    return trec.parse_qrels(_qrels_lines(s, d)).where("dataset_id <> '0'")
+
+
+@query("parse_selection_qrels", f"SELECT 'q' AS query_id, 'd' || doc_id AS dataset_id, label, CASE WHEN label LIKE 'L%' THEN substr(label, 2)::INT END AS level FROM (SELECT doc_id, {_LABEL} AS label FROM labels) WHERE doc_id % 3 <> 0")
+def _(s, d):
+    return trec.parse_selection_qrels(_qrels_lines(s, d).where("doc_id % 3 <> 0")).drop("seq")
+
+
+@query("parse_run", "SELECT l_orderkey::VARCHAR AS query_id, l_partkey::VARCHAR AS dataset_id, CASE WHEN l_linenumber = 3 THEN 999999 ELSE l_linenumber END::INT AS rank, CASE WHEN l_linenumber = 2 THEN 0 ELSE l_quantity END AS score FROM lineitem")
+def _(s, d):
+    l = table(s, d, "lineitem")  # noqa: E741
+    line = F.concat_ws(" ", F.col("l_orderkey"), F.lit("Q0"), F.col("l_partkey"), F.when(F.col("l_linenumber") == 3, "third").otherwise(F.col("l_linenumber").cast("string")), F.when(F.col("l_linenumber") == 2, "nan").otherwise(F.col("l_quantity").cast("string")), F.lit("x"))
+    return trec.parse_run(l.select(F.monotonically_increasing_id().alias("seq"), line.alias("line"))).drop("seq")
+
+
+@query("dropped_ids", f"WITH {_BM25} SELECT query_id, count(*) FILTER (lang <> 'en') AS n_dropped FROM run JOIN (SELECT doc_id::VARCHAR AS dataset_id, lang FROM documents) USING (dataset_id) GROUP BY 1")
+def _(s, d):
+    corpus = table(s, d, "documents").where("lang = 'en'").select(F.col("doc_id").cast("string").alias("dataset_id"))
+    return trec.dropped_ids(run(s, d), corpus)
+
+
+@query("infer_ids", r"SELECT p AS relative_path, split_part(p, '/', 1) AS domain, split_part(p, '/', 2) AS dataset_id, p AS dataset_name FROM (SELECT n_name || '/' || n_nationkey || '/data.csv' AS p FROM nation)")
+def _(s, d):
+    return catalog.infer_ids(table(s, d, "nation").select(F.concat_ws("/", "n_name", F.col("n_nationkey").cast("string"), F.lit("data.csv")).alias("relative_path")))
+
+
+@query("format_of_url", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'csv' WHEN 1 THEN 'json' WHEN 2 THEN 'excel' END AS extension FROM pages")
+def _(s, d):
+    tail = F.when(F.col("page_id") % 4 == 0, ".CSV?x=1.txt").when(F.col("page_id") % 4 == 1, ".json#a.b").when(F.col("page_id") % 4 == 2, ".xlsx").otherwise("")
+    bare = F.regexp_extract("url", r"^(https?://[^/?#]*)", 1)
+    return table(s, d, "pages").select("page_id", T.format_of_url(F.concat(bare, F.lit("/data/file"), tail)).alias("extension"))
+
+
+@query("build_subset", "SELECT p_partkey AS id, 'found' AS state FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 3 > 0 UNION ALL SELECT p_partkey, 'lacking' FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 3 = 0")
+def _(s, d):
+    p = table(s, d, "part").select(F.col("p_partkey").alias("id"))
+    found, lacking = catalog.build_subset(p.where("id % 2 = 0").select(F.col("id").alias("dataset_id")), p.where("id % 3 > 0").crossJoin(s.range(2).select(F.col("id").alias("seq"))))
+    return found.select("id", F.lit("found").alias("state")).union(lacking.select("id", F.lit("lacking")))
+
+
+@query("config_grid", "SELECT config, item_id::VARCHAR AS query_id, query_set FROM benchmark, (SELECT unnest(['baseline', 'queryopt', 'semantic', 'full']) AS config), (SELECT unnest(['original', 'complex']) AS query_set)")
+def _(s, d):
+    cache = topics(s, d).where("query_id % 2 = 0").withColumn("text", F.concat(F.lit("Find "), "text"))
+    return lifecycle.grid(lifecycle.configs(s, every=True), lifecycle.query_sets(topics(s, d), providers.Offline(), cache)).select("config", "query_id", "query_set")
+
+
+@query("complex_queries", f"WITH w AS (SELECT item_id, list_distinct([]) AS x, regexp_extract_all(text, '[A-Za-z0-9]+') AS w FROM benchmark WHERE item_id % 2 = 1), u AS (SELECT item_id, w, i FROM (SELECT item_id, unnest(w) AS w, unnest(range(len(w))) AS i FROM w)), f AS (SELECT item_id, w, min(i) AS i FROM u GROUP BY ALL), t AS (SELECT item_id, w, row_number() OVER (PARTITION BY item_id ORDER BY i) AS n, i FROM f) SELECT item_id::VARCHAR AS query_id, 'Find datasets about ' || string_agg(w, ' ' ORDER BY i) AS text FROM t WHERE n <= 12 GROUP BY 1 UNION ALL SELECT item_id::VARCHAR, 'Find ' || text FROM benchmark WHERE item_id % 2 = 0")
+def _(s, d):
+    cache = topics(s, d).where("query_id % 2 = 0").withColumn("text", F.concat(F.lit("Find "), "text"))
+    return lifecycle.complex_queries(topics(s, d), providers.Offline(), cache)
+
+
+@query("removed_counts", "WITH r AS (SELECT l_suppkey::VARCHAR AS q, l_partkey::VARCHAR AS d FROM lineitem WHERE l_partkey % 5 = 0) SELECT 'query' AS kind, q AS id, count(*) AS n FROM r GROUP BY 1, 2 UNION ALL SELECT 'dataset', d, count(*) FROM r GROUP BY 1, 2")
+def _(s, d):
+    l = table(s, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("query_id"), F.col("l_partkey").cast("string").alias("dataset_id"))  # noqa: E741
+    return evaluate.removed_counts(evaluate.exclude_qrels(l, l.where("dataset_id % 5 = 0"))[1])
+
+
+@query("check_hits", "WITH r AS (SELECT o_custkey, sum(CASE WHEN o_orderkey % 10 = 0 THEN 2 ELSE 1 END)::BIGINT AS reported FROM orders GROUP BY 1), c AS (SELECT o_custkey, count(*) AS counted FROM orders GROUP BY 1) SELECT o_custkey AS run_name, reported, counted, reported = counted AS agrees FROM r JOIN c USING (o_custkey)")
+def _(s, d):
+    o = table(s, d, "orders")
+    return catalog.check_hits(o.select(F.col("o_custkey").alias("run_name"), F.when(F.col("o_orderkey") % 10 == 0, 2).otherwise(1).alias("n_hits")), o.select(F.col("o_custkey").alias("run_name")))
+
+
+@query("join_by_name", "SELECT n_nationkey AS id, n_regionkey AS hit FROM nation")
+def _(s, d):
+    n = table(s, d, "nation")
+    entries = n.select(F.col("n_nationkey").alias("id"), F.concat(F.lit("https://x.org/a/"), F.regexp_replace("n_name", " ", "_"), F.lit(".csv?dl=1")).alias("url"))
+    found = n.select(F.col("n_regionkey").alias("hit"), F.concat(F.lit("C:\\data\\"), F.lower(F.regexp_replace("n_name", " ", "_")), F.lit(".text")).alias("path"))
+    return catalog.join_by_name(entries, found).select("id", "hit")
+
+
+@query(
+    "graded_metrics",
+    f"""WITH {_BM25}, {_QRELS}, mx AS (SELECT max(rel) AS most FROM qrels),
+j AS (SELECT run.query_id, rank AS i, coalesce(rel, 0) AS rel FROM run LEFT JOIN qrels USING (query_id, dataset_id)),
+k AS (SELECT *, (2 ** rel - 1) / 2 ** most AS stop, sum((rel > 0)::INT) OVER w AS hits, sum(rel) OVER w AS gain FROM j, mx WINDOW w AS (PARTITION BY query_id ORDER BY i)),
+e AS (SELECT *, coalesce(product(1 - stop) OVER (PARTITION BY query_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS go_on FROM k),
+idl AS (SELECT query_id, rel, row_number() OVER o AS i, sum(rel) OVER (PARTITION BY query_id ORDER BY rel DESC, dataset_id ROWS UNBOUNDED PRECEDING) AS ig FROM qrels WINDOW o AS (PARTITION BY query_id ORDER BY rel DESC, dataset_id)),
+tot AS (SELECT query_id, sum((rel > 0)::INT) AS relevant, max(ig) AS allg, {", ".join(f"sum(CASE WHEN i <= {n} THEN (2 ** rel - 1) / log2(i + 1) END) AS i{n}" for n in (3, 5, 10))} FROM idl GROUP BY 1),
+g AS (SELECT e.query_id, max(CASE WHEN e.rel > 0 THEN 1 / i END) AS rr, {", ".join(f"sum(CASE WHEN i <= {n} THEN (2 ** e.rel - 1) / log2(i + 1) END) AS d{n}" for n in (3, 5, 10))}, sum(CASE WHEN i <= 10 THEN (e.rel > 0)::INT END) AS top, sum((e.rel > 0)::INT) AS found,
+ sum(CASE WHEN i <= 10 THEN stop * go_on / i END) AS err, sum(CASE WHEN e.rel > 0 THEN (hits + gain) / (i + coalesce(ig, allg)) END) AS q FROM e LEFT JOIN (SELECT query_id, i, ig FROM idl) USING (query_id, i) JOIN tot USING (query_id) GROUP BY 1)
+SELECT query_id, round(coalesce(rr, 0), 6) AS rr, {", ".join(f"round(coalesce(d{n} / nullif(i{n}, 0), 0), 6) AS ndcg_{n}" for n in (3, 5, 10))}, round(coalesce(top, 0) / 10.0, 6) AS p_10, round(coalesce(found / nullif(relevant, 0), 0), 6) AS recall, round(coalesce(err, 0), 6) AS err, round(coalesce(q / nullif(relevant, 0), 0), 6) AS q FROM tot LEFT JOIN g USING (query_id)""",
+)
+def _(s, d):
+    found = materialise(run(s, d), "run")
+    got = evaluate.graded_metrics(found, judgements(s, d, found))
+    return got.select("query_id", *(F.round(c, 6).alias(c) for c in got.columns[1:]))
+
+
+@query("replay_views", "SELECT c.c_custkey::VARCHAR AS query, k::INT AS k, least(k, coalesce(n, 0))::INT AS n FROM customer c LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON o.o_custkey = c.c_custkey, (SELECT unnest([1, 3, 5, 10]) AS k)")
+def _(s, d):
+    o = table(s, d, "orders").select(F.col("o_custkey").cast("string").alias("query"), F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")).alias("rank"), F.lit("db").alias("database_id"), F.col("o_orderkey").cast("string").alias("table_id"))
+    return lifecycle.replay_views(table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("query")), o).select("query", "k", F.size("tables").alias("n"))
+
+
+@query("cls_pool", "SELECT vec_id::VARCHAR AS dataset_id, i::INT AS i, round(x / n, 6) AS x FROM (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding::DOUBLE[]) AS x, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y))) AS n FROM embeddings WHERE vec_id < 100)")
+def _(s, d):
+    e = table(s, d, "embeddings").where("vec_id < 200").select((F.col("vec_id") % 100).cast("string").alias("dataset_id"), F.floor(F.col("vec_id") / 100).alias("pos"), "embedding")
+    return search.cls_pool(e).select("dataset_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.round("x", 6))
+
+
+@query("selection_record", "SELECT 'greedy' AS method, 5::INT AS target, 3::BIGINT AS achieved, ['0', '1', '2'] AS query_ids")
+def _(s, d):
+    t = table(s, d, "region").where("r_regionkey < 3").select((F.col("r_regionkey") + 1).cast("int").alias("step"), F.col("r_regionkey").cast("string").alias("query_id"), (F.col("r_regionkey") + 1).cast("long").alias("cumulative_judged"))
+    return records.selection_record(t, "greedy", 5)
+
+
+@query("page_of_ids", "SELECT doc_id::VARCHAR AS doc_id FROM documents WHERE doc_id::VARCHAR > '5' ORDER BY 1 LIMIT 20")
+def _(s, d):
+    return records.page_of_ids(table(s, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id")), "5", 20)
+
+
+@query("normalise_queries", "SELECT conv_id, turn, unnest(['a ' || turn, 'b']) AS q FROM conversations WHERE turn % 2 = 0 UNION ALL SELECT conv_id, turn, 'c ' || turn FROM conversations WHERE turn % 2 = 1")
+def _(s, d):
+    c = table(s, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.concat(F.lit('```json\n{"queries": [{"query": " a '), F.col("turn"), F.lit('"}, {"query": "b"}, {"query": " "}]}\n```'))).otherwise(F.concat(F.lit('{"queries": ["c '), F.col("turn"), F.lit('"]}'))).alias("answer"))
+    return c.select("conv_id", "turn", F.explode(lifecycle.normalise_queries()).alias("q"))
+
+
+@query("split_numbered", "SELECT n_nationkey, unnest([n_name || ' ', 'x ', '5 y']) AS part FROM nation")
+def _(s, d):
+    return table(s, d, "nation").select("n_nationkey", F.explode(T.split_numbered(F.concat(F.lit("1. "), "n_name", F.lit(" 2. x 3.5 y")))).alias("part"))
+
+
+@query("parse_ranking", "SELECT n_nationkey::VARCHAR AS query_id, p::INT AS pos, CASE p WHEN 0 THEN n_name ELSE 'second' END AS dataset_id, CASE p WHEN 0 THEN 0.5 END AS score FROM nation, (SELECT unnest([0, 1]) AS p)")
+def _(s, d):
+    a = table(s, d, "nation").select(F.col("n_nationkey").cast("string").alias("query_id"), F.concat(F.lit('```json\n{"ranking": [{"dataset_id": "'), "n_name", F.lit('", "score": "0.5"}, " second ", {"score": 1}]}\n```')).alias("answer"))
+    return answers.rankings(a).drop("reason")

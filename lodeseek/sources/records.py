@@ -45,6 +45,22 @@ def write_metrics(metrics: DataFrame, path: str, digits: int = 6) -> None:
     metrics.select(*rounded).coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+def write_json(rows: DataFrame, path: str) -> None:
+    """K6, K7: a record a line, in one file; letters beyond ASCII stay as they are."""
+    rows.coalesce(1).write.mode("overwrite").json(path)
+
+
+def selection_record(trace: DataFrame, method: str, target: int) -> DataFrame:
+    """One record: the method, the target, the size reached and the query ids in order of selection."""
+    ids = F.transform(F.sort_array(F.collect_list(F.struct("step", "query_id"))), lambda x: x["query_id"])
+    return trace.agg(F.lit(method).alias("method"), F.lit(target).alias("target"), F.coalesce(F.max("cumulative_judged"), F.lit(0)).alias("achieved"), ids.alias("query_ids"))
+
+
+def count_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that aren't blank."""
+    return spark.read.text(path).agg(F.count_if(strip(F.col("value")) != "").alias("n"))
+
+
 def load_ids(spark: SparkSession, path: str) -> DataFrame:
     """One id a line, trimmed, without blanks, once each."""
     return spark.read.text(path).select(strip(F.col("value")).alias("dataset_id")).where("dataset_id <> ''").distinct()
@@ -88,6 +104,16 @@ def open_collection(spark: SparkSession, path: str, variant: str, allow_empty: b
     return index.where(F.col("variant") == variant)
 
 
+def page_of_ids(collection: DataFrame, after: str = "", size: int = 1000, key: str = "doc_id") -> DataFrame:
+    """The next ids behind ``after``, in order; a page is found by its key, not by an offset."""
+    return collection.select(key).where(F.col(key) > after).distinct().orderBy(key).limit(size)
+
+
+def empty_retrievals_of(spark: SparkSession, path: str, schema: str, column: str = "tables") -> int:
+    """``empty_retrievals`` of a file of records; -1 where it is missing."""
+    return empty_retrievals(spark.read.schema(schema).json(path), column).first()[0] if exists(spark, path) else -1
+
+
 def empty_retrievals(results: DataFrame, column: str = "tables") -> DataFrame:
     """Rows whose list is empty or null."""
     return results.agg(F.count_if(F.coalesce(F.size(column), F.lit(0)) <= 0).alias("n_empty"))

@@ -12,12 +12,16 @@ import html.parser
 import io
 import json
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeseek.functions.text import make_unique
+from lodeseek.operators import profile
+
 ENCODINGS = ("utf-8", "utf-8-sig", "latin-1", "cp1252", "utf-16")
 SEPARATORS = (None, ",", ";", "\t", "|")
 ZIP_ORDER = ("csv", "tsv", "txt", "xlsx", "xls", "json")
@@ -64,13 +68,16 @@ def csv_frame(data: bytes) -> pd.DataFrame:
                 continue
             if rows and any(c.strip() for c in rows[0]):
                 width = len(rows[0])
-                return pd.DataFrame([r + [""] * (width - len(r)) for r in rows[1:] if len(r) <= width], columns=rows[0], dtype=str)
+                return pd.DataFrame([r + [""] * (width - len(r)) for r in rows[1:] if len(r) <= width], columns=make_unique(rows[0]), dtype=str)
     raise Unreadable("csv_unparsable")
 
 
 def json_frame(data: bytes) -> pd.DataFrame:
     """One document, else a document a line."""
-    text = data.decode("utf-8-sig")
+    try:
+        text = data.decode("utf-8-sig")
+    except UnicodeError:
+        raise Unreadable("json_undecodable") from None
     try:
         found = json.loads(text)
     except ValueError:
@@ -123,7 +130,7 @@ def html_frame(data: bytes) -> pd.DataFrame:
     if not rows:
         raise Unreadable("html_non_tabular")
     width = len(rows[0])
-    return pd.DataFrame([(r + [""] * width)[:width] for r in rows[1:]], columns=rows[0], dtype=str)
+    return pd.DataFrame([(r + [""] * width)[:width] for r in rows[1:]], columns=make_unique(rows[0]), dtype=str)
 
 
 def excel_frame(data: bytes, extension: str) -> pd.DataFrame:
@@ -159,7 +166,10 @@ def frame(path: str, data: bytes) -> pd.DataFrame:
     if not data[:65536].strip():
         raise Unreadable("empty_file")
     if ext == "gz":
-        inner = gzip.decompress(data)
+        try:
+            inner = gzip.decompress(data)
+        except (OSError, EOFError, zlib.error):
+            raise Unreadable("gz_corrupt") from None
         for read in (csv_frame, json_frame):
             try:
                 return read(inner)
@@ -189,8 +199,11 @@ def frame(path: str, data: bytes) -> pd.DataFrame:
         from pyarrow import feather, orc, parquet
 
         source = pa.BufferReader(data)
-        return (parquet.read_table(source) if ext == "parquet" else feather.read_table(source) if ext == "feather" else orc.read_table(source)).to_pandas()
-    for read in (zip_frame, html_frame, csv_frame, json_frame):
+        try:
+            return (parquet.read_table(source) if ext == "parquet" else feather.read_table(source) if ext == "feather" else orc.read_table(source)).to_pandas()
+        except (pa.ArrowException, OSError):
+            raise Unreadable(f"{ext}_unparsable") from None
+    for read in (zip_frame, lambda x: excel_frame(x, "xlsx"), html_frame, csv_frame, json_frame):
         try:
             return read(data)
         except (Unreadable, UnicodeError):
@@ -200,7 +213,7 @@ def frame(path: str, data: bytes) -> pd.DataFrame:
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, row_no, cells, reason): every cell of every table file as text, nested values as JSON; one row with a reason for a
-    file without a table."""
+    file without a table, and for one that breaks its reader in any way."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -210,8 +223,9 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
                     cell = lambda v: None if v is None or v is pd.NA or (isinstance(v, float) and v != v) else json.dumps(v, ensure_ascii=False) if isinstance(v, (dict, list)) else str(v)
                     rows = [{str(k): cell(v) for k, v in r.items()} for r in t.to_dict("records")]
                     yield pd.DataFrame({"path": path, "row_no": range(len(rows)), "cells": rows, "reason": None})
-                except Unreadable as why:
-                    yield pd.DataFrame({"path": [path], "row_no": [None], "cells": [None], "reason": [str(why)]})
+                except Exception as why:  # noqa: BLE001  one bad file is a row with its reason, never the end of the read
+                    reason = str(why) if isinstance(why, Unreadable) else f"unreadable_{type(why).__name__}"
+                    yield pd.DataFrame({"path": [path], "row_no": [None], "cells": [None], "reason": [reason]})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
     return files.mapInPandas(parse, ROWS)
@@ -222,6 +236,14 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", encoding: str
     return spark.read.csv(path, sep=sep, header=True, inferSchema=False, encoding=encoding, mode="DROPMALFORMED")
 
 
+def two_passes(spark: SparkSession, path: str, n: int, seed: int = 42, sep: str = ",") -> tuple[DataFrame, DataFrame]:
+    """Of a big delimited file the statistics of every row, and a sample of at most n rows, each from a scan of its own
+    that Spark splits; neither holds the file."""
+    rows = read_delimited(spark, path, sep)
+    h = F.xxhash64(F.struct(*(F.col(f"`{c}`") for c in rows.columns)), F.lit(seed))
+    return profile.global_stats(rows), rows.withColumn("__h", h).orderBy("__h", *(F.col(f"`{c}`") for c in rows.columns)).limit(n).drop("__h")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
     """A record a line; a bad line is an error, or else dropped."""
     return spark.read.schema(schema).json(path, mode="FAILFAST" if strict else "DROPMALFORMED")

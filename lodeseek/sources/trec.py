@@ -65,6 +65,12 @@ def run_lines(ranked: DataFrame, run_id: str, corpus: DataFrame | None = None, c
     return rows.select("query_id", "rank", F.format_string("%s Q0 %s %d %.6f %s", "query_id", "dataset_id", "rank", "score", F.lit(run_id)).alias("line"))
 
 
+def dropped_ids(ranked: DataFrame, corpus: DataFrame) -> DataFrame:
+    """K2: per query how many ranked ids the corpus lacks; queries without any have 0."""
+    lacks = ranked.join(corpus.select("dataset_id").distinct().withColumn("__in", F.lit(True)), "dataset_id", "left")
+    return lacks.groupBy("query_id").agg(F.count_if(F.col("__in").isNull()).alias("n_dropped"))
+
+
 def write_run(lines_: DataFrame, path: str) -> None:
     """One text file in order of query and rank; a run is small."""
     lines_.orderBy("query_id", "rank").select("line").coalesce(1).write.mode("overwrite").text(path)
