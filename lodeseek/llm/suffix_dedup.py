@@ -1,24 +1,23 @@
 """Operator 9, suffix dedup: every passage of at least ``length`` words that occurs more than once in the corpus.
 
-No suffix is ordered: windows of ``length`` words are grouped by hash, after a prefilter by a difference cover. A bucket is
-a Spark partition by hash of the key, sorted by key on its own with spilling, so memory holds one batch of a bucket.
+Suffixes are words' suffixes, cut after ``length`` words. A difference cover D modulo v makes any two positions i, j meet:
+some d < v has i + d and j + d in the sample {p : p mod v in D}. So if two suffixes share ``length`` words, the sample
+suffixes at i + d and j + d share the first m = length - v + 1 words and what follows, and have the same d words before.
 
-A difference cover D modulo v makes any two positions i, j meet: some d < v has i + d and j + d in the sample
-{p : p mod v in D}. So if two suffixes share ``length`` words, a pair of sample suffixes at most v - 1 words further
-shares length - v + 1. First the sample suffixes are grouped by the hash of their first length - v + 1 words (``tied``). Only
-windows that reach a tied sample suffix within v words can be repeated, so only they are grouped by the hash of ``length``
-words; all others are never shuffled. Equal windows are occurrences of one repeated passage; consecutive ones of a document
-join to a maximal span.
-
-The tied positions are held by every worker while there are at most MAX_BROADCAST_RANKS of them; beyond that, a document
-gets its tied positions by a shuffle join. Both give the same rows.
+Blockwise construction: sample suffixes are bucketed by their first m words, and only tied ones, in a bucket of two or more,
+go on (``tied``). A bucket is sorted at a time: its suffixes get ranks by the words that follow (one rank for each depth up
+to v - 1, equal for those that share so many) and, in the same way, by the words before (``ranks``). Any other suffix i is
+never sorted itself: for each tied sample suffix at i + d its tie with others is resolved by two ranks, that of d words
+before and that of v - 1 - d words after (``resolve``). A worker holds one bucket at a time. A bucket of more than ``hot``
+suffixes is not held at all: its windows of ``length`` words are grouped by hash, a batch at a time, with the same result.
 
 Result: (doc_id, start_word, end_word, n_words, is_first). Words count from 0, end is exclusive. A span with is_first
 holds the passages' first occurrences by (doc_id, position), which dedup keeps; the others are to be cut.
 
 Defined results: null and short texts and rows with a null doc_id have no span; rows that share a doc_id are one document,
 so equal words at equal positions there are one occurrence; overlapping repeats within a document count as repeats;
-columns besides doc_id and text are never read. Words are compared by 64 bits of the hash of the run.
+columns besides doc_id and text are never read. The first m words are compared by 64 bits of a hash of the run, each of the
+others by 32 bits of its own.
 """
 
 from __future__ import annotations
@@ -35,7 +34,7 @@ from lodeseek.session import materialise
 LENGTH = 50
 #: Perfect difference sets: every residue modulo v is a difference of two members.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (0, 1, 3, 8, 12, 18)}
-MAX_BROADCAST_RANKS = 8_000_000
+HOT = 200_000  # suffixes of a bucket that a worker holds
 SCHEMA = "doc_id long, start_word long, end_word long, n_words long, is_first boolean"
 
 
@@ -106,75 +105,135 @@ def _repeated(batches):
             yield key[keep], doc[keep], pos[keep], first[many]
 
 
-def spans(docs: DataFrame, length: int = LENGTH, max_broadcast_ranks: int = MAX_BROADCAST_RANKS) -> DataFrame:
+def ranks(bucket: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
+    """A rank for each depth 0, 1, ...: suffixes have one rank if they are of one bucket and share so many words."""
+    out = [bucket]
+    for column in words.T:
+        _, rank = np.unique(out[-1].astype(np.uint64) << np.uint64(32) | column, return_inverse=True)
+        out.append(rank)
+    return out
+
+
+def resolve(key, doc, pos, left, right, words) -> tuple[np.ndarray, np.ndarray]:
+    """(repeated, late) of tied sample suffixes in order of (key, doc, pos): bit d is about the window that begins d words before;
+    late ones aren't the first of their passage. left, right: how many words there are on either side."""
+    reach = words.shape[1] // 2
+    bucket = np.cumsum(np.r_[True, key[1:] != key[:-1]])
+    before, after = ranks(bucket, words[:, :reach]), ranks(bucket, words[:, reach:])
+    repeated, late = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+    for d in range(reach + 1):
+        rows = np.flatnonzero((left >= d) & (right >= reach - d))
+        pair = before[d][rows].astype(np.int64) * (len(key) + 1) + after[reach - d][rows]
+        rows = rows[np.argsort(pair, kind="stable")]
+        pair = np.sort(pair)
+        _, keep, first = _occurrences(pair, doc[rows], pos[rows])
+        repeated[rows[keep]] |= 1 << d
+        late[rows[keep[~first]]] |= 1 << d
+    return repeated, late
+
+
+def _occurrences(key: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted rows: the distinct ones, those with a key of at least two of them, and which of the latter come first."""
+    if not len(key):
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, bool),)
+    new_key = np.r_[True, key[1:] != key[:-1]]
+    distinct = np.flatnonzero(new_key | np.r_[True, (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])])
+    begin = np.flatnonzero(new_key[distinct])
+    size = np.diff(np.r_[begin, len(distinct)])
+    many = np.repeat(size > 1, size)
+    return distinct, distinct[many], new_key[distinct[many]]
+
+
+def spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """Maximal repeated spans, as the module says."""
     docs = C.known(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    v, d = cover(length)
-    member = np.zeros(v, bool)
-    member[[x % v for x in d]] = True
+    v, _ = cover(length)
+    head, reach = length - v + 1, v - 1
     sample = materialise(tied(docs, length), "suffix-ties")
-    ranks = sample.select("key").distinct()
-    at_hand = sample.count() <= 40 * max_broadcast_ranks and ranks.limit(max_broadcast_ranks + 1).count() <= max_broadcast_ranks
-    if at_hand:
-        known = np.sort(ranks.toArrow().column("key").to_numpy().view(np.uint64))
-        source = docs
-    else:
-        known = np.zeros(0, np.uint64)
-        per_doc = sample.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("anchors"))
-        source = docs.join(per_doc, "doc_id").select("doc_id", "text", "anchors")
-
-    def reaching(words: C.Words, batch) -> np.ndarray:
-        """Whether each word position has a tied sample suffix at most v - 1 words further."""
-        marks = np.zeros(len(words.hashes) + 1, np.int32)
-        if at_hand:
-            key, row, pos = _windows(words, length - v + 1)
-            s = np.flatnonzero(member[pos % v])
-            k = key[s]
-            hit = s[known[np.minimum(np.searchsorted(known, k), len(known) - 1)] == k] if len(known) else s[:0]
-            anchor = words.first[row[hit]] + pos[hit]
-            start = words.first[row[hit]]
-        else:
-            lists = batch.column(2)
-            own = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
-            pos = lists.flatten().to_numpy(zero_copy_only=False)
-            inside = pos < np.diff(words.first)[own]
-            start = words.first[own[inside]]
-            anchor = start + pos[inside]
-        np.add.at(marks, np.maximum(anchor - v + 1, start), 1)
-        np.add.at(marks, anchor + 1, -1)
-        return np.cumsum(marks[:-1]) > 0
-
-    def emit(batches):
+    large = np.sort(np.array([r[0] for r in sample.groupBy("key").count().where(F.col("count") > hot).collect()], np.int64))
+    anchors = sample.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("anchors"))
+    source = docs.join(anchors, "doc_id").select("doc_id", "text", "anchors")
+
+    def placed(batch, texts):
+        """The words of a slice, and key, row and position of its tied sample suffixes."""
+        words = C.Words(texts)
+        lists = batch.column(2)
+        row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        pos = lists.flatten().to_numpy(zero_copy_only=False)
+        count = np.diff(words.first)
+        inside = pos + head <= count[row]
+        row, pos = row[inside], pos[inside]
+        have = np.maximum(count - head + 1, 0)
+        key = _windows(words, head)[0][(np.cumsum(have) - have)[row] + pos].view(np.int64)
+        return words, count, key, row, pos
+
+    def contexts(batches):
+        near = np.r_[-1 - np.arange(reach), head + np.arange(reach)]
         for batch, texts in C.sliced(batches):
-            words = C.Words(texts)
-            live = reaching(words, batch)
-            if not live.any():
-                continue
-            key, row, pos = _windows(words, length)
-            s = live[words.first[row] + pos]
-            yield C.table(key=key[s].view(np.int64), doc_id=C.ids(batch)[row[s]], pos=pos[s].astype(np.int32))
-
-    def repeats(batches):
+            words, count, key, row, pos = placed(batch, texts)
+            cold = np.flatnonzero(~np.isin(key, large))
+            code = np.concatenate([np.zeros(reach, np.uint32), (words.hashes >> C.U(32)).astype(np.uint32), np.zeros(length, np.uint32)])
+            for k in range(0, len(cold), 8192):
+                some = cold[k : k + 8192]
+                r, p = row[some], pos[some]
+                left, right = np.minimum(p, reach), np.minimum(count[r] - p - head, reach)
+                around = code[(words.first[r] + p + reach)[:, None] + near]
+                around[np.r_[np.arange(reach), np.arange(reach)] >= np.where(np.arange(2 * reach) < reach, left[:, None], right[:, None])] = 0
+                yield C.table(key=key[some], doc_id=C.ids(batch)[r], pos=p.astype(np.int32), sides=(left << 8 | right).astype(np.int32), words=C.pack(around, np.arange(len(some) + 1) * 2 * reach, 4))
+
+    def sort(batches):
+        for key, doc, pos, sides, words in _grouped(batches, "key", "doc_id", "pos", "sides", "words"):
+            words = np.frombuffer(b"".join(words.tolist()), np.uint32).reshape(len(key), 2 * reach)
+            repeated, late = resolve(key, doc, pos, sides >> 8, sides & 255, words)
+            some = repeated > 0
+            yield C.table(doc_id=doc[some], pos=pos[some], repeated=repeated[some], late=late[some])
+
+    kind = "doc_id long, pos int, repeated long, late long"
+    buckets = C.each(source, contexts, "key long, doc_id long, pos int, sides int, words binary")
+    found = buckets.repartition("key").sortWithinPartitions("key", "doc_id", "pos").mapInArrow(sort, kind)
+
+    def windows(batches):
+        for batch, texts in C.sliced(batches):
+            words, count, key, row, pos = placed(batch, texts)
+            own = np.isin(key, large)
+            row, pos = row[own], pos[own]
+            every = np.repeat(row, reach + 1), np.repeat(pos, reach + 1) - np.tile(np.arange(reach + 1), len(pos))
+            ok = (every[1] >= 0) & (every[1] + length <= count[every[0]])
+            row, pos = every[0][ok], every[1][ok]
+            have = np.maximum(count - length + 1, 0)
+            name = _windows(words, length)[0][(np.cumsum(have) - have)[row] + pos]
+            yield C.table(key=name.view(np.int64), doc_id=C.ids(batch)[row], pos=pos.astype(np.int32))
+
+    def streamed(batches):
         for _, doc, pos, first in _repeated(batches):
-            yield C.table(doc_id=doc, place=pos.astype(np.int32) * 2 + ~first)
+            yield C.table(doc_id=doc, pos=pos, repeated=np.ones(len(doc), np.int64), late=(~first).astype(np.int64))
 
-    suffixes = C.each(source, emit, "key long, doc_id long, pos int")
-    found = suffixes.repartition("key").sortWithinPartitions("key", "doc_id", "pos").mapInArrow(repeats, "doc_id long, place int")
+    if len(large):
+        rows = C.each(source, windows, "key long, doc_id long, pos int")
+        found = found.union(rows.repartition("key").sortWithinPartitions("key", "doc_id", "pos").mapInArrow(streamed, kind))
 
     def join(batches):
-        for doc, place in _grouped(batches, "doc_id", "place"):
+        for doc, pos, repeated, late in _grouped(batches, "doc_id", "pos", "repeated", "late"):
+            parts = []
+            for d in range(reach + 1):
+                some = np.flatnonzero(repeated >> d & 1)
+                parts.append((doc[some], pos[some].astype(np.int64) - d, late[some] >> d & 1))
+            doc, start, late = (np.concatenate(x) for x in zip(*parts))
+            by = np.lexsort((start, doc))
+            doc, start, late = doc[by], start[by], late[by]
+            new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])])
+            doc, start, late = doc[new], start[new], np.maximum.reduceat(late, new)
             for first in (True, False):
-                own = (place & 1) == (not first)
-                d_, p = doc[own], place[own] >> 1
+                own = (late == 0) == first
+                d_, p = doc[own], start[own]
                 if not len(p):
                     continue
-                new = np.r_[True, (d_[1:] != d_[:-1]) | (p[1:] > p[:-1] + 1)]
-                a = np.flatnonzero(new)
+                a = np.flatnonzero(np.r_[True, (d_[1:] != d_[:-1]) | (p[1:] > p[:-1] + 1)])
                 b = np.r_[a[1:], len(p)] - 1
-                start, end = p[a].astype(np.int64), p[b].astype(np.int64) + length
-                yield C.table(doc_id=d_[a], start_word=start, end_word=end, n_words=end - start, is_first=np.full(len(a), first))
+                begin, end = p[a], p[b] + length
+                yield C.table(doc_id=d_[a], start_word=begin, end_word=end, n_words=end - begin, is_first=np.full(len(a), first))
 
-    return found.repartition("doc_id").sortWithinPartitions("doc_id", "place").mapInArrow(join, SCHEMA)
+    return found.repartition("doc_id").sortWithinPartitions("doc_id", "pos").mapInArrow(join, SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

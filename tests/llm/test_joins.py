@@ -271,7 +271,7 @@ def repeated(rows, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "limits"), [(50, {}), (50, {"max_broadcast_ranks": 2}), (12, {}), (2, {})])
+@pytest.mark.parametrize(("length", "limits"), [(50, {}), (50, {"hot": 3}), (50, {"hot": 0}), (12, {}), (12, {"hot": 5}), (2, {})])
 def test_suffix_spans_brute_force(make, length, limits):
     rows = corpus(6, 100) + [(300, "again and " * 40)]
     got = {(r.doc_id, r.start_word, r.end_word, r.is_first) for r in suffix_dedup.spans(make(rows), length, **limits).collect()}
