@@ -19,6 +19,7 @@ import base64
 import os
 import zlib
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -42,14 +43,13 @@ SEGMENT = 1 << 20  # characters of a long text that are worked on at once
 
 
 class Counter:
-    """Prefix tables for one vocabulary (a file of base64 tokens and ranks)."""
+    """Prefix tables for one vocabulary (the content of a file of base64 tokens and ranks)."""
 
-    def __init__(self, path: str):
+    def __init__(self, content: bytes):
         import regex
         import tiktoken
 
-        with open(path, "rb") as file:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
+        self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line.strip())}
         self.encoding = tiktoken.Encoding("prefixes", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
         self.encode_piece = self.encoding._core_bpe.encode_single_piece
         self.split = regex.compile(PATTERN).findall
@@ -284,9 +284,15 @@ class Counter:
 _counters: dict[str, Counter] = {}
 
 
-def counter(path: str = VOCABULARY) -> Counter:
+def vocabulary_of(path: str) -> bytes:
+    with open(path, "rb") as file:
+        return file.read()
+
+
+def counter(path: str = VOCABULARY, content: Callable[[], bytes] | None = None) -> Counter:
+    """The counter of this process for a vocabulary; ``content`` gives it where the file isn't at hand."""
     if path not in _counters:
-        _counters[path] = Counter(path)
+        _counters[path] = Counter(content() if content else vocabulary_of(path))
     return _counters[path]
 
 
@@ -319,10 +325,12 @@ def cut(have: np.ndarray, budget: int) -> int:
 
 
 def count(docs: DataFrame, vocabulary: str = VOCABULARY, budgets: tuple[int, ...] = BUDGETS) -> DataFrame:
-    """(doc_id, n_chars, n_tokens, cut_<budget>..., prefix_counts) for each row of docs."""
+    """(doc_id, n_chars, n_tokens, cut_<budget>..., prefix_counts) for each row of docs. The driver reads the vocabulary, about
+    a megabyte, and broadcasts it, so workers need no such file."""
+    shipped = docs.sparkSession.sparkContext.broadcast(vocabulary_of(vocabulary))
 
     def work(batches):
-        own = counter(vocabulary)
+        own = counter(vocabulary, lambda: shipped.value)
         for batch, texts in C.sliced(batches):
             rows = []
             texts = texts.to_pylist()
