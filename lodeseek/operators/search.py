@@ -15,9 +15,14 @@ from lodeseek.session import materialise
 K1, B = 1.5, 0.75
 
 
-def small(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """Broadcast ``df`` if it has at most ``most`` rows; else Spark chooses."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, most: int = 100_000, most_bytes: int = 64 << 20) -> DataFrame:
+    """Broadcast ``df`` if it has at most ``most`` rows of at most ``most_bytes`` together; else Spark chooses."""
+    width = F.lit(0)
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        width += F.coalesce(F.octet_length(c) if kind in ("string", "binary") else 8 * F.greatest(F.size(c), F.lit(0)) if kind.startswith(("array", "map")) else F.lit(8), F.lit(8))
+    rows, size = df.limit(most + 1).select(width.alias("w")).agg(F.count("*"), F.sum("w")).first()
+    return F.broadcast(df) if rows <= most and (size or 0) <= most_bytes else df
 
 
 def top(scored: DataFrame, k: int, *order: Column) -> DataFrame:
