@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+DEFAULT_BATCH = "67108864b"
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -35,6 +36,9 @@ def prepare(spark: SparkSession) -> SparkSession:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
     env.setdefault("MALLOC_MMAP_THRESHOLD_", str(32 << 20))  # fixed, so that freed memory above the next limit goes back
     env.setdefault("MALLOC_TRIM_THRESHOLD_", str(64 << 20))
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")  # so that it goes back too
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", DEFAULT_BATCH) == DEFAULT_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return spark
@@ -54,8 +58,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage of ``df``: write it as Parquet to the shared folder and read it again.
+def materialise(df: DataFrame, name: str, **options) -> DataFrame:
+    """Cut the lineage of ``df``: write it as Parquet, with options, to the shared folder and read it again.
 
     Shuffle files of the write are deleted as it ends, as nothing reads them again.
     """
@@ -64,7 +68,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(CLEAN_UP, None)
     spark.conf.set(CLEAN_UP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         spark.conf.set(CLEAN_UP, before) if before is not None else spark.conf.unset(CLEAN_UP)
     found = spark.read.schema(df.schema).parquet(path)
