@@ -7,7 +7,7 @@ similarity of a matching item and window has a lower bound; the number of MinHas
 and the wanted recall (bands of one row). Minima of blocks of m/2 n-grams are computed once for the smallest class and
 combined for the larger. Candidates are verified by counting the item's n-grams in the whole document, exactly.
 
-The items' index is held by every worker while it has at most MAX_BROADCAST_ITEMS items; beyond that, window minima
+The items' index is held by every worker while it has at most MAX_BROADCAST_ITEMS items of MAX_BROADCAST_BYTES; beyond that, window minima
 and item minima meet in a shuffle join, and verification joins texts to candidates. Both give the same rows.
 
 Defined results: null or empty texts and items, and rows with null ids, match nothing; an item of fewer than n words
@@ -30,6 +30,7 @@ N = 3
 THRESHOLD = 0.6
 RECALL = 0.998
 MAX_BROADCAST_ITEMS = 100_000
+MAX_BROADCAST_BYTES = 32 << 20
 SCHEMA = "doc_id long, item_id long, n_shared long, n_grams long, containment double"
 
 
@@ -138,9 +139,10 @@ def _plain(df: DataFrame, name: str) -> DataFrame:
     return C.known(df, name, "text").select(F.col(name).cast("long").alias(name), "text")
 
 
-def _small(items: DataFrame, most: int):
-    rows = items.limit(most + 1).collect()
-    return rows if len(rows) <= most else None
+def _small(items: DataFrame, most: int, most_bytes: int = MAX_BROADCAST_BYTES):
+    """The rows of items if there are at most ``most`` of at most ``most_bytes`` together."""
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    return items.collect() if n <= most and size <= most_bytes else None
 
 
 def find(docs: DataFrame, items: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, max_broadcast_items: int = MAX_BROADCAST_ITEMS) -> DataFrame:
