@@ -39,8 +39,11 @@ SCHEMA = "doc_id long, start_word long, end_word long, n_words long, is_first bo
 
 
 def cover(length: int) -> tuple[int, tuple[int, ...]]:
-    """The sparsest cover that leaves at least a third of ``length`` to the sample's keys; all positions for short ones."""
-    fit = [v for v in COVERS if length - v + 1 >= max(2, length // 3)]
+    """The sparsest cover that leaves at least two thirds of ``length`` to the sample's first words; all positions for short ones.
+
+    A sparser one has fewer suffixes, but each takes more words around it along.
+    """
+    fit = [v for v in COVERS if length - v + 1 >= max(2, 2 * length // 3)]
     return (max(fit), COVERS[max(fit)]) if fit else (1, (0,))
 
 
