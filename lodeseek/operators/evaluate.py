@@ -197,13 +197,11 @@ def level(label: Column) -> Column:
 
 def judgement_metrics(topics: DataFrame, qrels: DataFrame, tabular: DataFrame, min_level: int = 1) -> DataFrame:
     """Distinct judged, tabular and relevant datasets of each topic, with ratios (0 for none)."""
-    flagged = qrels.join(tabular.select("dataset_id").distinct().withColumn("__tab", F.lit(True)), "dataset_id", "left")
+    pairs = qrels.where("dataset_id IS NOT NULL").groupBy("query_id", "dataset_id").agg(F.max("level").alias("level"))  # so that plain counts are distinct ones
+    flagged = pairs.join(tabular.select("dataset_id").distinct().withColumn("__tab", F.lit(True)), "dataset_id", "left")
     relevant, tab = F.col("level") >= min_level, F.col("__tab").isNotNull()
     got = flagged.groupBy("query_id").agg(
-        F.count_distinct("dataset_id").alias("judged_total"),
-        F.count_distinct(F.when(tab, F.col("dataset_id"))).alias("judged_tabular"),
-        F.count_distinct(F.when(relevant, F.col("dataset_id"))).alias("rel_l1plus_total"),
-        F.count_distinct(F.when(relevant & tab, F.col("dataset_id"))).alias("rel_l1plus_tabular"),
+        F.count("*").alias("judged_total"), F.count_if(tab).alias("judged_tabular"), F.count_if(relevant).alias("rel_l1plus_total"), F.count_if(relevant & tab).alias("rel_l1plus_tabular")
     )
     counts = ("judged_total", "judged_tabular", "rel_l1plus_total", "rel_l1plus_tabular")
     out = topics.join(got, "query_id", "left").select(*topics.columns, *(F.coalesce(c, F.lit(0)).alias(c) for c in counts))
@@ -222,9 +220,9 @@ def selection_trace(ordered: DataFrame, judged: DataFrame, target: int) -> DataF
     step whose union reaches the target. A dataset is new at the first step that has it."""
     at = judged.join(ordered.select("query_id", "step"), "query_id")
     first = at.groupBy("dataset_id").agg(F.min("step").alias("j"), F.min(F.when(F.col("relevant"), F.col("step"))).alias("r"))
-    new = first.groupBy(F.col("j").alias("step")).agg(F.count("*").alias("marginal_judged"))
-    rel = first.where("r IS NOT NULL").groupBy(F.col("r").alias("step")).agg(F.count("*").alias("marginal_rel"))
-    steps = ordered.select("step", "query_id").join(new, "step", "left").join(rel, "step", "left").na.fill(0, ["marginal_judged", "marginal_rel"])
+    events = first.select(F.explode(F.array(F.struct(F.col("j").alias("step"), F.lit(True).alias("new")), F.struct(F.col("r").alias("step"), F.lit(False).alias("new")))).alias("e")).where("e.step IS NOT NULL")
+    new = events.groupBy("e.step").agg(F.count_if("e.new").alias("marginal_judged"), F.count_if(~F.col("e.new")).alias("marginal_rel"))
+    steps = ordered.select("step", "query_id").join(new, "step", "left").na.fill(0, ["marginal_judged", "marginal_rel"])
     w = W.orderBy("step").rowsBetween(W.unboundedPreceding, 0)
     run = steps.withColumn("cumulative_judged", F.sum("marginal_judged").over(w)).withColumn("cumulative_rel", F.sum("marginal_rel").over(w))
     return run.where(F.col("cumulative_judged") - F.col("marginal_judged") < target).select("step", "query_id", "marginal_judged", "cumulative_judged", "marginal_rel", "cumulative_rel") if target > 0 else run.where("step = 1").select("step", "query_id", "marginal_judged", "cumulative_judged", "marginal_rel", "cumulative_rel")

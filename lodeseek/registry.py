@@ -417,7 +417,7 @@ SELECT step, query_id, marginal_judged, cumulative_judged, marginal_rel, cumulat
 def _(s, d):
     li, tabular = _part_judgements(s, d)
     judged = li.join(tabular, "dataset_id", "left_semi").groupBy("query_id", "dataset_id").agg((F.max("level") >= 1).alias("relevant"))
-    return evaluate.selection_trace(_supplier_metrics(s, d), judged, 300)
+    return evaluate.selection_trace(materialise(_supplier_metrics(s, d), "ordered"), judged, 300)
 
 
 # ---- profiles -------------------------------------------------------------------------------------------------------
