@@ -45,6 +45,7 @@ RARE = 32  # documents that have a rare token, at most
 CHUNK = 1 << 20  # tokens gathered in a chunk, and counted in a range
 TAGS = 3  # predecessors that a key carries
 FEW = 4  # a token of so few documents carries none
+BLOCK = 1 << 17  # tokens of a chunk that are indexed at once
 COPIES = 1024  # copies of one set held in one row
 MAX_BROADCAST_ENTITIES = 4_000_000
 LOW = C.U((1 << 44) - 1)
@@ -142,7 +143,7 @@ def gather(docs: DataFrame, n: int) -> DataFrame:
     def flush(name, held):
         return Chunk.pack(name, *(np.concatenate(x) for x in zip(*held)))
 
-    return materialise(C.each(docs, work, Chunk.SCHEMA), "ngram-chunks")
+    return materialise(C.each(docs, work, Chunk.SCHEMA), "ngram-chunks", **{"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 4})
 
 
 def members_of(chunks: DataFrame) -> DataFrame:
@@ -297,9 +298,16 @@ def signatures(chunks: DataFrame, codes: DataFrame, copies: DataFrame, t: float,
         alive = alive[ref.astype(np.int64)]
         keys = (ref << C.U(52) | np.repeat(code.astype(np.uint64) << C.U(44) | _sorted_tokens(tokens), times))[alive]
         keys.sort()
-        row, token, code = (keys >> C.U(52)).astype(np.int64), keys & LOW, (keys >> C.U(44)) & C.U(255)
-        begin = np.searchsorted(row, np.arange(len(number) + 1))
+        begin = np.searchsorted(keys >> C.U(52), np.arange(len(number) + 1, dtype=np.uint64))
+        first = 0
+        while first < len(number):  # some documents at once
+            last = max(first + 1, int(np.searchsorted(begin, begin[first] + BLOCK, "right")) - 1)
+            yield from block(keys[begin[first] : begin[last]], number[first:last], begin[first : last + 1] - begin[first])
+            first = last
+
+    def block(keys, number, begin):
         size = np.diff(begin)
+        row, token, code = np.repeat(np.arange(len(number)), size), keys & LOW, (keys >> C.U(44)) & C.U(255)
         pos = np.arange(len(keys)) - begin[:-1][row]
         p1 = size - _ceil(t * size) + 2
         small = size - _ceil(2 * t / (1 + t) * size) + 2
