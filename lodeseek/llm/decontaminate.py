@@ -8,7 +8,7 @@ and the wanted recall (bands of one row). Minima of blocks of m/2 n-grams are co
 combined for the larger. Candidates are verified by counting the item's n-grams in the whole document, exactly.
 
 The items' index is held by every worker while it has at most MAX_BROADCAST_ITEMS items of MAX_BROADCAST_BYTES; beyond that, window minima
-and item minima meet in a shuffle join, and verification joins texts to candidates. Both give the same rows.
+that pass a sieve of the item minima meet these in a shuffle join, and verification joins texts to candidates. Both give the same rows.
 
 Defined results: null or empty texts and items, and rows with null ids, match nothing; an item of fewer than n words
 has one n-gram of all its words and so matches only documents with just these words; copies of a document or an item
@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.llm import _core as C
+from lodeseek.session import materialise
 
 N = 3
 THRESHOLD = 0.6
 RECALL = 0.998
 MAX_BROADCAST_ITEMS = 100_000
 MAX_BROADCAST_BYTES = 32 << 20
+SIEVE_BITS = 28  # of the sieve of item keys in the shuffle path, 32 MB at most
 SCHEMA = "doc_id long, item_id long, n_shared long, n_grams long, containment double"
 
 
@@ -164,6 +166,36 @@ def find(docs: DataFrame, items: DataFrame, n: int = N, threshold: float = THRES
     return C.each(docs, work, SCHEMA)
 
 
+def _sieve(keys: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit for each hash of a key, eight bits a key or SIEVE_BITS in all, packed; and how many bits of a hash name one.
+
+    Blocks of bits are made by the executors; only whole blocks reach the driver. A full sieve lets all through.
+    """
+    bits = min(SIEVE_BITS, max(10, math.ceil(math.log2(8 * keys.count() + 1))))
+    low = min(bits, 20)  # bits of a block
+
+    def places(batches):
+        for batch in batches:
+            at = C.mix(batch.column(0).to_numpy().view(np.uint64)) >> C.U(64 - bits)
+            yield C.table(block=(at >> C.U(low)).astype(np.int32), bit=(at & C.U((1 << low) - 1)).astype(np.int32))
+
+    def fill(batches):
+        here: dict[int, np.ndarray] = {}
+        for batch in batches:
+            block, bit = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for k in np.unique(block):
+                here.setdefault(int(k), np.zeros(1 << low, bool))[bit[block == k]] = True
+        for k, x in here.items():
+            yield C.table(block=pa.array([k], pa.int32()), bits=pa.array([np.packbits(x).tobytes()], pa.binary()))
+
+    marked = C.each(keys.select("key"), places, "block int, bit int").distinct().repartition("block").mapInArrow(fill, "block int, bits binary")
+    out = np.zeros(((1 << bits) + 7) // 8, np.uint8)
+    each = (1 << low) // 8
+    for k, data in marked.collect():
+        out[k * each : (k + 1) * each] = np.frombuffer(data, np.uint8)
+    return out, bits
+
+
 def _find_by_shuffle(docs: DataFrame, items: DataFrame, scheme: Scheme) -> DataFrame:
     def item_keys(batches):
         for batch, texts in C.sliced(batches):
@@ -173,16 +205,20 @@ def _find_by_shuffle(docs: DataFrame, items: DataFrame, scheme: Scheme) -> DataF
                     key = C.mix(scheme.item_minima(s) + np.arange(len(scheme.factors), dtype=np.uint64) * C.U(64) + C.U(k)).view(np.int64)
                     yield C.table(key=key, item_id=np.full(len(key), i), k=np.full(len(key), k, np.int32))
 
-    keys = C.each(items, item_keys, "key long, item_id long, k int")
+    keys = materialise(C.each(items, item_keys, "key long, item_id long, k int"), "item-keys")
     classes = sorted(r[0] for r in keys.select("k").distinct().collect())
+    sieve, bits = _sieve(keys)
 
     def doc_keys(batches):
         for batch, texts in C.sliced(batches):
             grams, begin = C.Words(texts).grams(scheme.n)
             doc = C.ids(batch)
             for k, window, row in scheme.windows(grams, begin, classes) if classes and len(grams) else ():
-                key = C.mix(window + np.arange(len(scheme.factors), dtype=np.uint64) * C.U(64) + C.U(k)).view(np.int64)
-                yield C.table(key=key.ravel(), doc_id=np.repeat(doc[row], key.shape[1]))
+                key = C.mix(window + np.arange(len(scheme.factors), dtype=np.uint64) * C.U(64) + C.U(k))
+                at = C.mix(key) >> C.U(64 - bits)
+                r, c = np.nonzero(sieve[(at >> C.U(3)).astype(np.int64)] >> (C.U(7) - (at & C.U(7))).astype(np.uint8) & 1)
+                if len(r):
+                    yield C.table(key=key[r, c].view(np.int64), doc_id=doc[row[r]])
 
     candidates = C.each(docs, doc_keys, "key long, doc_id long").join(keys.select("key", "item_id"), "key").select("doc_id", "item_id").distinct()
     pairs = candidates.join(docs, "doc_id").join(items.withColumnRenamed("text", "item_text"), "item_id")
