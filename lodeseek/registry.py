@@ -773,3 +773,60 @@ def _(s, d):
 def _(s, d):
     a = table(s, d, "nation").select(F.col("n_nationkey").cast("string").alias("query_id"), F.concat(F.lit('```json\n{"ranking": [{"dataset_id": "'), "n_name", F.lit('", "score": "0.5"}, " second ", {"score": 1}]}\n```')).alias("answer"))
     return answers.rankings(a).drop("reason")
+
+
+@query("table_parse", "SELECT n_nationkey, n_nationkey::VARCHAR AS key, n_name AS name, '' AS more FROM nation UNION ALL SELECT n_nationkey, n_nationkey::VARCHAR, 'a', 'b' FROM nation")
+def _(s, d):
+    k = F.col("n_nationkey").cast("string")
+    text = F.concat(F.lit("Columns: key | name | more\n"), k, F.lit(" | "), "n_name", F.lit("\n\n"), k, F.lit(" | a | b | c"))
+    rows = table(s, d, "nation").select("n_nationkey", F.explode(T.parse_table_text(text)[1]).alias("r"))
+    return rows.select("n_nationkey", *(F.get("r", F.lit(i)).alias(c) for i, c in enumerate(("key", "name", "more"))))
+
+
+@query("metadata_text", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE user_id::VARCHAR END AS plain, CASE WHEN event_id % 2 = 0 THEN '' ELSE '{"user_id":' || user_id || ',"event_type":"' || event_type || '"}' END AS nested FROM events""")
+def _(s, d):
+    e = table(s, d, "events").select("event_id", F.when(F.col("event_id") % 3 > 0, F.col("user_id")).alias("plain"), F.when(F.col("event_id") % 2 > 0, F.struct("user_id", "event_type")).alias("nested"))
+    kinds = dict(e.dtypes)
+    return e.select("event_id", *(T.metadata_text(F.col(c), kinds[c]).alias(c) for c in ("plain", "nested")))
+
+
+@query("load_catalog", "SELECT user_id AS id, max(event_id) AS seq, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1")
+def _(s, d):
+    return records.load_catalog(table(s, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), "event_type"))
+
+
+@query("resolve_file", "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN '/old/' || n_name WHEN n_nationkey % 2 = 0 THEN '/data/' || n_name END AS resolved FROM nation")
+def _(s, d):
+    n = table(s, d, "nation")
+    files = n.where("n_nationkey % 3 = 0").select(F.concat(F.lit("/old/"), "n_name").alias("path")).union(n.where("n_nationkey % 2 = 0").select(F.concat(F.lit("/data/"), "n_name")))
+    entries = n.select("n_nationkey", F.concat(F.lit("/old/"), "n_name").alias("file_path"), F.col("n_name").alias("dataset_name"))
+    return records.resolve_file(entries, files, "/data/").select("n_nationkey", "resolved")
+
+
+def _orders_as_hits(s, d):
+    """Orders as stored hits of customers: (query, rank, database_id, table_id)."""
+    return table(s, d, "orders").select(F.col("o_custkey").cast("string").alias("query"), F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")).alias("rank"), F.lit("db").alias("database_id"), F.col("o_orderkey").cast("string").alias("table_id"))
+
+
+@query("replay_lists", "WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) SELECT c_custkey::VARCHAR AS query, coalesce(string_agg(o_orderkey::VARCHAR, ',' ORDER BY n), '') AS tables FROM customer LEFT JOIN (SELECT * FROM r WHERE n <= 3) ON o_custkey = c_custkey GROUP BY 1")
+def _(s, d):
+    found = lifecycle.replay(table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("query")), _orders_as_hits(s, d), 3)
+    return found.select("query", F.array_join("tables.table_id", ",").alias("tables"))
+
+
+@query("empty_retrievals", "SELECT count(*) AS n_empty FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey % 2 = 0)")
+def _(s, d):
+    asked = table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("query"))
+    return records.empty_retrievals(lifecycle.replay(asked, _orders_as_hits(s, d).where("cast(query AS long) % 2 = 0"), 3))
+
+
+@query("replay_summary", "SELECT n_name AS dataset, k::INT AS k, CASE WHEN n_nationkey % 3 > 0 THEN n_nationkey::BIGINT END AS n_queries, CASE WHEN n_nationkey % 3 = 0 THEN 'not_available' WHEN n_nationkey % 2 > 0 THEN 'warning' ELSE 'ok' END AS state FROM nation, (SELECT unnest([1, 3]) AS k)")
+def _(s, d):
+    cells = table(s, d, "nation").select("n_nationkey", F.col("n_name").alias("dataset"), F.lit("v").alias("variant"), F.explode(F.array(F.lit(1), F.lit(3))).alias("k"))
+    results = cells.where("n_nationkey % 3 > 0").select("dataset", "variant", "k", F.col("n_nationkey").cast("long").alias("n_queries"), (F.col("n_nationkey") % 2).alias("n_empty"))
+    return lifecycle.replay_summary(cells.select("dataset", "variant", "k"), results).select("dataset", "k", "n_queries", "state")
+
+
+@query("durations", "SELECT event_id, printf('%02d:%02d:%02d', v // 3600, v // 60 % 60, v % 60) AS duration FROM (SELECT event_id, greatest(floor(value * 100), 0)::BIGINT AS v FROM events)")
+def _(s, d):
+    return table(s, d, "events").select("event_id", T.duration(F.col("value") * 100).alias("duration"))
