@@ -17,13 +17,20 @@ Partners meet by index key; length and position filters and a rule that drops a
 (then the pair was met there often enough) leave candidates, which are counted and verified by intersecting whole sets:
 the sets of a neighbourhood travel once to one place. Documents with equal sets are one entity, indexed once.
 
-Result: (doc_a, doc_b, jaccard), doc_a < doc_b. ``all_pairs`` gives every pair. ``join`` gives a compressed result: of
-documents with equal sets the least doc_id stands for all in pairs with others, and each other one is paired with it at
-1.0, in linear size; that is enough for ``keep_one``.
+Crowds, groups of many near copies, would meet at hundreds of keys, pair by pair. They are found by a MinHash key, and of
+each the tokens that most of a sample have are its centre. Distance 1 - Jaccard is a metric: with members within r of the
+centre, whatever is linked to one of them is within r + 1 - threshold of it. So one pass over all sets compares each with
+the centres exactly; members leave the index, and meet one another and the visitors within that bound block by block,
+where shared tokens come from matrix products. What makes no crowd stays in the index, so results don't depend on them.
+
+Result: ``classes`` gives (doc_id, class_id, n_links), one row a document: the least doc_id of the documents connected by
+pairs, and the number of documents that it is paired with. ``all_pairs`` gives every pair (doc_a, doc_b, jaccard), doc_a <
+doc_b. ``join`` gives them compressed: of documents with equal sets the least doc_id stands for all in pairs with others,
+and each other one is paired with it at 1.0.
 
 Defined results: texts without a word, null texts and rows with a null doc_id are in no pair; a text of fewer than n
-words has one n-gram of all its words; rows that share a doc_id never pair with each other; columns besides doc_id and
-text are never read. Tokens are compared by 44 bits of their hash.
+words has one n-gram of all its words; rows that share a doc_id never pair with each other; in n_links the texts of one doc_id add up;
+columns besides doc_id and text are never read. Tokens are compared by 44 bits of their hash.
 """
 
 from __future__ import annotations
@@ -48,6 +55,13 @@ FEW = 4  # a token of so few documents carries none
 BLOCK = 1 << 17  # tokens of a chunk that are indexed at once
 COPIES = 1024  # copies of one set held in one row
 MAX_BROADCAST_ENTITIES = 4_000_000
+CROWD = 64  # different sets with one MinHash key that make a crowd
+CROWDS = 256  # crowds at most, largest first
+CENTRES = 1 << 20  # tokens of all centres, at most
+SAMPLE = 32  # sets that a centre comes from
+SIDE = 2048  # sets of a block of a crowd
+SIDE_TOKENS = 1 << 21  # and their tokens, about
+MIN_HASHES = tuple(C.U(k) for k in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 LOW = C.U((1 << 44) - 1)
 
 
@@ -74,6 +88,14 @@ def _entities(row: np.ndarray, token: np.ndarray, n_rows: int) -> tuple[np.ndarr
     return C.mix((sums[begin[1:]] - sums[begin[:-1]]) ^ C.mix(size.astype(np.uint64))).view(np.int64), begin
 
 
+def _marks(token: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A MinHash key of each set; first: where it begins."""
+    out = np.zeros(len(first), np.uint64)
+    for by in MIN_HASHES if len(first) else ():
+        out = C.mix(out + np.minimum.reduceat(token * by, first))
+    return out.view(np.int64)
+
+
 def _planes(x: np.ndarray, width: int) -> bytes:
     """The bytes of integers, all lowest ones first; high ones are mostly 0 and shrink as they are written."""
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
@@ -107,16 +129,16 @@ def _sorted_tokens(data: bytes) -> np.ndarray:
 class Chunk:
     """Documents' sets, token by token: (docs, sizes, entities) by ref; each token's refs follow each other."""
 
-    SCHEMA = "chunk long, n_tokens long, docs binary, entities binary, tokens binary, times binary, refs binary"
+    SCHEMA = "chunk long, n_tokens long, docs binary, entities binary, marks binary, tokens binary, times binary, refs binary"
 
     @staticmethod
-    def pack(name: int, docs: np.ndarray, entities: np.ndarray, ref: np.ndarray, token: np.ndarray) -> pa.RecordBatch:
+    def pack(name: int, docs: np.ndarray, entities: np.ndarray, marks: np.ndarray, ref: np.ndarray, token: np.ndarray) -> pa.RecordBatch:
         keys = np.sort(token << C.U(12) | ref)
         token, ref = keys >> C.U(12), keys & C.U(4095)
         first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
         times = np.diff(np.r_[first, len(token)])
-        columns = (docs.tobytes(), entities.tobytes(), _squeeze(_sorted_bytes(token[first])), _squeeze(_planes(times, 2)), _squeeze(_planes(ref, 2)))
-        return C.table(chunk=pa.array([name], pa.int64()), n_tokens=pa.array([len(token)], pa.int64()), **{k: pa.array([x], pa.binary()) for k, x in zip(("docs", "entities", "tokens", "times", "refs"), columns)})
+        columns = (docs.tobytes(), entities.tobytes(), marks.tobytes(), _squeeze(_sorted_bytes(token[first])), _squeeze(_planes(times, 2)), _squeeze(_planes(ref, 2)))
+        return C.table(chunk=pa.array([name], pa.int64()), n_tokens=pa.array([len(token)], pa.int64()), **{k: pa.array([x], pa.binary()) for k, x in zip(("docs", "entities", "marks", "tokens", "times", "refs"), columns)})
 
 
 def gather(docs: DataFrame, n: int) -> DataFrame:
@@ -135,7 +157,7 @@ def gather(docs: DataFrame, n: int) -> DataFrame:
                 yield flush(name, held)
                 held, rows, size, name = [], 0, 0, name + 1
             ref = (np.cumsum(some) - 1)[row.astype(np.int64)] + rows
-            held.append((C.ids(batch)[some], entity[some], ref.astype(np.uint64), token))
+            held.append((C.ids(batch)[some], entity[some], _marks(token, begin[:-1][some]), ref.astype(np.uint64), token))
             rows, size = rows + n_some, size + len(token)
         if rows:
             yield flush(name, held)
@@ -158,6 +180,192 @@ def members_of(chunks: DataFrame) -> DataFrame:
     return C.each(chunks.select("chunk", "docs", "entities"), work, "doc_id long, entity long, number long")
 
 
+def _sets(tokens, times, refs, wanted: np.ndarray) -> list[np.ndarray]:
+    """The sorted sets of the wanted refs of a chunk, from its unpacked columns."""
+    place = np.full(4096, -1, np.int64)
+    place[wanted] = np.arange(len(wanted))
+    own = place[refs.astype(np.int64)]
+    keys = np.sort(own[own >= 0].astype(np.uint64) << C.U(44) | np.repeat(tokens, times)[own >= 0])
+    return np.split(keys & LOW, np.searchsorted(keys >> C.U(44), np.arange(1, len(wanted), dtype=np.uint64)))
+
+
+def _unpacked(batch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    tokens, times, refs = (_unsqueeze(batch.column(batch.schema.get_field_index(c))[k].as_py()) for c in ("tokens", "times", "refs"))
+    return _sorted_tokens(tokens), _from_planes(times, 2).astype(np.int64), _from_planes(refs, 2)
+
+
+def centres(chunks: DataFrame, radius: float, crowd: int) -> list[np.ndarray]:
+    """The centre of each crowd: tokens that most of a sample of its sets have. Any sets as centres give the same result."""
+
+    def marked(batches):
+        for batch in batches:
+            for chunk, entities, marks in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                mark = np.frombuffer(marks, np.int64)
+                yield C.table(mark=mark, entity=np.frombuffer(entities, np.int64), number=(chunk << 12) + np.arange(len(mark)))
+
+    rows = C.each(chunks.select("chunk", "entities", "marks"), marked, "mark long, entity long, number long")
+    big = rows.select("mark", "entity").distinct().groupBy("mark").agg(F.count("*").alias("n")).where(F.col("n") >= crowd)
+    big = [r["mark"] for r in big.orderBy(F.desc("n"), "mark").limit(CROWDS).collect()]
+    if not big:
+        return []
+    some = rows.where(F.col("mark").isin(big)).groupBy("mark", "entity").agg(F.min("number").alias("number"))
+    some = some.groupBy("mark").agg(F.slice(F.sort_array(F.collect_list("number")), 1, SAMPLE).alias("numbers")).collect()
+    mark_of = {number: r["mark"] for r in some for number in r["numbers"]}
+    wanted = np.array(sorted(mark_of), np.int64)
+
+    def sample(batches):
+        for batch in batches:
+            for k, chunk in enumerate(batch.column(0).to_pylist()):
+                here = wanted[(wanted >> 12) == chunk]
+                sets = _sets(*_unpacked(batch, k), here & 4095)
+                yield C.table(mark=np.array([mark_of[x] for x in here.tolist()]), tokens=pa.array([x.tobytes() for x in sets], pa.binary()))
+
+    def most(key, t):
+        token, n = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in t.column("tokens").to_pylist()]), return_counts=True)
+        return pa.table({"mark": pa.array([key[0].as_py()], pa.int64()), "tokens": pa.array([token[2 * n > t.num_rows].tobytes()], pa.binary())})
+
+    held = chunks.where(F.col("chunk").isin(np.unique(wanted >> 12).tolist())).select("chunk", "tokens", "times", "refs")
+    found = {r["mark"]: np.frombuffer(r["tokens"], np.uint64) for r in C.each(held, sample, "mark long, tokens binary").groupBy("mark").applyInArrow(most, "mark long, tokens binary").collect()}
+    out, size = [], 0
+    for mark in big:
+        x = found[mark]
+        shared = [len(np.intersect1d(x, y, assume_unique=True)) for y in out]
+        if len(x) and size + len(x) <= CENTRES and not any(n >= (1 - radius / 2) * (len(x) + len(y) - n) for n, y in zip(shared, out)):
+            out.append(x)
+            size += len(x)
+    return out
+
+
+def near_centres(chunks: DataFrame, found: list[np.ndarray], least: float) -> DataFrame:
+    """(centre, number, near, tokens) of every document whose set has at least that Jaccard similarity with a centre."""
+    every, whose = np.concatenate(found), np.repeat(np.arange(len(found)), [len(x) for x in found])
+    by = np.argsort(every, kind="stable")
+    every, whose, sizes = every[by], whose[by], np.array([len(x) for x in found])
+
+    def work(batches):
+        for batch in batches:
+            for k, chunk in enumerate(batch.column(0).to_pylist()):
+                tokens, times, refs = _unpacked(batch, k)
+                a, b = np.searchsorted(every, tokens, "left"), np.searchsorted(every, tokens, "right")
+                n = np.repeat(b - a, times)
+                some = np.flatnonzero(n)
+                size, n = np.bincount(refs.astype(np.int64)), n[some]
+                at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(np.repeat(a, times)[some], n)
+                shared = np.bincount(np.repeat(refs[some].astype(np.int64), n) * len(found) + whose[at], minlength=len(size) * len(found)).reshape(-1, len(found))
+                near = shared / (size[:, None] + sizes - shared)
+                ref, centre = np.nonzero(near >= least - 1e-9)
+                if len(ref):
+                    own, place = np.unique(ref, return_inverse=True)
+                    packed = [x.view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for x in _sets(tokens, times, refs, own)]
+                    yield C.table(centre=centre, number=(chunk << 12) + ref, near=near[ref, centre], tokens=pa.array([packed[p] for p in place], pa.binary()))
+
+    return C.each(chunks.select("chunk", "tokens", "times", "refs"), work, "centre long, number long, near double, tokens binary")
+
+
+def _shared(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each of xs shares with each of ys: rare tokens pair by pair, frequent ones by matrix products."""
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    row, col = np.repeat(np.arange(len(xs)), [len(s) for s in xs]), np.repeat(np.arange(len(ys)), [len(s) for s in ys])
+    token = np.intersect1d(x, y)
+    out = np.zeros((len(xs), len(ys)), np.float32)
+    if not len(token):
+        return out
+    kept = []
+    for t, at in ((x, row), (y, col)):
+        place = np.minimum(np.searchsorted(token, t), len(token) - 1)
+        same = token[place] == t
+        by = np.argsort(place[same], kind="stable")
+        kept += [place[same][by], at[same][by]]
+    x, row, y, col = kept
+    nx, ny = np.bincount(x, minlength=len(token)), np.bincount(y, minlength=len(token))
+    rare = nx * ny < max(1, out.size // 256)
+    begin, n = np.cumsum(ny) - ny, np.where(rare, ny, 0)[x]
+    cuts = np.r_[0, np.flatnonzero(np.diff(np.cumsum(n) >> 22)) + 1, len(x)]
+    for a, b in zip(cuts, cuts[1:]):
+        m = n[a:b]
+        at = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + np.repeat(begin[x[a:b]], m)
+        if len(at):
+            out += np.bincount(np.repeat(row[a:b], m) * len(ys) + col[at], minlength=out.size).reshape(out.shape).astype(np.float32)
+    often = np.flatnonzero(~rare)
+    for c in range(0, len(often), 2048):
+        part = often[c : c + 2048]
+        column = np.full(len(token), -1)
+        column[part] = np.arange(len(part))
+        sides = []
+        for t, at, height in ((x, row, len(xs)), (y, col, len(ys))):
+            side = np.zeros((height, len(part)), np.float32)
+            live = column[t] >= 0
+            side[at[live], column[t[live]]] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _mates(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of links that connect what all of hit's do."""
+    new_row, new_col, out = np.ones(hit.shape[0], bool), np.ones(hit.shape[1], bool), []
+    for start in range(hit.shape[0]):
+        rows = np.array([start]) if new_row[start] else ()
+        while len(rows):
+            new_row[rows] = False
+            first = hit[rows]
+            cols = np.flatnonzero(first.any(0) & new_col)
+            new_col[cols] = False
+            out.append((rows[first[:, cols].argmax(0)], cols))
+            back = hit[np.ix_(new_row, cols)]
+            some = back.any(1)
+            rows = np.flatnonzero(new_row)[some]
+            out.append((rows, cols[back[some].argmax(1)] if len(rows) else rows))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
+
+
+def crowded(held: DataFrame, t: float, pairs: bool) -> DataFrame:
+    """Links of members of crowds, from (centre, number, weight, member, tokens): as pairs (a, b, jaccard), or as (a, b, links).
+
+    In the second form rows with links null are edges that connect what all links do, and in the others b is null and
+    links adds up to the documents that a is linked to.
+    """
+    sides = held.groupBy("centre").agg(*(F.greatest(F.ceil(F.sum(c) / SIDE), F.ceil(F.sum(F.when(c > 0, F.length("tokens"))) / (6 * SIDE_TOKENS)), F.lit(0)).alias(name) for name, c in (("inner", F.col("member").cast("int")), ("outer", 1 - F.col("member").cast("int")))))
+    held = held.join(F.broadcast(sides.where("inner > 0")), "centre").withColumn("side", F.when(F.col("member"), F.pmod(F.xxhash64("number"), "inner")).otherwise(F.col("inner") + F.pmod(F.xxhash64("number"), F.greatest("outer", F.lit(1)))))
+    held = held.withColumn("other", F.explode(F.when(F.col("member"), F.sequence(F.lit(0).cast("long"), F.col("inner") + F.col("outer") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("inner") - 1))))
+    held = held.select("centre", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "number", "weight", "tokens")
+
+    def meet(key, table):
+        i, j = key[1].as_py(), key[2].as_py()
+        side, number, weight = (table.column(c).to_numpy() for c in ("side", "number", "weight"))
+        sets = []
+        for raw in table.column("tokens").to_pylist():
+            wide = np.zeros((len(raw) // 6, 8), np.uint8)
+            wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+            sets.append(wide.view(np.uint64).ravel())
+        x, y = np.flatnonzero(side == i), np.flatnonzero(side == j)
+        a, b, links, near = [], [], [], []
+        if len(x) and len(y):
+            shared = _shared([sets[k] for k in x], [sets[k] for k in y]).astype(np.float64)
+            size = np.array([len(s) for s in sets])
+            shared /= size[x][:, None] + size[y] - shared
+            hit = shared >= t - 1e-12
+            if i == j:
+                np.fill_diagonal(hit, False)
+            if pairs:
+                r, c = np.nonzero(np.triu(hit) if i == j else hit)
+                a, b, near = number[x[r]], number[y[c]], shared[r, c]
+            else:
+                r, c = _mates(hit)
+                n = hit @ weight[y].astype(np.float64)
+                m = weight[x].astype(np.float64) @ hit if i != j else np.zeros(0)
+                x_, y_ = np.flatnonzero(n), np.flatnonzero(m)
+                nothing = np.full(len(x_) + len(y_), None)
+                a = np.concatenate([number[x[r]], number[x[x_]], number[y[y_]]])
+                b = np.concatenate([number[y[c]], nothing]).tolist()
+                links = np.full(len(r), None).tolist() + n[x_].astype(np.int64).tolist() + m[y_].astype(np.int64).tolist()
+        if pairs:
+            return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64()), "jaccard": pa.array(near, pa.float64())})
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "links": pa.array(links, pa.int64())})
+
+    return held.groupBy("centre", "i", "j").applyInArrow(meet, "a long, b long, " + ("jaccard double" if pairs else "links long"))
+
+
 def _code(count: np.ndarray) -> np.ndarray:
     return np.minimum(255, np.round(8 * np.log2(1.0 + count))).astype(np.uint8)
 
@@ -475,37 +683,71 @@ def verify(docs: DataFrame, pairs: DataFrame, least: DataFrame, n: int, t: float
     return both.repartition("site").sortWithinPartitions("site", "kind").mapInArrow(check, "a long, b long, jaccard double")
 
 
-def _found(docs: DataFrame, n: int, threshold: float, rare: int, max_broadcast_entities: int) -> tuple[DataFrame, DataFrame]:
-    """The near pairs as verify gives them, and (doc_id, entity) of every document; an entity is named by the number of its least document."""
-    docs = C.known(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chunks = gather(docs, n)
-    members = materialise(members_of(chunks), "ngram-members")
-    least = members.groupBy("entity").agg(F.min(F.struct("doc_id", "number")).alias("least"), F.count("*").alias("n"))
-    rest = members.join(least.where("n > 1"), "entity").where("number <> least.number")
-    copies = rest.groupBy(F.shiftright("number", 12).alias("chunk")).agg(F.collect_list(F.col("number").bitwiseAND(4095).cast("int")).alias("refs"))
-    codes = codes_of(chunks)
-    signed = materialise(signatures(chunks, codes, copies, threshold, rare), "ngram-index")
-    discard(chunks, codes)
-    pairs = materialise(candidates(signed, threshold), "ngram-pairs")
-    discard(signed)
-    least = materialise(least.select("entity", "least.doc_id", "least.number"), "ngram-least")
-    near = verify(docs, pairs, least, n, threshold, max_broadcast_entities)
-    return near, members.join(least.select("entity", F.col("number").alias("least")), "entity").select("doc_id", F.col("least").alias("entity")).distinct()
-
-
-def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rare: int = RARE, max_broadcast_entities: int = MAX_BROADCAST_ENTITIES) -> DataFrame:
+class Found:
+    """What the join finds. near: pairs (a, b, jaccard) of numbers outside crowds; crowds: what ``crowded`` takes, or None;
+    members: (doc_id, entity) of every document, an entity being named by the number of its least document."""
+
+    def __init__(self, docs: DataFrame, n: int, threshold: float, rare: int, max_broadcast_entities: int, crowd: int):
+        self.threshold = threshold
+        docs = C.known(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        chunks = gather(docs, n)
+        members = materialise(members_of(chunks), "ngram-members")
+        least = members.groupBy("entity").agg(F.min(F.struct("doc_id", "number")).alias("least"), F.count("*").alias("n"), F.count_distinct("doc_id").alias("weight"))
+        least = materialise(least.select("entity", "least.doc_id", "least.number", "n", "weight"), "ngram-least")
+        rest = members.join(least.where("n > 1").select("entity", F.col("number").alias("least")), "entity").where("number <> least").select("number")
+        radius, self.crowds = min(1 - threshold, threshold / 2), None
+        found = centres(chunks, radius, crowd) if crowd else []
+        if found:
+            held = materialise(near_centres(chunks, found, threshold - radius), "ngram-crowds")
+            held = held.join(least.select("number", "weight"), "number")
+            own = held.where(F.col("near") >= 1 - radius).groupBy("number").agg(F.min(F.struct(-F.col("near"), "centre")).alias("own")).select("number", F.col("own.centre").alias("own"))
+            own = materialise(own, "ngram-own")
+            rest = rest.union(own.select("number"))
+            held = held.join(own, "number", "left").where("own IS NULL OR own >= centre")
+            self.crowds = held.select("centre", "number", "weight", F.coalesce(F.col("own") == F.col("centre"), F.lit(False)).alias("member"), "tokens")
+        copies = rest.groupBy(F.shiftright("number", 12).alias("chunk")).agg(F.collect_list(F.col("number").bitwiseAND(4095).cast("int")).alias("refs"))
+        codes = codes_of(chunks)
+        signed = materialise(signatures(chunks, codes, copies, threshold, rare), "ngram-index")
+        discard(chunks, codes)
+        pairs = materialise(candidates(signed, threshold), "ngram-pairs")
+        discard(signed)
+        self.near = verify(docs, pairs, least.select("entity", "doc_id", "number"), n, threshold, max_broadcast_entities)
+        self.members = members.join(least.select("entity", F.col("number").alias("least")), "entity").select("doc_id", F.col("least").alias("entity")).distinct()
+        self.least = least.select(F.col("number").alias("entity"), F.col("doc_id").alias("doc_a"), F.col("weight").alias("__n"))
+
+    def pairs(self) -> DataFrame:
+        """(a, b, jaccard) of all entities."""
+        return self.near if self.crowds is None else self.near.union(crowded(self.crowds, self.threshold, True))
+
+    def compressed(self, pairs: DataFrame) -> DataFrame:
+        """Pairs of entities as pairs of their least documents, and each other document of an entity with its least."""
+        first, second = self.least.select(F.col("entity").alias("a"), F.col("doc_a").alias("x")), self.least.select(F.col("entity").alias("b"), F.col("doc_a").alias("y"))
+        near = pairs.join(first, "a").join(second, "b").where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
+        equal = self.members.join(self.least.where("__n > 1"), "entity").where("doc_id > doc_a").select("doc_a", F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+        return near.union(equal)
+
+    def edges(self) -> tuple[DataFrame, DataFrame]:
+        """Edges (u, v) of documents that connect what all pairs do, and (entity, links) that add up to each entity's linked documents but its own, in linear size."""
+        near, weight = materialise(self.near, "ngram-near"), self.least.select(F.col("entity").alias("a"), "__n")
+        both = near.select(F.col("b").alias("a"), F.col("a").alias("entity")).union(near.select("a", F.col("b").alias("entity")))
+        links, pairs = both.join(weight, "a").select("entity", F.col("__n").alias("links")), near
+        if self.crowds is not None:
+            met = materialise(crowded(self.crowds, self.threshold, False), "ngram-met")
+            links = links.union(met.where("links IS NOT NULL").select("a", "links"))
+            pairs = near.union(met.where("links IS NULL").select("a", "b", F.lit(1.0)))
+        return self.compressed(pairs).select(F.col("doc_a").alias("u"), F.col("doc_b").alias("v")), links
+
+
+def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rare: int = RARE, max_broadcast_entities: int = MAX_BROADCAST_ENTITIES, crowd: int = CROWD) -> DataFrame:
     """(doc_a, doc_b, jaccard), compressed as the module says."""
-    near, members = _found(docs, n, threshold, rare, max_broadcast_entities)
-    least = members.groupBy("entity").agg(F.min("doc_id").alias("doc_a"), F.count("*").alias("__n"))
-    first, second = least.select(F.col("entity").alias("a"), F.col("doc_a").alias("x")), least.select(F.col("entity").alias("b"), F.col("doc_a").alias("y"))
-    near = near.join(first, "a").join(second, "b").where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
-    equal = members.join(least.where("__n > 1"), "entity").where("doc_id > doc_a").select("doc_a", F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    return near.union(equal)
+    found = Found(docs, n, threshold, rare, max_broadcast_entities, crowd)
+    return found.compressed(found.pairs())
 
 
-def all_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rare: int = RARE, max_broadcast_entities: int = MAX_BROADCAST_ENTITIES) -> DataFrame:
+def all_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rare: int = RARE, max_broadcast_entities: int = MAX_BROADCAST_ENTITIES, crowd: int = CROWD) -> DataFrame:
     """(doc_a, doc_b, jaccard) of every pair: entities are joined back to all their documents, which travel as lists of up to about COPIES."""
-    near, members = _found(docs, n, threshold, rare, max_broadcast_entities)
+    found = Found(docs, n, threshold, rare, max_broadcast_entities, crowd)
+    near, members = found.pairs(), found.members
     count = members.groupBy("entity").agg(F.ceil(F.count("*") / COPIES).alias("__lists"))
     lists = members.join(count, "entity").groupBy("entity", F.pmod(F.xxhash64("doc_id"), "__lists").alias("__list")).agg(F.collect_list("doc_id").alias("docs"))
     lists = materialise(lists, "ngram-lists")
@@ -519,6 +761,17 @@ def all_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rare: i
     return near.union(equal.withColumn("jaccard", F.lit(1.0)))
 
 
+def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rare: int = RARE, max_broadcast_entities: int = MAX_BROADCAST_ENTITIES, crowd: int = CROWD) -> DataFrame:
+    """(doc_id, class_id, n_links) of every doc_id but null: the least doc_id connected with it by pairs, and how many documents it is paired with."""
+    found = Found(docs, n, threshold, rare, max_broadcast_entities, crowd)
+    edges, links = found.edges()
+    root = components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("class_id"))
+    links = links.union(found.least.select("entity", F.col("__n") - 1)).groupBy("entity").agg(F.sum("links").alias("links"))
+    per = found.members.join(links, "entity").groupBy("doc_id").agg(F.sum("links").alias("n_links"))
+    every = C.known(docs, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    return every.join(root, "doc_id", "left").join(per, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): every node of the edges (u, v) with the least node of its component, by large-star and small-star steps."""
     edges = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "star")
@@ -540,13 +793,13 @@ def components(edges: DataFrame) -> DataFrame:
         last = now
 
 
-def keep_one(docs: DataFrame, max_broadcast_ids: int = 4_000_000, **params) -> DataFrame:
+def keep_one(docs: DataFrame, max_broadcast_ids: int = 4_000_000, n: int = N, threshold: float = THRESHOLD, rare: int = RARE, max_broadcast_entities: int = MAX_BROADCAST_ENTITIES, crowd: int = CROWD) -> DataFrame:
     """The rows of docs without all but the least doc_id of each group of near copies (groups: connected pairs).
 
     Rows that share a doc_id stay or go together; rows with a null doc_id stay.
     """
-    found = join(docs, **params)
-    gone = materialise(components(found.select(F.col("doc_a").alias("u"), F.col("doc_b").alias("v"))).select(F.col("node").alias("__gone_id")), "ngram-gone")
+    edges, _ = Found(docs, n, threshold, rare, max_broadcast_entities, crowd).edges()
+    gone = materialise(components(edges).select(F.col("node").alias("__gone_id")), "ngram-gone")
     if gone.limit(max_broadcast_ids + 1).count() <= max_broadcast_ids:
         gone = F.broadcast(gone)
     return docs.join(gone, docs["doc_id"] == gone["__gone_id"], "left_anti")

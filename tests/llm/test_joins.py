@@ -226,6 +226,67 @@ def test_counts_over_many_chunks(make, monkeypatch):
     assert len(got) == len(result) and set(got) == set(want)
 
 
+def crowd_corpus(seed=11):
+    """Two crowds of near copies at several distances, one of them a copy of the other with changes, and a corpus."""
+    rng = random.Random(seed)
+    base = [f"c{rng.randrange(400)}" for _ in range(80)]
+    other = [f"d{k}" if k % 7 == 0 else x for k, x in enumerate(base)]
+    rows = corpus(seed, 60)
+    for i in range(130):
+        share = rng.choice((0.01, 0.03, 0.06, 0.1, 0.15))
+        rows.append((2000 + i, " ".join(f"n{rng.randrange(50)}" if rng.random() < share else x for x in (base, other)[i % 3 == 0])))
+    return rows + [(3000 + i, rows[60 + i % 20][1]) for i in range(30)]
+
+
+def classes_of(pairs, rows):
+    root, links = {i: i for i, _ in rows}, defaultdict(int)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    return {i: (find(i), links[i]) for i in root}
+
+
+@pytest.mark.parametrize(("t", "crowd", "side"), [(0.65, 4, 16), (0.65, 20, 2048), (0.4, 8, 16), (0.85, 4, 16), (0.65, 0, 16)])
+def test_crowds_lose_no_link(make, monkeypatch, t, crowd, side):
+    """Members and visitors of crowds, in blocks of any size, give the pairs, classes and links of brute force."""
+    monkeypatch.setattr(ngram_join, "SIDE", side)
+    rows = crowd_corpus()
+    want = jaccard_pairs(rows, 2, t)
+    result = ngram_join.all_pairs(make(rows), threshold=t, crowd=crowd).collect()
+    got = {(r.doc_a, r.doc_b): r.jaccard for r in result}
+    assert len(got) == len(result) and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want) and len(want) > 500
+    found = ngram_join.classes(make([*rows, (None, rows[0][1]), (9000, None), (9001, "...")]), threshold=t, crowd=crowd).collect()
+    assert len(found) == len(rows) + 2 and {r.doc_id: (r.class_id, r.n_links) for r in found} == classes_of(want, rows) | {9000: (9000, 0), 9001: (9001, 0)}
+
+
+def test_crowds_leave_the_index(make, monkeypatch):
+    """Near copies of one text are never candidates pair by pair."""
+    rng, sent = random.Random(4), []
+
+    def counted(*args, real=ngram_join.candidates):
+        sent.append((pairs := real(*args)).count())
+        return pairs
+
+    monkeypatch.setattr(ngram_join, "candidates", counted)
+    rows = [(i, " ".join(f"n{rng.randrange(10**6)}" if rng.random() < 0.03 else f"c{k}" for k in range(200))) for i in range(300)]
+    found = ngram_join.classes(make(rows)).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in found} == classes_of(jaccard_pairs(rows, 2, 0.65), rows) and sent == [0]
+
+
+@pytest.mark.parametrize("most", [1, 1000])
+def test_shared_tokens_by_products(most):
+    rng = np.random.default_rng(most)
+    sets = [np.unique(rng.integers(0, most * 40, rng.integers(1, 90))).astype(np.uint64) for _ in range(40)]
+    assert (ngram_join._shared(sets[:15], sets[15:]) == [[len(np.intersect1d(x, y)) for y in sets[15:]] for x in sets[:15]]).all()
+
+
 def test_keep_one_of_each_group(make):
     rows = corpus(5, 90)
     pairs, root = jaccard_pairs(rows, 2, 0.65), {i: i for i, _ in rows}
