@@ -806,16 +806,21 @@ def keep_one(docs: DataFrame, max_broadcast_ids: int = 4_000_000, n: int = N, th
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return all_pairs(C.read(spark, sf_dir, "documents"))
+    return classes(C.read(spark, sf_dir, "documents"))
 
 
 def oracle(n: int = N, threshold: float = THRESHOLD) -> str:
-    """DuckDB SQL for every pair by brute force over shared n-grams."""
+    """DuckDB SQL for classes and links from every pair, by brute force over shared n-grams."""
     word = r"'[a-z0-9\x{80}-\x{10FFFF}]+'"
     return f"""
-WITH g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {n} THEN list_transform(range(len(w) - {n - 1}), lambda i: array_to_string(w[i + 1:i + {n}], ' ')) ELSE [array_to_string(w, ' ')] END) AS gram
+WITH RECURSIVE g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {n} THEN list_transform(range(len(w) - {n - 1}), lambda i: array_to_string(w[i + 1:i + {n}], ' ')) ELSE [array_to_string(w, ' ')] END) AS gram
  FROM (SELECT doc_id, regexp_extract_all(lower(text), {word}) AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL) WHERE len(w) > 0),
 sets AS (SELECT doc_id, count(*) AS size FROM g GROUP BY doc_id),
-shared AS (SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, count(*) AS n FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY 1, 2)
-SELECT s.doc_a, s.doc_b, s.n / (a.size + b.size - s.n) AS jaccard
-FROM shared s JOIN sets a ON a.doc_id = s.doc_a JOIN sets b ON b.doc_id = s.doc_b WHERE s.n / (a.size + b.size - s.n) >= {threshold} - 1e-12"""
+shared AS (SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, count(*) AS n FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY 1, 2),
+pairs AS (SELECT s.doc_a, s.doc_b FROM shared s JOIN sets a ON a.doc_id = s.doc_a JOIN sets b ON b.doc_id = s.doc_b WHERE s.n / (a.size + b.size - s.n) >= {threshold} - 1e-12),
+links AS (SELECT doc_a AS x, doc_b AS y FROM pairs UNION ALL SELECT doc_b, doc_a FROM pairs),
+reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+root AS (SELECT x, min(y) AS y FROM reach GROUP BY x),
+linked AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT d.doc_id, coalesce(least(r.y, d.doc_id), d.doc_id) AS class_id, coalesce(n.n, 0) AS n_links
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN root r ON r.x = d.doc_id LEFT JOIN linked n ON n.x = d.doc_id"""
