@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -53,6 +53,19 @@ def parse_run(rows: DataFrame) -> DataFrame:
     return _fields(rows, 6).select(p[0].alias("query_id"), p[2].alias("dataset_id"), F.coalesce(p[3].try_cast("int"), F.lit(999999)).alias("rank"), F.coalesce(number, F.lit(0.0)).alias("score"), "seq")
 
 
+def six_digits(number: Column) -> Column:
+    """%.6f as C and Python write it: the exact binary value is rounded, ties to even. Java's formatter rounds the shortest
+    decimal up instead. From 2^33 on the shortest decimal can miss the exact digits, so the fraction is written apart;
+    beyond 2^63 they are those of the shortest decimal."""
+    x, size = number.cast("double"), F.abs(number.cast("double"))
+    whole = x.cast("long")
+    apart = F.concat(whole.cast("string"), F.call_function("format_number", F.abs(x - whole), F.lit(".000000")))
+    return (
+        F.when(F.isnan(x), "nan").when(size == float("inf"), F.when(x > 0, "inf").otherwise("-inf"))
+        .when(size < 2.0**33, F.call_function("format_number", x, F.lit("0.000000"))).when(size < 2.0**63, apart).otherwise(F.format_string("%.6f", x))
+    )
+
+
 def run_lines(ranked: DataFrame, run_id: str, corpus: DataFrame | None = None, compact: bool = True, k: int | None = None) -> DataFrame:
     """K1-K3: (query_id, rank, line). Blank ids go, and those that ``corpus`` lacks; then ranks are compacted, or kept, and cut to k."""
     rows = ranked.where(strip(F.col("dataset_id")) != "")
@@ -62,7 +75,7 @@ def run_lines(ranked: DataFrame, run_id: str, corpus: DataFrame | None = None, c
         rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("rank")))
     if k is not None:
         rows = rows.where(F.col("rank") <= max(1, k))
-    return rows.select("query_id", "rank", F.format_string("%s Q0 %s %d %.6f %s", "query_id", "dataset_id", "rank", "score", F.lit(run_id)).alias("line"))
+    return rows.select("query_id", "rank", F.format_string("%s Q0 %s %d %s %s", "query_id", "dataset_id", "rank", six_digits(F.col("score")), F.lit(run_id)).alias("line"))
 
 
 def dropped_ids(ranked: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -82,6 +82,14 @@ def test_run_round_trip(spark, tmp_path):
     assert [r[0] for r in spark.read.text(str(tmp_path / "run")).collect()] == ["q Q0 d3 1 1.000000 me", "q Q0 d1 2 0.500000 me"]
 
 
+def test_scores_of_lines_are_written_as_c_does(spark):
+    """Exact binary values, ties to even; Java's formatter gives 24418.000008 and 0.007813."""
+    numbers = [24418.0000075, 6627.0000285, 0.0078125, 0.0234375, -0.0078125, 2.5e-7, -0.0, 12345678901.1234567, 2.0**33 - 2**-20, 1e15 + 0.25, -1e12 - 0.9999, 1e17, float("nan"), float("inf"), float("-inf")]
+    run = spark.createDataFrame([("q", "d", i + 1, x) for i, x in enumerate(numbers)], "query_id string, dataset_id string, rank int, score double")
+    got = [r.line.split(" ")[4] for r in trec.run_lines(run, "me").orderBy("rank").collect()]
+    assert got == ["%.6f" % x for x in numbers]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "dom" / "id1").mkdir(parents=True)
     put = lambda name, data: (tmp_path / "dom" / "id1" / name).write_bytes(data)
