@@ -105,6 +105,27 @@ def corpus_counts(docs: DataFrame, text: str = "text", spaces: bool = False) ->
     return docs.select(F.lit(0), F.col(text)).mapInArrow(work, "term string, df long, cf long")
 
 
+def vocabulary_counts(docs: DataFrame, vocabulary: list[str], text: str = "text") -> DataFrame:
+    """(term, df, cf) of these terms in each task, to be summed; a row without term has the documents with a token and their tokens."""
+    known = pa.array(vocabulary, pa.large_string())
+
+    def work(batches):
+        n_docs = n_tokens = 0
+        df, cf = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
+        for batch in batches:
+            for _, texts in _slices(batch):
+                row, words = tokens_of(texts)
+                n_docs, n_tokens = n_docs + len(np.unique(row)), n_tokens + len(row)
+                _, code, tf = _known(row, words, known)
+                df += np.bincount(code, minlength=len(df))
+                cf += np.bincount(code, tf, len(cf)).astype(np.int64)
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([known.take(pa.array(at)), pa.nulls(1, pa.large_string())]), pa.array(np.r_[df[at], n_docs]), pa.array(np.r_[cf[at], n_tokens])], names=["term", "df", "cf"])
+
+    prepare(docs.sparkSession)
+    return docs.select(F.lit(0), F.col(text)).mapInArrow(work, "term string, df long, cf long")
+
+
 def _known(row: np.ndarray, words: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (row, place in known) with their counts, of the words that are known."""
     code = pc.fill_null(pc.index_in(words, known), -1).to_numpy(zero_copy_only=False)

@@ -70,7 +70,7 @@ def run_lines(ranked: DataFrame, run_id: str, corpus: DataFrame | None = None, c
     """K1-K3: (query_id, rank, line). Blank ids go, and those that ``corpus`` lacks; then ranks are compacted, or kept, and cut to k."""
     rows = ranked.where(strip(F.col("dataset_id")) != "")
     if corpus is not None:
-        rows = rows.join(corpus.select("dataset_id").distinct(), "dataset_id", "left_semi")
+        rows = rows.join(corpus.select("dataset_id"), "dataset_id", "left_semi")
     if compact:
         rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("rank")))
     if k is not None:
@@ -79,8 +79,10 @@ def run_lines(ranked: DataFrame, run_id: str, corpus: DataFrame | None = None, c
 
 
 def dropped_ids(ranked: DataFrame, corpus: DataFrame) -> DataFrame:
-    """K2: per query how many ranked ids the corpus lacks; queries without any have 0."""
-    lacks = ranked.join(corpus.select("dataset_id").distinct().withColumn("__in", F.lit(True)), "dataset_id", "left")
+    """K2: per query how many ranked ids the corpus lacks; queries without any have 0. ``ranked`` is read
+    twice, so that only its own ids of the corpus are made distinct."""
+    held = corpus.select("dataset_id").join(ranked.select("dataset_id").distinct(), "dataset_id", "left_semi").distinct()
+    lacks = ranked.join(held.withColumn("__in", F.lit(True)), "dataset_id", "left")
     return lacks.groupBy("query_id").agg(F.count_if(F.col("__in").isNull()).alias("n_dropped"))
 
 
