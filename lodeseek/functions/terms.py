@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from lodeseek.session import prepare
 
-SLICE = 4 << 20  # bytes of text worked on at once
+SLICE = 1 << 20  # bytes of text worked on at once
 LETTER = np.zeros(256, bool)
 LETTER[[*range(48, 58), *range(97, 123)]] = True
 CELLS = 1 << 19  # scores worked on at once
@@ -36,21 +36,21 @@ def tokens_of(texts: pa.Array, spaces: bool = False) -> tuple[np.ndarray, pa.Arr
     first = offsets[:-1][offsets[:-1] < len(mask)]
     start[first] = mask[first]  # a row's first letter begins a token, whatever stands before it
     at = np.flatnonzero(start)
-    inside = np.cumsum(mask)
+    inside = np.cumsum(mask, dtype=np.int32 if len(mask) < 1 << 31 else np.int64)
     ends = np.r_[inside[at] - 1, inside[-1] if len(mask) else 0].astype(np.int64)
     words = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(buf[mask]))])
     return np.searchsorted(offsets, at, "right") - 1, words
 
 
 def _slices(batch: pa.RecordBatch, most: int | None = None) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """(keys, texts) of about SLICE bytes, and of at most so many rows; nulls are empty texts."""
-    keys, texts = batch.column(0), pc.fill_null(batch.column(1).cast(pa.large_string()), "")
-    size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    """(keys, texts) of about SLICE bytes, and of at most so many rows; nulls are empty texts. Only a slice is copied."""
+    keys, texts = batch.column(0), batch.column(1)
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0
     while at < len(texts):
         end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE, "right")))
         end = min(end, at + (most or end))
-        yield keys.slice(at, end - at), texts.slice(at, end - at)
+        yield keys.slice(at, end - at), pc.fill_null(texts.slice(at, end - at).cast(pa.large_string()), "")
         at = end
 
 
